@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    from popnet.llm import chat, licenses, simhash
+    from popnet.llm import ann, chat, licenses, simhash, topk
 
     return {
+        "op1_ann": ann.op1_ann,
+        "op6_topk": topk.op6_topk,
         "op7_chat": chat.op7_chat,
         "op8_licenses": licenses.op8_licenses,
         "op9_simhash": simhash.op9_simhash,
@@ -20,6 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator."""
-    from popnet.llm import chat, licenses
+    from popnet.llm import ann, chat, licenses, topk
 
-    return {"op7_chat": chat.OP7_SQL, "op8_licenses": licenses.op8_sql()}
+    return {"op1_ann": ann.OP1_SQL, "op6_topk": topk.OP6_SQL, "op7_chat": chat.OP7_SQL, "op8_licenses": licenses.op8_sql()}
