@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    from popnet.llm import ann, chat, licenses, simhash, topk
+    from popnet.llm import ann, bpe, chat, licenses, mixing, simhash, topk
 
     return {
         "op1_ann": ann.op1_ann,
+        "op3_bpe": bpe.op3_bpe,
+        "op5_mixing": mixing.op5_mixing,
         "op6_topk": topk.op6_topk,
         "op7_chat": chat.op7_chat,
         "op8_licenses": licenses.op8_licenses,
