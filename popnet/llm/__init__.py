@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    from popnet.llm import ann, bpe, chat, licenses, mixing, simhash, topk
+    from popnet.llm import ann, bpe, chat, langid, licenses, mixing, pii, simhash, token_counts, topk
 
     return {
         "op1_ann": ann.op1_ann,
+        "op2_pii": pii.op2_pii,
         "op3_bpe": bpe.op3_bpe,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_mixing": mixing.op5_mixing,
         "op6_topk": topk.op6_topk,
         "op7_chat": chat.op7_chat,
         "op8_licenses": licenses.op8_licenses,
         "op9_simhash": simhash.op9_simhash,
+        "op10_langid": langid.op10_langid,
     }
 
 

@@ -40,6 +40,8 @@ ROUNDS = 12
 #: N-grams whose likelihoods are held at once; longer texts are summed up in parts.
 PART = 1 << 16
 UND = "und"
+#: The proportion of its main language under which a filter rejects a document.
+LEAST = 0.4
 _MUL = np.uint32(0x9E3779B1)
 
 
@@ -139,7 +141,7 @@ def infer(ids: np.ndarray, model: np.ndarray) -> tuple[int, float, list[tuple[in
     p = np.exp(logs - top)
     chosen, pi = [best], np.ones(1, np.float32)
     reached = float(weight @ (logs[:, best] - top[:, 0]))
-    everyone, _ = _proportions(p, weight, list(range(model.shape[1])))
+    everyone, _ = _proportions(p, weight, list(range(model.shape[1])), ROUNDS // 3)  # for their order only
     for lang in np.argsort(-everyone, kind="stable").tolist():
         if lang in chosen:
             continue
@@ -179,6 +181,20 @@ def identify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     return rows.mapInArrow(lambda it: _predicted(it, *held.value), schema)
 
 
+def speaking(docs: DataFrame, labelled: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a proportion of at least ``least``; all columns stay."""
+    held = docs.sparkSession.sparkContext.broadcast(learn(labelled, sample))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            found = [x for part in _predicted(iter([rows]), *held.value) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            yield batch.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from popnet.llm.graph import components
 from popnet.llm.shared import table, written
@@ -160,23 +160,53 @@ def links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -
     return buckets.mapInArrow(lambda it: _linked(it, masks, distance), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, seed: int = SEED, blocks: int = BLOCKS, distance: int = DISTANCE
-) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for each row of ``docs`` (doc_id, text)."""
-    hashed = written(fingerprints(docs, width, seed), "simhash")
+def groups(hashed: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of ``hashed`` (doc_id, fp); ``root`` names the group by a fingerprint."""
     # a class: the rows of one fingerprint, with its smallest doc_id
     classes = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes.select("fp"), blocks, distance).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return hashed.join(named, "fp", "left").select(
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = WIDTH, seed: int = SEED, blocks: int = BLOCKS, distance: int = DISTANCE
+) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) for each row of ``docs`` (doc_id, text)."""
+    hashed = written(fingerprints(docs, width, seed), "simhash")
+    return hashed.join(groups(hashed, blocks, distance), "fp", "left").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def representatives(docs: DataFrame, width: int = WIDTH, seed: int = SEED, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
+    """One row of ``docs`` per group: the smallest doc_id's (nulls last), ties by fingerprint; all columns stay.
+
+    The fingerprints are computed again beside the texts, which spares a second shuffle of them.
+    """
+    hashed = written(fingerprints(docs, width, seed), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")
+    chosen = hashed.join(groups(hashed, blocks, distance), "fp").groupBy("root").agg(best)
+    chosen = chosen.select(F.coalesce("best.doc_id", F.lit(0)).alias("__dup_id"), F.col("best.none").alias("__dup_none"), F.col("best.fp").alias("__dup_fp"))
+    at = [docs.columns.index(c) for c in ("doc_id", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at[1]).cast(pa.binary()).to_pylist()
+            fps = pa.array([_signed(fingerprint(t or b"", width, seed)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "__dup_fp"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__dup_fp", T.LongType())])
+    keyed = docs.mapInArrow(run, schema).withColumn("__dup_none", F.col("doc_id").isNull()).withColumn("__dup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    key = ["__dup_id", "__dup_none", "__dup_fp"]
+    rows = keyed.join(chosen, key, "left_semi")
+    w = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
+    return rows.withColumn("__dup_at", F.row_number().over(w)).where(F.col("__dup_at") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
