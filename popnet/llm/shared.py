@@ -1,56 +1,17 @@
-"""What the operators of this subpackage share: the shared folder and written tables.
+"""What the operators of this subpackage share.
 
 Intermediate tables are written as Parquet under the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor and the driver see it, so a lost executor costs
-a recomputation of its own tasks only.  Where the setting is unset (tests), a fresh
-folder is used and recorded in the session.
+a recomputation of its own tasks only.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables, without a trailing slash."""
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="popnet-shared-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete_path(spark, path)
-    except Exception:  # the session has ended before: the folder's owner cleans it
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+from popnet.storage import delete_path, shared_dir, written
 
-    The lineage ends at the written table.  It is deleted when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/popnet-{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["delete_path", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
