@@ -39,13 +39,10 @@ def centroids(cells: DataFrame, weight: str | None = None) -> DataFrame:
     A mean that leaves the range of doubles is taken from values scaled by their largest.
     """
     if weight is None:
-        rows = exploded(cells)
-        top = F.max(F.abs("z"))
-        sums = rows.groupBy("grp", "dim").agg(F.avg("z").alias("mu"), top.alias("top"))
-        if sums.where(F.isnan("mu") | (F.abs("mu") == float("inf"))).isEmpty():
-            return sums.select("grp", "dim", "mu")
-        scaled = rows.join(sums.select("grp", "dim", "top"), ["grp", "dim"])
-        return scaled.groupBy("grp", "dim").agg((F.max("top") * F.avg(F.when(F.col("top") == 0, 0.0).otherwise(F.col("z") / F.col("top")))).alias("mu"))
+        # the same mean of values scaled down by a power of two, which cannot overflow, stands in where a sum does
+        plain, small = F.avg("z"), F.avg(F.col("z") * F.lit(2.0**-64)) * F.lit(2.0**64)
+        finite = ~F.isnan(plain) & (F.abs(plain) < float("inf"))
+        return exploded(cells).groupBy("grp", "dim").agg(F.when(finite, plain).otherwise(small).alias("mu"))
     tops = cells.groupBy("grp").agg(F.max(weight).alias("wmax"))
     rows = cells.join(F.broadcast(tops), "grp").withColumn("w", F.col(weight) / F.col("wmax"))
     rows = rows.select("grp", "w", F.posexplode("v").alias("dim", "z")).withColumn("dim", F.col("dim") + 1)

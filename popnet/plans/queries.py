@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from popnet.functions import columns as fn
 from popnet.operators import checks, diagnostics, distance, forest, prepare, quantiles, representation, sampling, screening, weighting
 from popnet.operators.trees import ForestParams
+from popnet.storage import written
 from popnet.streaming.checkpoint import completed_counts, remaining
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,14 +126,20 @@ def embedding_tfs(spark: SparkSession) -> DataFrame:
 def anchored(spark: SparkSession, d: str, mode: str = "cell-distance-group-anchored", kernel: str = "gaussian", metric: str = "cosine", correction: str = "cap-to-target") -> DataFrame:
     """Weights of the embeddings' cells."""
     c = cells(spark, d)
-    means = distance.centroids(c)
+    means = written(distance.centroids(c), "centroids")
     sizes = weighting.group_sizes(c)
     between = distance.group_distances(means, metric)
-    by_cell = None if mode == "group-distance" else distance.cell_distances(c, means, metric)
-    h = weighting.bandwidth(between.where("target_group < source_group") if by_cell is None else by_cell)
+    # distances are read three times below: one pass of the matrix products, then the table
+    by_cell = None if mode == "group-distance" else written(distance.cell_distances(c, means, metric), "distances")
+    h = written(weighting.bandwidth(between.where("target_group < source_group") if by_cell is None else by_cell), "bandwidth")
     return weighting.weights(c, sizes, h, mode, kernel, correction, by_cell, between)
 
 
+def stored_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The anchored weights as a table, for audits that read them several times."""
+    return written(anchored(spark, d), "weights")
+
+
 # ---- the same in SQL
 
 E = """e AS (SELECT vec_id AS cell, CAST(label AS VARCHAR) AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -552,14 +559,14 @@ def _(s, d):
 @query("weight_mass", W + """, m AS (SELECT target_group, grp AS source_group, sum(w) AS m FROM w GROUP BY ALL) SELECT target_group, source_group, target_group = source_group AS source_is_target,
   round(m, 6) AS source_weight, round(m / sum(m) OVER (PARTITION BY target_group) * 100, 6) AS source_mass_percent FROM m""")
 def _(s, d):
-    return diagnostics.weight_mass(anchored(s, d)).select("target_group", "source_group", "source_is_target", r("source_weight"), r("source_mass_percent"))
+    return diagnostics.weight_mass(stored_weights(s, d)).select("target_group", "source_group", "source_is_target", r("source_weight"), r("source_mass_percent"))
 
 
 @query("weight_diagnostics", W + """ SELECT target_group, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(*) FILTER (WHERE grp = target_group) AS BIGINT) AS n_target_cells, round(sum(w), 6) AS total_weight,
   round(sum(w) FILTER (WHERE grp = target_group), 6) AS target_weight, round(coalesce(sum(w) FILTER (WHERE grp <> target_group), 0), 6) AS external_weight, round(min(w), 6) AS min_weight, round(max(w), 6) AS max_weight,
   round(avg(w), 6) AS mean_weight, round(quantile_cont(w, 0.5), 6) AS median_weight, CAST(count(*) FILTER (WHERE w > 0) AS BIGINT) AS positive_cell_count FROM w GROUP BY target_group""")
 def _(s, d):
-    rows = diagnostics.weight_summary(anchored(s, d))
+    rows = diagnostics.weight_summary(stored_weights(s, d))
     doubles = ("total_weight", "target_weight", "external_weight", "min_weight", "max_weight", "mean_weight", "median_weight")
     return rows.select("target_group", "n_cells", "n_target_cells", *[r(c) for c in doubles], "positive_cell_count")
 
@@ -567,14 +574,14 @@ def _(s, d):
 @query("weight_quartiles", W + """ SELECT target_group, grp AS source_group, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(w, 0.25), 6) AS q25, round(quantile_cont(w, 0.5), 6) AS median, round(quantile_cont(w, 0.75), 6) AS q75,
   round(min(w), 6) AS min, round(max(w), 6) AS max, round(avg(w), 6) AS mean, CAST(count(*) FILTER (WHERE w > 0) AS BIGINT) AS positive FROM w GROUP BY ALL""")
 def _(s, d):
-    return diagnostics.weight_quartiles(anchored(s, d)).select("target_group", "source_group", "n", *[r(c) for c in ("q25", "median", "q75", "min", "max", "mean")], "positive")
+    return diagnostics.weight_quartiles(stored_weights(s, d)).select("target_group", "source_group", "n", *[r(c) for c in ("q25", "median", "q75", "min", "max", "mean")], "positive")
 
 
 @query("weight_warnings", W + """, t AS (SELECT target_group, count(*) AS n, sum(w) AS s, sum(w) * sum(w) / sum(w * w) AS ess, sum(w) FILTER (WHERE grp = target_group) AS own FROM w GROUP BY ALL),
   m AS (SELECT target_group, grp, sum(w) AS m FROM w GROUP BY ALL), dom AS (SELECT target_group, string_agg(grp, ',' ORDER BY grp) AS g FROM m JOIN t USING (target_group) WHERE grp <> target_group AND m / s > 0.05 GROUP BY ALL)
   SELECT target_group, s <= 0 AS degenerate, ess < greatest(2, 0.9 * n) AS low_ess, s - own > own AS external_exceeds_target, coalesce(g, '') AS dominant FROM t LEFT JOIN dom USING (target_group)""")
 def _(s, d):
-    w = anchored(s, d)
+    w = stored_weights(s, d)
     flags = diagnostics.warning_flags(diagnostics.weight_summary(w, quantiles=False), diagnostics.weight_mass(w), 0.9, 0.05)
     return flags.select("target_group", "degenerate", "low_ess", "external_exceeds_target", F.array_join("dominant_groups", ",").alias("dominant"))
 
@@ -634,7 +641,7 @@ def _results(s, d, method="extra-trees", counts=None, targets=("d2", "d3", "d5",
     order = c.select("cell").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF(["cell", "cell_ord"])
     x = expression(s, d).join(order, "cell").where(F.col("gene").isin(*targets, *EMBEDDING_TFS))
     vectors = forest.gene_vectors(x)
-    w = anchored(s, d).join(order, "cell")
+    w = stored_weights(s, d).join(order, "cell")
     n = c.count()
     if forest.shared_bytes(n, len(EMBEDDING_TFS), 100) > forest.BROADCAST_BYTES:
         raise ValueError("these predictors are beyond a broadcast: use fit_models_shuffled")
