@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from dataclasses import MISSING, fields
 
@@ -23,7 +24,12 @@ def bandwidth(text: str) -> str | float:
     return text if text == "auto" else float(text)
 
 
-_KINDS = {"max_features": max_features, "bandwidth": bandwidth, "report": None, "bootstrap": None}
+def threads(text: str) -> str | int:
+    """``auto`` or a number."""
+    return text if text == "auto" else int(text)
+
+
+_KINDS = {"threads": threads, "max_features": max_features, "bandwidth": bandwidth, "report": None, "bootstrap": None}
 
 
 def _flags(parser: argparse.ArgumentParser, config: type) -> None:
@@ -33,7 +39,8 @@ def _flags(parser: argparse.ArgumentParser, config: type) -> None:
             parser.add_argument(flag, action=argparse.BooleanOptionalAction, default=f.default)
             continue
         kind = _KINDS.get(f.name) or (int if str(f.type).startswith("int") else float if str(f.type).startswith("float") else str)
-        parser.add_argument(flag, required=f.default is MISSING, default=None if f.default is MISSING else f.default, type=kind, choices=CHOICES.get(f.name))
+        flags = [flag, "--tenx-h5"] if f.name == "counts" else [flag]
+        parser.add_argument(*flags, dest=f.name, required=f.default is MISSING, default=None if f.default is MISSING else f.default, type=kind, choices=CHOICES.get(f.name))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,13 +55,15 @@ def parser() -> argparse.ArgumentParser:
     two.add_argument("--checkpoint", action=argparse.BooleanOptionalAction, default=True)
     for p in (one, two):
         p.add_argument("--master", default=None)
+        p.add_argument("--log-level", choices=("DEBUG", "INFO", "WARNING", "ERROR"), default="WARNING")
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     """0: done; 2: invalid input or settings; 130: interrupted."""
     args = vars(parser().parse_args(argv))
-    command, master = args.pop("command"), args.pop("master")
+    command, master, level = args.pop("command"), args.pop("master"), args.pop("log_level")
+    logging.basicConfig(level=level, stream=sys.stderr)
     try:
         if command == "prepare":
             from popnet.plans.prepare import prepare

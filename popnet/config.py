@@ -17,6 +17,8 @@ CHOICES = {
     "distance_metric": ("euclidean", "cosine"),
     "kernel": ("gaussian", "exponential"),
     "group_size_correction": ("none", "cap-to-target"),
+    "pca_svd_solver": ("auto", "randomized", "full"),
+    "parallel_backend": ("auto", "threads", "processes"),
     "tree_method": ("extra-trees", "random-forest"),
     "gene_identifier": ("name", "id"),
     "duplicate_gene_policy": ("sum", "error"),
@@ -88,7 +90,11 @@ class PrepareConfig(_Checked):
 
 @dataclass(frozen=True, kw_only=True)
 class InferConfig(_Checked):
-    """Settings of an inference run."""
+    """Settings of an inference run.
+
+    ``pca_svd_solver``, ``threads`` and ``parallel_backend`` are accepted and recorded; the
+    eigenvectors are always those of the exact Gram matrix, and Spark schedules the work.
+    """
 
     expression: str
     tf_list: str
@@ -111,6 +117,9 @@ class InferConfig(_Checked):
     min_weight_fraction_leaf: float = 0.1
     bootstrap: bool | None = None
     random_seed: int = 123
+    pca_svd_solver: str = "auto"
+    threads: int | str = "auto"
+    parallel_backend: str = "auto"
     report: bool = True
     target_list: str | None = None
     centroid_weights: str | None = None
@@ -122,6 +131,8 @@ class InferConfig(_Checked):
             self._whole(name, least)
         if self.max_depth is not None:
             self._whole("max_depth", 1)
+        if self.threads != "auto":
+            self._whole("threads", 1)
         if self.random_seed > MAX_SEED:
             raise ValueError(f"random_seed must be at most {MAX_SEED}")
         if self.bandwidth != "auto":

@@ -8,7 +8,6 @@ split only where the order is semantic (lists), else from the data's own positio
 from __future__ import annotations
 
 import csv
-import hashlib
 import io
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,26 +28,19 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def fingerprint(spark: SparkSession, path: str) -> dict:
-    """SHA-256 and size of a file's bytes, streamed through the driver from any store."""
+    """SHA-256 and size of a file's exact bytes, streamed inside the JVM from any store; a size that changes meanwhile is an error."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     size = fs.getFileStatus(target).getLen()
-    digest, seen = hashlib.sha256(), 0
-    for batch in spark.read.format("binaryFile").load(path).select("content").toLocalIterator() if size < 1 << 30 else ():
-        digest.update(batch[0])
-        seen += len(batch[0])
-    if size >= 1 << 30:  # too large for one row
-        stream = fs.open(target)
-        md = jvm.java.security.MessageDigest.getInstance("SHA-256")
-        wrapped = jvm.java.security.DigestInputStream(stream, md)
-        while wrapped.skip(1 << 26) > 0:
-            pass
-        wrapped.close()
-        return {"path": path, "bytes": size, "sha256": md.digest().hex() if isinstance(md.digest(), bytes) else ""}
-    if seen != size:
+    stream = fs.open(target)
+    try:
+        digest = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+    if fs.getFileStatus(target).getLen() != size:
         raise InputError(f"{path} changed while it was read")
-    return {"path": path, "bytes": size, "sha256": digest.hexdigest()}
+    return {"path": path, "bytes": size, "sha256": digest}
 
 
 def _valid_utf8(spark: SparkSession, path: str) -> None:
