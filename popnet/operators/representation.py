@@ -1,15 +1,16 @@
 """Distance representation: the expression itself, or its principal components.
 
-The smaller Gram matrix decides: with fewer genes than cells, genes x genes sums of
-products are accumulated over Arrow batches; a task sends its partial matrix in blocks of
-rows, and only the summed matrix (bounded by ``MAX_GRAM``) reaches the driver for its
-eigenvectors.  With fewer cells than genes the roles are changed.  Scores come from one
-more narrow pass with the loadings broadcast.
+With few genes (``MAX_GRAM``) the genes' sums of products are accumulated over Arrow
+batches, a partial matrix per task, summed row by row on the executors; the driver takes
+the summed matrix apart.  With few cells, their own products serve.  With many of both,
+subspace iteration multiplies a thin matrix (genes x components) by the scatter matrix in
+one narrow pass each round, until its eigenvalues settle.  Scores come from one more
+narrow pass with the loadings broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from popnet.operators.checks import InputError
 
 #: Rows of the Gram matrix that the driver takes apart, at most.
-MAX_GRAM = 8192
+MAX_GRAM = 4096
+#: Columns beside the components, and rounds at most, of the subspace iteration.
+SPARE, ROUNDS = 10, 100
 
 
 @dataclass(frozen=True)
@@ -32,32 +35,33 @@ class Representation:
     reason: str = ""
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, values): the rows of this task's sum of outer products of (1, v)."""
-    total = None
-    for batch in batches:
-        if batch.num_rows:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            x = np.hstack([np.ones((len(x), 1)), x])
-            total = x.T @ x if total is None else total + x.T @ x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "values"])
+def _block(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def _gram(cells: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(count, mean, centred sums of products); values are moved by a first row's, which keeps the products small."""
-    parts = cells.select("v").mapInArrow(_sums, "row int, values array<double>")
-    d = parts.select(F.size("values")).first()
-    if d is None:
-        raise InputError("no cells")
-    # element by element: combined before the shuffle
-    summed = parts.select("row", F.posexplode("values").alias("col", "value")).groupBy("row", "col").agg(F.sum("value").alias("value"))
-    got = summed.toArrow()
-    m = np.zeros((d[0], d[0]))
-    m[got.column(0).to_numpy(), got.column(1).to_numpy()] = got.column(2).to_numpy()
-    n = m[0, 0]
-    mean = m[0, 1:] / n
-    return int(n), mean, m[1:, 1:] - n * np.outer(mean, mean)
+def _add(table: pa.Table) -> pa.Table:
+    """The sum of one row's parts."""
+    column = table.column("values").combine_chunks()
+    total = column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).sum(axis=0)
+    return pa.table({"row": pa.array([table.column("row")[0].as_py()], pa.int32()), "values": pa.array([total], pa.list_(pa.float64()))})
+
+
+def _total(cells: DataFrame, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all cells of ``part`` (a block of cells to a matrix): a matrix per task, added by row on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                one = part(_block(batch))
+                total = one if total is None else total + one
+        for i in range(0, 0 if total is None else len(total), 256):
+            some = total[i : i + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(some)), pa.int32()), pa.array(list(some), pa.list_(pa.float64()))], names=["row", "values"])
+
+    schema = "row int, values array<double>"
+    got = cells.select("v").mapInArrow(run, schema).groupBy("row").applyInArrow(_add, schema).toArrow().sort_by("row")
+    return got.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
@@ -66,33 +70,31 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[at, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
-def principal_components(cells: DataFrame, n_components: int = 50) -> Representation:
+def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0) -> Representation:
     """The first min(n_components, genes, cells - 1) principal components of ``cells`` (cell, grp, v), at least one.
 
     An action.  Without variance all scores and ratios are zero and the reason says so.
     """
-    d = cells.select(F.size("v")).first()
-    if d is None:
+    first = cells.select("v").first()
+    if first is None:
         raise InputError("no cells")
-    if d[0] > MAX_GRAM:
-        return _dual(cells, n_components)
-    shift = np.array(cells.select("v").first()[0], float)
-    held = cells.sparkSession.sparkContext.broadcast(shift)
-
-    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - held.value
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["v"])
-
-    n, mean, scatter = _gram(cells.select("v").mapInArrow(less, "v array<double>"))
-    mean = mean + shift
-    k = min(n_components, max(1, min(d[0], n - 1)))
-    values, vectors = np.linalg.eigh(scatter)
-    order = np.argsort(values)[::-1][:k]
-    total = float(np.trace(scatter))
+    shift = np.array(first[0], float)  # values are moved by a cell's, which keeps the products small
+    d = len(shift)
+    sums = _total(cells, lambda x: np.stack([np.full(d, float(len(x))), (x - shift).sum(axis=0), ((x - shift) ** 2).sum(axis=0)]))
+    n, off = int(sums[0, 0]), sums[1] / sums[0]
+    mean, total = shift + off, float((sums[2] - sums[0] * off * off).clip(0).sum())
+    k = min(n_components, max(1, min(d, n - 1)))
     reason = "fewer than two cells" if n < 2 else "no variance" if total <= 0 else ""
-    ratios = np.zeros(k) if reason else np.clip(values[order], 0, None) / total
-    loadings = _signed(vectors[:, order]) * (0.0 if reason else 1.0)
+    if not reason and d > MAX_GRAM and n <= MAX_GRAM:
+        return _dual(cells, k)
+    if reason:
+        loadings, values = np.zeros((d, k)), np.zeros(k)
+    elif d <= MAX_GRAM:
+        found, vectors = np.linalg.eigh(_total(cells, lambda x: (x - mean).T @ (x - mean)))
+        order = np.argsort(found)[::-1][:k]
+        values, loadings = found[order], _signed(vectors[:, order])
+    else:
+        values, loadings = _subspace(cells, mean, k, seed)
     basis = cells.sparkSession.sparkContext.broadcast((mean, loadings))
     kinds = dict(cells.dtypes)
 
@@ -103,28 +105,41 @@ def principal_components(cells: DataFrame, n_components: int = 50) -> Representa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list((x - m) @ b), pa.list_(pa.float64()))], names=["cell", "grp", "v"])
 
     scores = cells.select("cell", "grp", "v").mapInArrow(project, f"cell {kinds['cell']}, grp {kinds['grp']}, v array<double>")
+    ratios = np.clip(values, 0, None) / total if total > 0 else np.zeros(k)
     return Representation(scores, tuple(ratios.tolist()), k, reason)
 
 
-def _dual(cells: DataFrame, n_components: int) -> Representation:
-    """More genes than a Gram matrix may have rows: from the cells' own products, for at most MAX_GRAM cells."""
-    n = cells.count()
-    if n > MAX_GRAM:
-        raise InputError(f"both {n} cells and the genes are above {MAX_GRAM}; choose fewer genes or the expression space")
-    rows = cells.select("cell", "grp", "v").orderBy("cell").collect()  # n is checked
+def _subspace(cells: DataFrame, mean: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues and vectors of the scatter matrix, by iteration on a thin matrix; settled at a relative change of 1e-10."""
+    wide = min(len(mean), k + SPARE)
+    w, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), wide)))
+    before = np.zeros(k)
+    for _ in range(ROUNDS):
+        held = cells.sparkSession.sparkContext.broadcast(w)
+        new = _total(cells, lambda x, held=held: (x - mean).T @ ((x - mean) @ held.value))
+        values, vectors = np.linalg.eigh((w.T @ new + new.T @ w) / 2)
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        if np.abs(values - before).max() <= 1e-10 * max(values[0], 1e-300):
+            break
+        before = values
+        w, _ = np.linalg.qr(new)
+    return values, _signed(w @ vectors)
+
+
+def _dual(cells: DataFrame, k: int) -> Representation:
+    """From the cells' own products; their number has been checked."""
+    rows = cells.select("cell", "grp", "v").orderBy("cell").collect()
     x = np.array([r["v"] for r in rows], float)
     x -= x.mean(axis=0)
     values, vectors = np.linalg.eigh(x @ x.T)
-    k = min(n_components, max(1, min(x.shape[1], n - 1)))
     order = np.argsort(values)[::-1][:k]
-    total = float((x * x).sum())
-    reason = "fewer than two cells" if n < 2 else "no variance" if total <= 0 else ""
     top = np.clip(values[order], 0, None)
-    scores = vectors[:, order] * np.sqrt(top) * (0.0 if reason else 1.0)
-    signs = np.where(np.array([(x.T @ scores[:, j])[np.abs(x.T @ scores[:, j]).argmax()] for j in range(k)]) < 0, -1.0, 1.0)
+    scores = vectors[:, order] * np.sqrt(top)
+    loads = x.T @ scores
+    signs = np.where(loads[np.abs(loads).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
     kinds = dict(cells.dtypes)
     out = cells.sparkSession.createDataFrame([(r["cell"], r["grp"], s.tolist()) for r, s in zip(rows, scores * signs, strict=True)], f"cell {kinds['cell']}, grp {kinds['grp']}, v array<double>")
-    return Representation(out, tuple((np.zeros(k) if reason else top / total).tolist()), k, reason)
+    return Representation(out, tuple((top / float((x * x).sum())).tolist()), k)
 
 
 def represent(cells: DataFrame, space: str = "pca", n_components: int = 50, standardise: bool = False) -> Representation:
