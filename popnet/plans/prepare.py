@@ -13,7 +13,7 @@ from popnet.operators.checks import InputError, missing_from, require_none
 from popnet.operators.quantiles import exact_quantiles
 from popnet.sinks import published, unit_directory, wide_expression, write_json, write_text
 from popnet.sources import counts as count_sources, text
-from popnet.storage import written
+from popnet.storage import exists, written
 
 
 @dataclass(frozen=True)
@@ -58,10 +58,9 @@ def units(matrix: count_sources.CountMatrix, annotations: DataFrame, tfs: DataFr
 def _matrix(spark: SparkSession, path: str) -> count_sources.CountMatrix:
     if path.endswith((".h5", ".hdf5")):
         return count_sources.from_hdf5(spark, path)
-    names = os.listdir(path)
-    if "counts" in names:
+    if exists(spark, f"{path}/counts"):
         return count_sources.from_parquet(spark, path)
-    return count_sources.from_mex(spark, path, ".gz" if "matrix.mtx.gz" in names else "")
+    return count_sources.from_mex(spark, path, ".gz" if exists(spark, f"{path}/matrix.mtx.gz") else "")
 
 
 def prepare(spark: SparkSession, config: PrepareConfig) -> PrepareResult:

@@ -13,14 +13,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.operators.checks import InputError
-from popnet.storage import delete_path
+from popnet.storage import delete_path, exists
 
 KEYS = ["target_group", "target"]
 
 
-def identity(parameters: dict, inputs: dict[str, str], targets: list[str], groups: list[str]) -> str:
-    """A digest of what decides the results; paths and resources stay out."""
-    text = json.dumps({"parameters": parameters, "inputs": inputs, "targets": targets, "groups": groups}, sort_keys=True)
+def identity(parameters: dict, inputs: dict[str, str]) -> str:
+    """A digest of what decides the results, inputs by their own digests; paths and resources stay out."""
+    text = json.dumps({"parameters": parameters, "inputs": inputs}, sort_keys=True)
     return hashlib.sha256(text.encode()).hexdigest()
 
 
@@ -31,8 +31,7 @@ class Checkpoint:
         self.spark, self.path, self.digest = spark, path.rstrip("/"), digest
 
     def _has(self, name: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return bool(target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target))
+        return exists(self.spark, f"{self.path}/{name}")
 
     def open(self, resume: bool) -> None:
         """Start, or go on: an identity other than the run's is an error, as is a checkpoint when not resuming."""

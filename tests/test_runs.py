@@ -61,9 +61,8 @@ def test_inference_publishes_all_artifacts(spark, four):
 
 
 def test_modes_and_space(spark, four):
-    for mode in ("cell-distance", "group-distance"):
-        assert infer(spark, config(four, weight_mode=mode, out=mode, report=False), checkpoint=False).failed_models == 0
-    run = infer(spark, config(four, distance_space="pca", out="pca", tree_method="random-forest", target_list=None), checkpoint=False)
+    assert infer(spark, config(four, weight_mode="group-distance", out="groups", report=False), checkpoint=False).failed_models == 0
+    run = infer(spark, config(four, distance_space="pca", weight_mode="cell-distance", out="pca", tree_method="random-forest"), checkpoint=False)
     assert run.n_edges > 0 and (four / "pca" / "pca_explained_variance.tsv").exists() and lines(four / "pca" / "cell_embedding.tsv.gz")[0] == ["cell", "group", "PC1", "PC2", "PC3"]
 
 
