@@ -29,19 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popnet.llm.shared import table
+from popnet.llm.shared import bounded, table, tidied
 
 VOCABULARY = "byte_bpe_50k.json"
 MASK_BITS = 10
 SHORTEST, LONGEST = 128, 1 << 14
 #: Bytes of chunks (text and ids) that a worker keeps.
 KEPT = 48 << 20
-#: Bytes of text handled at once.
-SLICE = 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -249,14 +246,8 @@ def _bounded(text: bytes, ends: list[int]) -> list[int]:
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """The ids and texts of a batch (id, text), a bounded number of bytes at a time; null texts are empty."""
-    texts = batch.column(1).cast(pa.binary())
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    at, n = 0, batch.num_rows
-    total = np.concatenate(([0], np.cumsum(sizes)))
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE, side="right")) - 1)
-        yield batch.column(0).slice(at, to - at), [t or b"" for t in texts.slice(at, to - at).to_pylist()]
-        at = to
+    for part in bounded(iter([batch]), 1):
+        yield part.column(0), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], name: str, decode: bool) -> Iterator[pa.RecordBatch]:
@@ -280,7 +271,7 @@ def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True) -> Dat
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids binary" + (", decoded string" if decode else "")
-    return rows.mapInArrow(lambda it: _encode(it, vocab, decode), schema)
+    return rows.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from popnet.llm.bpe import slices
-from popnet.llm.shared import table
+from popnet.llm.shared import bounded, table, tidied
 
 #: Labelled documents per language that the model is learned from, about.
 SAMPLE = 2000
@@ -92,7 +92,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
             keep |= F.col("lang") == lang
         else:
             keep |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
-    counted = rows.where(keep).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.where(keep).mapInArrow(lambda it: tidied(_counted(it)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     langs = sorted(set(got.column(0).unique().to_pylist()))
     if not langs:
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
-    return rows.mapInArrow(lambda it: _predicted(it, *held.value), schema)
+    return rows.mapInArrow(lambda it: tidied(_predicted(it, *held.value)), schema)
 
 
 def speaking(docs: DataFrame, labelled: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
@@ -187,12 +187,12 @@ def speaking(docs: DataFrame, labelled: DataFrame, least: float = LEAST, sample:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, at):
             rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             found = [x for part in _predicted(iter([rows]), *held.value) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield batch.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: tidied(run(it)), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

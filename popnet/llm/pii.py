@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.llm.bpe import slices
-from popnet.llm.shared import table, written
+from popnet.llm.shared import bounded, table, tidied, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "handle", "local", "ssn", "iban")
@@ -186,7 +186,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): all candidates of each row with their votes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_spans, f"doc_id long, spans {SPANS}")
+    return rows.mapInArrow(lambda it: tidied(_spans(it)), f"doc_id long, spans {SPANS}")
 
 
 def unpack(code: np.ndarray) -> np.ndarray:
@@ -287,12 +287,12 @@ def mask(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, at):
             cols = list(batch.columns)
             cols[at] = pa.array([None if t is None else masked(t, taken) for t in batch.column(at).to_pylist()], batch.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: tidied(run(it)), docs.schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from popnet.llm.graph import components
-from popnet.llm.shared import table, written
+from popnet.llm.shared import bounded, table, tidied, written
 
 SEED = 42
 WIDTH = 3
@@ -65,7 +65,7 @@ def _signed(x: int) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches, 1):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         found = [_signed(fingerprint(t or b"", width, seed)) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
@@ -74,7 +74,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> I
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per row of ``docs``."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(lambda it: _fingerprints(it, width, seed), "doc_id long, fp long")
+    return ids.mapInArrow(lambda it: tidied(_fingerprints(it, width, seed)), "doc_id long, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -157,7 +157,7 @@ def links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -
     buckets = (
         keyed.groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("part", "fps")
     )
-    return buckets.mapInArrow(lambda it: _linked(it, masks, distance), "a long, b long")
+    return buckets.mapInArrow(lambda it: tidied(_linked(it, masks, distance)), "a long, b long")
 
 
 def groups(hashed: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
@@ -194,13 +194,13 @@ def representatives(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block
     at = [docs.columns.index(c) for c in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, at[1]):
             texts = batch.column(at[1]).cast(pa.binary()).to_pylist()
             fps = pa.array([_signed(fingerprint(t or b"", width, seed)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "__dup_fp"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__dup_fp", T.LongType())])
-    keyed = docs.mapInArrow(run, schema).withColumn("__dup_none", F.col("doc_id").isNull()).withColumn("__dup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    keyed = docs.mapInArrow(lambda it: tidied(run(it)), schema).withColumn("__dup_none", F.col("doc_id").isNull()).withColumn("__dup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
     key = ["__dup_id", "__dup_none", "__dup_fp"]
     rows = keyed.join(chosen, key, "left_semi")
     w = Window.partitionBy(*key).orderBy(F.xxhash64("text"))

@@ -26,8 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popnet.llm.bpe import SLICE, VOCABULARY, Vocabulary, vocabulary
-from popnet.llm.shared import table
+from popnet.llm.bpe import VOCABULARY, Vocabulary, vocabulary
+from popnet.llm.shared import SLICE, bounded, table, tidied
 
 #: Code points in a segment, about: the next boundary behind so many ends it.
 SEGMENT = 512
@@ -138,7 +138,7 @@ class Tree:
 
 def _apply(batches: Iterator[pa.RecordBatch], name: str, text_out: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(name)
-    for batch in batches:
+    for batch in bounded(batches, 1):
         ids, texts, edits = (batch.column(i) for i in range(3))
         rows: list[tuple] = []
         held = first = 0
@@ -176,7 +176,7 @@ def edited_counts(docs: DataFrame, edits: DataFrame | None = None, vocab: str =
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id", "left")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array_sort(F.col("edits").cast(EDITS)).alias("edits"))
     schema = "doc_id long, n_tokens long, n_tokens_after long, chars_encoded long, chars_reencoded long, n_edits long" + (", text string" if text_out else "")
-    return rows.mapInArrow(lambda it: _apply(it, vocab, text_out), schema)
+    return rows.mapInArrow(lambda it: tidied(_apply(it, vocab, text_out)), schema)
 
 
 def stated_edits(docs: DataFrame) -> DataFrame:
