@@ -1,9 +1,10 @@
 """BPE encoding and decoding with content-defined chunk reuse (operator 3).
 
 A text is cut where a hash of the 16 bytes before a place has ``mask_bits`` leading zeros,
-so equal passages of different documents give equal chunks.  A chunk is encoded once per
-worker and kept (bounded in bytes, oldest generation dropped first).  A cut may fall inside
-a pre-token, so every join is repaired: from the last synchronising token left of the cut
+so equal passages of different documents give equal chunks.  Chunks that several texts
+have are encoded once in the whole corpus and brought to those texts (see ``encode``);
+others are encoded where they are, and a worker keeps them for a while (bounded in bytes,
+oldest generation dropped first).  A cut may fall inside a pre-token, so every join is repaired: from the last synchronising token left of the cut
 to the first one right of it the text is encoded again, and the window's ends are places
 at which both sides agree.  A synchronising token begins with a space and an ASCII letter:
 the splitting pattern starts a pre-token at every such place, whatever stands around it.
@@ -30,15 +31,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popnet.llm.shared import bounded, table, tidied
+from popnet.llm.shared import bounded, table, tidied, written
 
 VOCABULARY = "byte_bpe_50k.json"
 MASK_BITS = 10
 SHORTEST, LONGEST = 128, 1 << 14
 #: Bytes of chunks (text and ids) that a worker keeps.
-KEPT = 48 << 20
+KEPT = 16 << 20
+#: Bits of the filter of shared chunks at most, bytes of its blocks, and digests that a task remembers.
+FILTER_BITS, BLOCK, REMEMBERED = 1 << 26, 4096, 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,9 +85,13 @@ class Vocabulary:
         """Ids of a text without added tokens."""
         return np.array(self.plain.encode_ordinary(text.decode("utf-8")), np.uint32)
 
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids."""
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.join(ids).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -131,13 +139,18 @@ class Chunks:
         self.vocab, self.kept = vocab, kept
         self.young: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
+        self.given: dict[bytes, np.ndarray] = {}
         self.used = self.encoded = self.reused = 0
 
     def ids(self, chunk: bytes) -> np.ndarray:
-        """Ids of a chunk on its own."""
+        """Ids of a chunk on its own: kept ones, those given for the text at hand (if they decode to the chunk), or fresh ones."""
         found = self.young.get(chunk)
         if found is None:
             found = self.old.get(chunk)
+            if found is None and self.given:
+                found = self.given.get(digest(chunk))
+                if found is not None and self.vocab.join(found) != chunk:
+                    found = None
             if found is None:
                 found = self.vocab.encode(chunk)
                 self.encoded += 1
@@ -186,12 +199,11 @@ def encode_text(text: bytes, ends: list[int], chunks: Chunks) -> np.ndarray:
     return np.concatenate(out)
 
 
-def encode_slice(texts: list[bytes], chunks: Chunks, mask_bits: int = MASK_BITS) -> list[np.ndarray]:
-    """Ids of each text; the places to cut are found for all at once."""
-    vocab = chunks.vocab
+def cut_slice(texts: list[bytes], vocab: Vocabulary, mask_bits: int = MASK_BITS) -> tuple[list[bytes], list[list[int]], list[list]]:
+    """(segments, their chunks' ends, and for each text its parts: (segment's number,) or an added token's id); all texts are cut at once."""
     added = [(t.encode(), i) for t, i in vocab.added.items()]
     plain: list[bytes] = []
-    shape: list[list] = []  # for each text: indices into plain, and ids of added tokens
+    shape: list[list] = []
     for t in texts:
         segments: list = [t]
         for mark, i in added:
@@ -207,10 +219,14 @@ def encode_slice(texts: list[bytes], chunks: Chunks, mask_bits: int = MASK_BITS)
     starts = np.concatenate(([0], np.cumsum([len(p) for p in plain]))).astype(np.int64)
     # a hash over two texts' bytes is no cut of the second one
     lo, hi = np.searchsorted(found, starts[:-1] + 16), np.searchsorted(found, starts[1:])
-    done = []
-    for k, p in enumerate(plain):
-        ends = spaced((found[lo[k] : hi[k]] - starts[k]).tolist(), 0, len(p))
-        done.append(encode_text(p, _bounded(p, ends), chunks))
+    ends = [_bounded(p, spaced((found[lo[k] : hi[k]] - starts[k]).tolist(), 0, len(p))) for k, p in enumerate(plain)]
+    return plain, ends, shape
+
+
+def encode_slice(texts: list[bytes], chunks: Chunks, mask_bits: int = MASK_BITS) -> list[np.ndarray]:
+    """Ids of each text."""
+    plain, ends, shape = cut_slice(texts, chunks.vocab, mask_bits)
+    done = [encode_text(p, e, chunks) for p, e in zip(plain, ends, strict=True)]
     none = np.empty(0, np.uint32)
     return [np.concatenate([none, *[np.array([s], np.uint32) if isinstance(s, int) else done[s[0]] for s in row]]) for row in shape]
 
@@ -250,28 +266,169 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
         yield part.column(0), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], name: str, decode: bool) -> Iterator[pa.RecordBatch]:
+def digest(chunk: bytes) -> bytes:
+    """A chunk's name: 16 bytes."""
+    return xxhash.xxh3_128_digest(chunk)
+
+
+class Filter:
+    """A Bloom filter of digests; its size follows their number up to FILTER_BITS, beyond which more chunks than needed pass."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.n = bits, len(bits) * 8
+
+    @staticmethod
+    def places(digests: np.ndarray, n: int) -> np.ndarray:
+        """The bits of digests (rows of two 64-bit words)."""
+        with np.errstate(over="ignore"):
+            return np.stack([(digests[:, 0] + np.uint64(i) * (digests[:, 1] | np.uint64(1))) % np.uint64(n) for i in range(4)])
+
+    def hits(self, digests: list[bytes]) -> np.ndarray:
+        """Whether each digest may be in the filter."""
+        if not digests:
+            return np.empty(0, bool)
+        at = self.places(np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2), self.n)
+        return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def _named(texts: list[bytes], vocab: Vocabulary) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """Each text's chunks and their digests."""
+    plain, ends, shape = cut_slice(texts, vocab)
+    for row in shape:
+        chunks = []
+        for part in row:
+            if not isinstance(part, int):
+                p, e = plain[part[0]], ends[part[0]]
+                chunks += [p[a:b] for a, b in zip([0, *e], e, strict=False)]
+        yield chunks, [digest(c) for c in chunks]
+
+
+def _digests(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """(h): the digests of each text's chunks, once a text."""
     vocab = vocabulary(name)
-    chunks = Chunks(vocab)
     for batch in batches:
-        for ids, texts in slices(batch):
+        for _, texts in slices(batch):
+            found = [h for _, hs in _named(texts, vocab) for h in dict.fromkeys(hs)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["h"])
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(block, bits): the blocks of a filter that this task's digests touch."""
+    bits = np.zeros(n // 8, np.uint8)
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(-1, 2)
+        at = Filter.places(words, n).ravel()
+        np.bitwise_or.at(bits, at >> np.uint64(3), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+    blocks = bits.reshape(-1, BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "bits"])
+
+
+def _either(table_: pa.Table) -> pa.Table:
+    rows = [np.frombuffer(b, np.uint8) for b in table_.column("bits").to_pylist()]
+    return pa.table({"block": table_.column("block").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+
+def shared_filter(rows: DataFrame, name: str) -> Filter | None:
+    """A filter of the digests that two or more texts have, None if there are none.  What reaches the driver is the filter."""
+    counted = rows.mapInArrow(lambda it: tidied(_digests(it, name)), "h binary").groupBy("h").agg(F.count("*").alias("n"))
+    several = written(counted.where("n > 1").select("h"), "shared-chunks")
+    n = several.count()
+    if not n:
+        return None
+    bits = min(FILTER_BITS, max(BLOCK * 8, 1 << (16 * n - 1).bit_length()))
+    parts = several.mapInArrow(lambda it: _filter_parts(it, bits), "block long, bits binary")
+    out = np.zeros((bits // 8 // BLOCK, BLOCK), np.uint8)
+    for r in parts.groupBy("block").applyInArrow(_either, "block long, bits binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(out.ravel())
+
+
+def _references(batches: Iterator[pa.RecordBatch], name: str, some: Filter) -> Iterator[pa.RecordBatch]:
+    """(key, h, chunk) of the chunks that pass the filter; a task gives a chunk's bytes once, as far as it remembers."""
+    vocab, told = vocabulary(name), set()
+    for batch in batches:
+        for keys, texts in slices(batch):
+            rows: list[tuple] = []
+            for key, (chunks, names) in zip(keys.to_pylist(), _named(texts, vocab), strict=True):
+                for i in np.flatnonzero(some.hits(names)).tolist():
+                    rows.append((key, names[i], None if names[i] in told else chunks[i]))
+                    told.add(names[i])
+            if len(told) > REMEMBERED:
+                told = set()
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "h", "chunk"])
+
+
+def _encode_chunks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """(h, ids): each shared chunk, encoded once."""
+    vocab = vocabulary(name)
+    for batch in bounded(batches, 1):
+        ids = [vocab.encode(c).astype("<u4").tobytes() for c in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], name: str, some: Filter) -> Iterator[pa.RecordBatch]:
+    """The rows (doc_id, text, key) with a chunk that passes the filter."""
+    vocab = vocabulary(name)
+    for batch in bounded(batches, 1):
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield batch.filter(pa.array([bool(some.hits(names).any()) for _, names in _named(texts, vocab)], pa.bool_()))
+
+
+def _encode(batches: Iterator[pa.RecordBatch], name: str, decode: bool, closed_to: Filter | None = None) -> Iterator[pa.RecordBatch]:
+    """The results of rows (doc_id, text[, given: ids of shared chunks]); with ``closed_to`` of those without a chunk that passes."""
+    vocab = vocabulary(name)
+    chunks = Chunks(vocab)
+    for batch in bounded(batches, 1):
+        if closed_to is not None:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            batch = batch.filter(pa.array([not closed_to.hits(names).any() for _, names in _named(texts, vocab)], pa.bool_()))
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        if batch.num_columns > 2:
+            found = []
+            for text, given in zip(texts, batch.column(2).to_pylist(), strict=True):
+                chunks.given = {g["h"]: np.frombuffer(g["ids"], "<u4").astype(np.uint32) for g in given or ()}
+                found += encode_slice([text], chunks)
+        else:
             found = encode_slice(texts, chunks)
-            out = [ids, pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())]
-            names = ["doc_id", "n_tokens", "ids"]
-            if decode:
-                out.append(pa.array([vocab.decode(f) for f in found], pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+        out = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())]
+        names = ["doc_id", "n_tokens", "ids"]
+        if decode:
+            out.append(pa.array([vocab.decode(f) for f in found], pa.string()))
+            names.append("decoded")
+        yield pa.RecordBatch.from_arrays(out, names=names)
 
 
-def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True, reuse: str = "corpus") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): a row per row of ``docs`` (doc_id, text).
 
     ``ids`` is binary, little-endian unsigned 32-bit integers; ``decoded`` is their text.
+
+    ``reuse`` ``corpus``: chunks that two or more texts have are encoded once in all.  Their
+    digests are counted, a filter of them (bounded) is broadcast, and only texts with such a
+    chunk are shuffled, to the ids of their shared chunks; all others are encoded in place.
+    ``task``: no shuffle; chunks are encoded once by each worker while it keeps them.
     """
+    if reuse not in ("corpus", "task"):
+        raise ValueError(f"unknown reuse {reuse!r}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids binary" + (", decoded string" if decode else "")
-    return rows.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema)
+    some = shared_filter(rows.select("doc_id", "text"), vocab) if reuse == "corpus" else None
+    if some is None:
+        return rows.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema)
+    held = docs.sparkSession.sparkContext.broadcast(some)
+    alone = rows.mapInArrow(lambda it: tidied(_encode(it, vocab, decode, held.value)), schema)
+    # texts go by a hash: equal ones share their list, and a collision only makes a list longer, as digests name its entries
+    keyed = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    refs = written(keyed.select("key", "text").mapInArrow(lambda it: tidied(_references(it, vocab, held.value)), "key long, h binary, chunk binary"), "references")
+    chunks = refs.where("chunk is not null").groupBy("h").agg(F.any_value("chunk").alias("chunk"))
+    encoded = written(chunks.mapInArrow(lambda it: tidied(_encode_chunks(it, vocab)), "h binary, ids binary"), "encoded-chunks")
+    lists = refs.select("key", "h").distinct().join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
+    several = keyed.mapInArrow(lambda it: tidied(_open(it, vocab, held.value)), keyed.schema)
+    joined = several.join(lists, "key", "left").select("doc_id", "text", "given")
+    return alone.unionByName(joined.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

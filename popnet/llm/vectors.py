@@ -38,12 +38,7 @@ def query_blocks(queries: DataFrame, query_bytes: int = QUERY_BYTES) -> Iterator
     for block in range(blocks):
         got = dealt.where(F.col("block") == block).select("id", "v").distinct().orderBy("id", "v").toArrow()
         if got.num_rows:
-            yield [part for batch in got.to_batches() for part in matrices(batch)] if blocks == 1 and got.column(0).num_chunks == 1 else _regroup(got)
-
-
-def _regroup(got: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    whole = got.combine_chunks().to_batches()
-    return [part for batch in whole for part in matrices(batch)]
+            yield [part for batch in got.combine_chunks().to_batches() for part in matrices(batch)]
 
 
 def matrices(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:

@@ -72,6 +72,29 @@ def test_encode_table(spark, library):
     assert bpe.encode(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 26, bpe.BLOCK * 8])
+def test_shared_chunks_are_encoded_once_for_the_corpus(spark, library, monkeypatch, bits):
+    monkeypatch.setattr(bpe, "FILTER_BITS", bits)
+    passages = texts(6, 21, 6000)
+    rows = [(i, f"own start {i} " + passages[i % 6] + passages[(i * 5 + 1) % 6] + f" own end {i}") for i in range(40)] + [(100 + i, passages[0]) for i in range(20)] + [(200, "alone " * 900), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    some = bpe.shared_filter(df, bpe.VOCABULARY)
+    names = [h for _, hs in bpe._named([passages[0].encode()], bpe.vocabulary()) for h in hs]
+    assert some.hits(names).mean() > 0.5 and some.n <= bits
+    a, b = ({r["doc_id"]: (r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in bpe.encode(df, reuse=how).collect()} for how in ("corpus", "task"))
+    assert a == b and len(a) == len(rows)
+    for i, t in rows:
+        assert np.frombuffer(a[i][1], "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids and a[i][2] == (t or "")
+
+
+def test_given_ids_are_held_against_the_chunk():
+    vocab = bpe.vocabulary()
+    chunks = bpe.Chunks(vocab)
+    chunks.given = {bpe.digest(b"one two"): vocab.encode(b"one six"), bpe.digest(b" three"): vocab.encode(b" three")}
+    assert chunks.ids(b"one two").tolist() == vocab.encode(b"one two").tolist() and chunks.encoded == 1
+    assert chunks.ids(b" three").tolist() == vocab.encode(b" three").tolist() and chunks.encoded == 1
+
+
 def test_encode_query(spark, library):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in bpe.op3_bpe(spark, "/root/testdata/sf0.001").collect():
