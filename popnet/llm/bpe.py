@@ -426,6 +426,7 @@ def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True, reuse:
     chunks = refs.where("chunk is not null").groupBy("h").agg(F.any_value("chunk").alias("chunk"))
     encoded = written(chunks.mapInArrow(lambda it: tidied(_encode_chunks(it, vocab)), "h binary, ids binary"), "encoded-chunks")
     lists = refs.select("key", "h").distinct().join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
+    lists = written(lists, "lists")  # the join below is then a join alone, whose large partitions (many copies of a text) are split
     several = keyed.mapInArrow(lambda it: tidied(_open(it, vocab, held.value)), keyed.schema)
     joined = several.join(lists, "key", "left").select("doc_id", "text", "given")
     return alone.unionByName(joined.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema))
