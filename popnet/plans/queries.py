@@ -636,18 +636,18 @@ def _(s, d):
     return found.cells.select("cell", "grp", *[F.get("v", F.lit(i)).alias(f"pc{i + 1}") for i in range(3)])
 
 
-def _results(s, d, method="extra-trees", counts=None, targets=("d2", "d3", "d5", "d7")):
+def _results(s, d, method="extra-trees", counts=None):
+    """Every dimension is a target, in every group, with the run's own number of trees."""
     c = cells(s, d)
     order = c.select("cell").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF(["cell", "cell_ord"])
-    x = expression(s, d).join(order, "cell").where(F.col("gene").isin(*targets, *EMBEDDING_TFS))
-    vectors = forest.gene_vectors(x)
+    vectors = written(forest.gene_vectors(expression(s, d).join(order, "cell")), "genes")
     w = stored_weights(s, d).join(order, "cell")
     n = c.count()
     if forest.shared_bytes(n, len(EMBEDDING_TFS), 100) > forest.BROADCAST_BYTES:
         raise ValueError("these predictors are beyond a broadcast: use fit_models_shuffled")
     shared = forest.share(vectors, EMBEDDING_TFS, w, n)
-    tasks = vectors.where(F.col("gene").isin(*targets)).select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(c.select(F.col("grp").alias("target_group")).distinct()))
-    return forest.fit_models(tasks.repartition(8, "target_group", "target"), shared, ForestParams(method, n_estimators=10), 123, counts)
+    tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(c.select(F.col("grp").alias("target_group")).distinct()))
+    return forest.fit_models(tasks.repartition(s.sparkContext.defaultParallelism * 4, "target_group", "target"), shared, ForestParams(method), 123, counts)
 
 
 @query("network_extra_trees")
@@ -662,7 +662,7 @@ def _(s, d):
 
 @query("forest_prefixes")
 def _(s, d):
-    return _results(s, d, counts=(2, 5, 10)).select("target_group", "target", "n_estimators", "status", "n_edges", "importance_sum")
+    return _results(s, d, counts=(2, 5, 10, ForestParams().n_estimators)).select("target_group", "target", "n_estimators", "status", "n_edges", "importance_sum")
 
 
 @query("model_diagnostics")
@@ -674,13 +674,13 @@ def _(s, d):
 def _(s, d):
     c = cells(s, d).withColumn("v", F.transform("v", lambda x, i: F.when(i == 1, F.lit(2.0)).otherwise(x)))
     order = c.select("cell").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF(["cell", "cell_ord"])
-    rows = distance.exploded(c).select(F.concat(F.lit("d"), "dim").alias("gene"), "cell", F.col("z").alias("x")).join(order, "cell").where(F.col("gene").isin("d2", "d3", *EMBEDDING_TFS))
-    vectors = forest.gene_vectors(rows)
+    rows = distance.exploded(c).select(F.concat(F.lit("d"), "dim").alias("gene"), "cell", F.col("z").alias("x")).join(order, "cell")
+    vectors = written(forest.gene_vectors(rows), "genes")
     groups = c.select(F.col("grp").alias("target_group")).distinct()
     even = order.crossJoin(F.broadcast(groups)).withColumn("final_weight", F.lit(1.0))
     shared = forest.share(vectors, EMBEDDING_TFS, even, c.count())
-    tasks = vectors.where(F.col("gene").isin("d2", "d3")).select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(groups))
-    return forest.skipped(forest.fit_models(tasks, shared, ForestParams(n_estimators=2)))
+    tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(groups))
+    return forest.skipped(forest.fit_models(tasks.repartition(s.sparkContext.defaultParallelism * 4, "target_group", "target"), shared, ForestParams()))
 
 
 @query("run_statistics")
