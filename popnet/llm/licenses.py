@@ -92,6 +92,69 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Wording of the common licences, for ``scan_common``: identifier and how a sentence begins (several may share an identifier).
+COMMON_SENTENCES = (
+    ("A", "Licensed under the Apache License, Version 2.0"), ("A", "SPDX-License-Identifier: Apache-2.0"), ("A", "Released under the Apache License, Version 2.0"),
+    ("D", "Released under the MIT License"), ("D", "Licensed under the MIT License"), ("D", "This project is licensed under the MIT License"), ("D", "SPDX-License-Identifier: MIT"),
+    ("E", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("F", "This work is licensed under the GNU General Public License, version 3"), ("F", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("G", "either version 3 of the License, or any later version"),
+    ("L", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("L", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("M", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("M", "SPDX-License-Identifier: GPL-2.0-or-later"), ("N", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("O", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("O", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("P", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("Q", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("R", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("S", "SPDX-License-Identifier: BSD-2-Clause"), ("T", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("U", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"), ("U", "SPDX-License-Identifier: MPL-2.0"),
+    ("V", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"), ("V", "SPDX-License-Identifier: ISC"),
+    ("W", "Licensed under CC0 1.0"), ("W", "This work is dedicated to the public domain under CC0 1.0"), ("W", "SPDX-License-Identifier: CC0-1.0"),
+    ("X", "Licensed under CC BY-SA 4.0"), ("X", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"), ("X", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("I", "Licensed under CC BY 4.0"), ("I", "This work is licensed under a Creative Commons Attribution 4.0 International License"), ("I", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("H", "Licensed under CC BY-NC 4.0"), ("H", "SPDX-License-Identifier: CC-BY-NC-4.0"), ("K", "All rights reserved"),
+)
+COMMON_RULES = (
+    ("apache", "A", "Apache-2.0"), ("mit-text", "DE", "MIT"), ("mit-line", "D", "MIT"), ("mit-grant", "E", "MIT"), ("gpl-later", "FG", "GPL-3.0-or-later"), ("gpl-line", "F", "GPL-3.0-only"),
+    ("gpl-notice", "L", "GPL-3.0-or-later"), ("gpl2-notice", "M", "GPL-2.0-or-later"), ("gpl2-line", "N", "GPL-2.0-only"), ("lgpl2-notice", "O", "LGPL-2.1-or-later"), ("lgpl3-line", "P", "LGPL-3.0-or-later"),
+    ("bsd3-line", "T", "BSD-3-Clause"), ("bsd2-line", "S", "BSD-2-Clause"), ("bsd3-text", "QR", "BSD-3-Clause"), ("bsd2-text", "Q", "BSD-2-Clause"), ("mpl", "U", "MPL-2.0"), ("isc", "V", "ISC"),
+    ("cc0", "W", "CC0-1.0"), ("cc-by-sa", "X", "CC-BY-SA-4.0"), ("cc-by", "I", "CC-BY-4.0"), ("cc-by-nc", "H", "CC-BY-NC-4.0"), ("reserved", "K", "LicenseRef-All-Rights-Reserved"),
+)
+#: Other sentences between two of a common rule: the BSD text has two numbered clauses before the third.
+COMMON_GAP = 8
+
+
+def scan_common(docs: DataFrame, sentences: tuple = COMMON_SENTENCES, rules: tuple = COMMON_RULES, gap: int = COMMON_GAP) -> DataFrame:
+    """(doc_id, rules, licenses, unmatched) by a table of ``sentences`` and ``rules`` whose identifiers are ASCII capitals.
+
+    Unlike ``scan``, a known sentence may be wrapped over lines and may go on; it begins where a sentence or a line
+    does.  Signs that begin comment lines are no words.  Rules match as in ``scan``.
+    """
+    known = {_plain(s): i for i, s in sentences}
+    phrases = "|".join(" (?:/ )?".join(s.split()) for s in sorted(known, key=lambda s: (-len(s), s)))
+    # a bar ends a sentence or a paragraph, a slash a line
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), "[|/]", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"\bv\. (?=\d)", "v "), r"[.!?](?=[ \t\n]|$)|\n[ \t*#]*(?=\n)", " | ")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "\n", " / "), "[^a-z0-9|/]+", " "))
+    found = F.regexp_extract_all(text, F.lit(rf"((?:(?:^|[|/] )(?:[|/] )*(?:{phrases})(?![a-z0-9]))|\|)"), F.lit(1))
+    lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    plain = lambda h: F.trim(F.regexp_replace(h, "[|/ ]+", " "))
+    coded = F.array_join(F.transform(found, lambda h: F.coalesce(F.try_element_at(lookup, plain(h)), F.lit("."))), "")
+    between = r"\.{0,%d}" % gap
+    pattern = "(" + "|".join(between.join(seq) for _, seq, _ in rules) + "|[A-Z])"
+    hits = F.transform(F.regexp_extract_all(coded, F.lit(pattern), F.lit(1)), lambda h: F.replace(h, F.lit("."), F.lit("")))
+    by_sequence = F.create_map(*[F.lit(x) for name, seq, _ in rules for x in (seq, name)])
+    spdx = F.create_map(*[F.lit(x) for name, _, label in rules for x in (name, label)])
+    rows = docs.select("doc_id", F.transform(hits, lambda h: F.try_element_at(by_sequence, h)).alias("named"))
+    named = F.filter("named", lambda n: n.isNotNull())
+    return rows.select(
+        "doc_id", named.alias("rules"), F.array_sort(F.array_distinct(F.transform(named, lambda n: F.element_at(spdx, n)))).alias("licenses"),
+        (F.size("named") - F.size(named)).cast("long").alias("unmatched"),
+    )
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence findings."""
     found = scan(table(spark, sf_dir, "documents"))
@@ -101,6 +164,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_common_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's findings by the table of common licences."""
+    found = scan_common(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"), "unmatched")
+
+
 def op8_sql() -> str:
     """The same in DuckDB: sentences unnested, looked up by a join, and put together again."""
     values = ", ".join(f"('{_plain(s)}', '{i}')" for i, s in SENTENCES)
