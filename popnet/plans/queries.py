@@ -402,6 +402,21 @@ def _(s, d):
     return wide.select("gene", F.size(fields).cast("long").alias("fields"), F.size(F.filter(fields, lambda v: v != "0.0")).cast("long").alias("filled"))
 
 
+@query("wide_rows_by_unit", f"WITH {C}, n AS (SELECT analysis_unit, count(DISTINCT cell) AS cells FROM u GROUP BY ALL) SELECT analysis_unit, gene, CAST(any_value(cells) AS BIGINT) AS fields, CAST(count(*) AS BIGINT) AS filled FROM u JOIN n USING (analysis_unit) GROUP BY analysis_unit, gene")
+def _(s, d):
+    from popnet.sinks import wide_expression
+
+    rows = written(unit_entries(s, d).select("analysis_unit", "gene", "cell", "x"), "unit-entries")
+    fields, out = F.split("line", "\t"), None
+    for unit in sorted(x[0] for x in rows.select("analysis_unit").distinct().collect()):
+        mine = rows.where(F.col("analysis_unit") == unit)
+        numbered = mine.select("cell").distinct().rdd.map(lambda x: x[0]).zipWithIndex().toDF(["cell", "cell_ord"]).select("cell", F.col("cell_ord").cast("int").alias("cell_ord"))
+        wide = wide_expression(mine, mine.groupBy("gene").agg(F.min("cell").alias("gene_ord")), numbered)
+        one = wide.select(F.lit(unit).alias("analysis_unit"), "gene", F.size(fields).cast("long").alias("fields"), F.size(F.filter(fields, lambda v: v != "0.0")).cast("long").alias("filled"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- distances
 
 
