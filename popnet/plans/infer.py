@@ -111,15 +111,21 @@ def models(state: State, vectors: DataFrame) -> DataFrame:
     return targets.join(F.broadcast(groups), how="cross").select("target_group", "target", "y")
 
 
-def fitted(spark: SparkSession, state: State, config: InferConfig, weights: DataFrame, wanted: DataFrame, vectors: DataFrame, counts: tuple[int, ...] | None = None) -> DataFrame:
-    """Results of the ``wanted`` models, with shared data broadcast or shuffled according to its size."""
-    size = forest.shared_bytes(state.n_cells, len(state.tfs), state.sizes.count())
-    if size <= forest.BROADCAST_BYTES:
-        shared = forest.share(vectors, state.tfs, weights, state.n_cells)
+def fit(
+    spark: SparkSession, vectors: DataFrame, tfs: list[str], weights: DataFrame, counted: tuple[int, int], wanted: DataFrame, settings: ForestParams, seed: int, counts: tuple[int, ...] | None = None
+) -> DataFrame:
+    """Results of the ``wanted`` models, with shared data broadcast or shuffled according to its size; ``counted`` are the numbers of cells and groups."""
+    if forest.shared_bytes(counted[0], len(tfs), counted[1]) <= forest.BROADCAST_BYTES:
+        shared = forest.share(vectors, tfs, weights, counted[0])
         spread = wanted.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "target_group", "target")
-        return forest.fit_models(spread, shared, params(config), config.random_seed, counts)
-    listed = spark.createDataFrame(list(zip(state.tfs, range(len(state.tfs)), strict=True)), "gene string, ord int")
-    return forest.fit_models_shuffled(wanted, vectors, listed, weights, params(config), config.random_seed, counts)
+        return forest.fit_models(spread, shared, settings, seed, counts)
+    listed = spark.createDataFrame(list(zip(tfs, range(len(tfs)), strict=True)), "gene string, ord int")
+    return forest.fit_models_shuffled(wanted, vectors, listed, weights, settings, seed, counts)
+
+
+def fitted(spark: SparkSession, state: State, config: InferConfig, weights: DataFrame, wanted: DataFrame, vectors: DataFrame, counts: tuple[int, ...] | None = None) -> DataFrame:
+    """A run's results of the ``wanted`` models."""
+    return fit(spark, vectors, state.tfs, weights, (state.n_cells, state.sizes.count()), wanted, params(config), config.random_seed, counts)
 
 
 def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda phase, info: None, resume: bool = False, checkpoint: bool = True) -> RunResult:

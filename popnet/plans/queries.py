@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from popnet.functions import columns as fn
 from popnet.operators import checks, diagnostics, distance, forest, prepare, quantiles, representation, sampling, screening, weighting
 from popnet.operators.trees import ForestParams
+from popnet.plans.infer import fit
 from popnet.storage import written
 from popnet.streaming.checkpoint import completed_counts, remaining
 
@@ -657,12 +658,9 @@ def _results(s, d, method="extra-trees", counts=None):
     order = c.select("cell").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF(["cell", "cell_ord"])
     vectors = written(forest.gene_vectors(expression(s, d).join(order, "cell")), "genes")
     w = stored_weights(s, d).join(order, "cell")
-    n = c.count()
-    if forest.shared_bytes(n, len(EMBEDDING_TFS), 100) > forest.BROADCAST_BYTES:
-        raise ValueError("these predictors are beyond a broadcast: use fit_models_shuffled")
-    shared = forest.share(vectors, EMBEDDING_TFS, w, n)
-    tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(c.select(F.col("grp").alias("target_group")).distinct()))
-    return forest.fit_models(tasks.repartition(s.sparkContext.defaultParallelism * 4, "target_group", "target"), shared, ForestParams(method), 123, counts)
+    groups = c.select(F.col("grp").alias("target_group")).distinct()
+    tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(groups))
+    return fit(s, vectors, EMBEDDING_TFS, w, (c.count(), groups.count()), tasks, ForestParams(method), 123, counts)
 
 
 @query("network_extra_trees")
@@ -693,9 +691,8 @@ def _(s, d):
     vectors = written(forest.gene_vectors(rows), "genes")
     groups = c.select(F.col("grp").alias("target_group")).distinct()
     even = order.crossJoin(F.broadcast(groups)).withColumn("final_weight", F.lit(1.0))
-    shared = forest.share(vectors, EMBEDDING_TFS, even, c.count())
     tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(groups))
-    return forest.skipped(forest.fit_models(tasks.repartition(s.sparkContext.defaultParallelism * 4, "target_group", "target"), shared, ForestParams()))
+    return forest.skipped(fit(s, vectors, EMBEDDING_TFS, even, (c.count(), groups.count()), tasks, ForestParams(), 123))
 
 
 @query("run_statistics")
