@@ -94,7 +94,8 @@ def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0
         order = np.argsort(found)[::-1][:k]
         values, loadings = found[order], _signed(vectors[:, order])
     else:
-        values, loadings = _subspace(cells, mean, k, seed)
+        values, loadings, settled = _subspace(cells, mean, k, seed)
+        reason = "" if settled else f"components not settled after {ROUNDS} rounds"
     basis = cells.sparkSession.sparkContext.broadcast((mean, loadings))
     kinds = dict(cells.dtypes)
 
@@ -109,21 +110,22 @@ def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0
     return Representation(scores, tuple(ratios.tolist()), k, reason)
 
 
-def _subspace(cells: DataFrame, mean: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The largest eigenvalues and vectors of the scatter matrix, by iteration on a thin matrix; settled at a relative change of 1e-10."""
+def _subspace(cells: DataFrame, mean: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The largest eigenvalues and vectors of the scatter matrix, by iteration on a thin matrix, and whether they settled at a relative change of 1e-10."""
     wide = min(len(mean), k + SPARE)
     w, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), wide)))
     before = np.zeros(k)
-    for _ in range(ROUNDS):
+    for at in range(ROUNDS):
         held = cells.sparkSession.sparkContext.broadcast(w)
         new = _total(cells, lambda x, held=held: (x - mean).T @ ((x - mean) @ held.value))
         values, vectors = np.linalg.eigh((w.T @ new + new.T @ w) / 2)
         values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
         if np.abs(values - before).max() <= 1e-10 * max(values[0], 1e-300):
-            break
+            return values, _signed(w @ vectors), True
         before = values
-        w, _ = np.linalg.qr(new)
-    return values, _signed(w @ vectors)
+        if at < ROUNDS - 1:
+            w, _ = np.linalg.qr(new)
+    return values, _signed(w @ vectors), False
 
 
 def _dual(cells: DataFrame, k: int) -> Representation:
