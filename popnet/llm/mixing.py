@@ -5,20 +5,25 @@ last) and share ``share`` times the sum of all sizes; a target is at most ``most
 its source's size, and what is above is shared again by weight until none is above.
 
 A source's target is met by whole passes over its documents and a last partial pass.  For
-that one, documents are counted by exact size; a proportional number is taken of each
-size, and a bounded knapsack (a bit set of reachable sums over the sizes' remaining
-counts) fits what is left of the budget.  Then, within each size, the documents with the
-smallest seeded hashes are selected.
-
-One source's counts are at most one row per distinct size, so the fit of a source is one
-small task.  The selection numbers the rows inside (source, size, hash bucket), with the
-counts of the buckets before added, so no source and no size is ever sorted as a whole.
+that one, documents are counted by exact size; all but the last ``SLACK`` words of the
+budget are shared out in proportion to the sizes' counts, and a bounded knapsack (a bit
+set of reachable sums over the sizes' remaining counts) fits the rest, whose sum is the
+best there is for it; a budget up to ``SLACK`` words is the knapsack's as a whole.  Then,
+within each size, the documents with the smallest seeded hashes are selected.
+
+Sources are numbered and their targets settled by grouped sums, so their number is not
+bounded by the driver.  One source's counts are at most one row per distinct size, so the
+fit of a source is one small task; its memory is a bit for each word of ``SLACK`` plus the
+largest size, and 4 bytes for each to find the way back.  The selection numbers the rows
+inside (source, size, hash bucket), with the counts of the buckets before added, so no
+source and no size is ever sorted as a whole.
 
 Defined cases: null or blank text has size 0 and is taken in whole passes only (a
 document of size 0 adds no words); a source whose documents are all empty has target 0;
 null doc_id and repeated rows are documents like others (rows equal in doc_id and text are
-interchangeable); an empty table gives an empty table; other columns are kept by ``mix``
-and may have any names but those starting with ``__mix_``.
+interchangeable); long texts are counted whole; an empty table gives an empty table; other
+columns are kept by ``mix`` and may have any names but those starting with ``__mix_``,
+which raise ValueError.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ MOST = 2
 SEED = 7
 #: Buckets of the seeded hash inside one source and size.
 BUCKETS = 256
-#: Words of budget that the knapsack's bit set covers.
-KNAPSACK = 1 << 18
+#: Words of a budget that the knapsack fits, at least, where the budget has as many.
+SLACK = 1 << 18
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,32 +70,29 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit(sizes: list[int], counts: list[int], budget: int, slack: int = SLACK) -> list[int]:
     """How many of each size (ascending, distinct, positive) to take, at most ``counts``, to come near ``budget`` from below.
 
-    A proportional part first, then from the largest size down while the rest of the budget
-    is beyond the bit set, then the bounded knapsack, whose sum is the best for that rest.
+    Python's integers, so no number of documents is too large.
     """
-    whole = int((sizes * counts).sum())
+    whole = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= whole:
-        return counts.copy()
-    took = counts * budget // max(whole, 1)
-    left = budget - int((took * sizes).sum())
+        return list(counts)
+    took = [0] * len(sizes)
+    part, carry = max(0, budget - slack), 0  # in words times ``whole``: what larger sizes left over goes on to smaller ones
     for i in range(len(sizes) - 1, -1, -1):
-        if left <= KNAPSACK:
-            break
-        more = min(int(counts[i] - took[i]), (left - KNAPSACK // 2) // int(sizes[i]))
-        if more > 0:
-            took[i] += more
-            left -= more * int(sizes[i])
+        due = sizes[i] * counts[i] * part + carry
+        took[i] = min(counts[i], due // (sizes[i] * whole))
+        carry = due - took[i] * sizes[i] * whole
+    left = budget - sum(s * t for s, t in zip(sizes, took, strict=True))
     # each size's remaining count, in powers of two, as items of a 0/1 knapsack
     reach, full = 1, (1 << (left + 1)) - 1
     items: list[tuple[int, int]] = []
     by = np.full(left + 1, -1, np.int32)
-    for i, s in enumerate(sizes.tolist()):
-        if s > left or reach == full:
-            continue
-        spare, step = min(int(counts[i] - took[i]), left // s), 1
+    for i, s in enumerate(sizes):
+        if reach >> left & 1:
+            break  # nothing is nearer
+        spare, step = min(counts[i] - took[i], left // s), 1
         while spare > 0:
             step = min(step, spare)
             fresh = (reach << (s * step)) & full & ~reach
@@ -105,7 +107,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     while at > 0:
         i, step = items[by[at]]
         took[i] += step
-        at -= step * int(sizes[i])
+        at -= step * sizes[i]
     return took
 
 
@@ -117,10 +119,42 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     extra = np.zeros(len(pdf), np.int64)
     if whole:
         some = pdf["size"].to_numpy() > 0
-        extra[some] = fit(pdf["size"].to_numpy()[some], pdf["n"].to_numpy()[some], round(goal - passes * whole))
+        extra[some] = fit(pdf["size"].to_numpy()[some].tolist(), pdf["n"].to_numpy()[some].tolist(), round(goal - passes * whole))
     return pd.DataFrame({"__mix_null": pdf["__mix_null"], "__mix_source": pdf["__mix_source"], "__mix_size": pdf["size"], "__mix_passes": np.int64(passes), "__mix_extra": extra})
 
 
+def settled(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``by_source`` (__mix_null, __mix_source, source_size) with ``goal``, as ``targets`` has it, by sums over the sources.
+
+    Sources are numbered inside ranges; the ranges' counts give each range's first number.
+    A round takes the sums of the sources that aren't settled and settles those above their
+    bound; the other targets are the rest's share in the last round.
+    """
+    ranged = written(by_source.repartitionByRange("__mix_null", "__mix_source").withColumn("part", F.spark_partition_id()), "mix-sources")
+    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per range
+    first, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        first.append(total % len(weights))
+        total += counts.get(part, 0)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("__mix_null", "__mix_source")) - 1
+    at = F.element_at(F.array(*[F.lit(x) for x in first or [0]]), F.col("part") + 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((at + inside) % len(weights) + 1).cast("int"))
+    numbered = written(ranged.select("__mix_null", "__mix_source", "source_size", weight.alias("w")), "mix-weights")
+    # a source is above its bound when the words a weight has exceed its ratio, and those only grow from round to round
+    ratio = F.lit(float(most)) * F.col("source_size") / F.col("w")
+    everything = numbered.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s")).first()["s"]
+    rate = None
+    while True:
+        bound = F.lit(False) if rate is None else ratio < rate
+        got = numbered.agg(F.sum(F.when(bound, F.col("source_size"))).alias("kept"), F.sum(F.when(~bound, F.col("w"))).alias("w")).first()
+        now = None if not got["w"] else (share * everything - most * (got["kept"] or 0)) / got["w"]
+        if now is None or now == rate:
+            break
+        rate = now
+    goal = F.lit(float(most)) * F.col("source_size") if rate is None else F.when(ratio < rate, F.lit(float(most)) * F.col("source_size")).otherwise(F.lit(rate) * F.col("w"))
+    return numbered.select("__mix_null", "__mix_source", "source_size", goal.alias("goal"))
+
+
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     """``docs`` with the source's key (null apart), the size, the seeded hash and its bucket."""
     source = F.col("source").cast("string")
@@ -138,16 +172,13 @@ def mix(
 
     The rows of the mix are those with copies above 0, each as often as its copies say.
     """
-    spark = docs.sparkSession
+    if clash := [c for c in docs.columns if c.lower().startswith("__mix_")]:
+        raise ValueError(f"columns {clash} have names that the mix uses itself")
     keyed = _keyed(docs, seed)
     key = ["__mix_null", "__mix_source", "__mix_size"]
     counts = written(keyed.groupBy(*key, "__mix_bucket").agg(F.count("*").alias("n")), "mix-counts")
-    by_source = counts.groupBy("__mix_null", "__mix_source").agg(F.sum(F.col("n") * F.col("__mix_size")).alias("size"))
-    # one number per source
-    sources = sorted(by_source.collect(), key=lambda r: (r["__mix_null"], r["__mix_source"]))
-    goals = targets([r["size"] for r in sources], weights, share, most)
-    schema = "__mix_null boolean, __mix_source string, source_size long, goal double"
-    named = spark.createDataFrame([(r["__mix_null"], r["__mix_source"], r["size"], g) for r, g in zip(sources, goals, strict=True)], schema)
+    by_source = counts.groupBy("__mix_null", "__mix_source").agg(F.sum(F.col("n") * F.col("__mix_size")).alias("source_size"))
+    named = written(settled(by_source, weights, share, most), "mix-goals")
     by_size = counts.groupBy(*key).agg(F.sum("n").alias("n")).withColumnRenamed("__mix_size", "size")
     plan = by_size.join(named, ["__mix_null", "__mix_source"]).groupBy("__mix_null", "__mix_source").applyInPandas(
         _plan, "__mix_null boolean, __mix_source string, __mix_size long, __mix_passes long, __mix_extra long"

@@ -252,25 +252,81 @@ def test_targets():
     assert mixing.targets([10]) == [15]
 
 
-def test_fit_is_as_near_as_subset_sums_allow():
+def best_sum(sizes, counts, budget):
+    """The best subset sum at or under the budget, of all documents one by one."""
+    reach = 1
+    for s, c in zip(sizes, counts, strict=True):
+        for _ in range(c):
+            reach |= reach << s
+    return (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_fit_is_the_best_subset_sum():
     rng = np.random.default_rng(7)
-    for _ in range(60):
-        sizes = np.unique(rng.integers(1, 60, rng.integers(1, 8)))
-        counts = rng.integers(0, 5, len(sizes))
-        budget = int(rng.integers(0, max(1, int((sizes * counts).sum())) + 5))
+    cases = [([8, 9, 12, 13, 49], [1, 3, 2, 3, 3], 155), ([3, 7, 11], [1, 1, 1], 13), ([5], [4], 0), ([], [], 3)]
+    for _ in range(2000):
+        sizes = np.unique(rng.integers(1, 60, rng.integers(1, 8))).tolist()
+        counts = rng.integers(0, 5, len(sizes)).tolist()
+        cases.append((sizes, counts, int(rng.integers(0, max(1, sum(s * c for s, c in zip(sizes, counts))) + 5))))
+    for sizes, counts, budget in cases:
         took = mixing.fit(sizes, counts, budget)
-        assert (took >= 0).all() and (took <= counts).all() and int((took * sizes).sum()) <= budget
-    sizes, counts = np.array([3, 7, 11]), np.array([1, 1, 1])
-    assert int((mixing.fit(sizes, counts, 18) * sizes).sum()) == 18 and int((mixing.fit(sizes, counts, 13) * sizes).sum()) == 11
+        assert all(0 <= t <= c for t, c in zip(took, counts, strict=True))
+        assert sum(t * s for t, s in zip(took, sizes, strict=True)) == best_sum(sizes, counts, budget), (sizes, counts, budget)
 
 
-def test_fit_of_a_large_budget(monkeypatch):
-    monkeypatch.setattr(mixing, "KNAPSACK", 500)
-    sizes = np.arange(1, 2000, 7)
-    counts = np.full(len(sizes), 3)
-    budget = int((sizes * counts).sum()) * 2 // 3
+def test_fit_with_a_proportional_part():
+    rng = np.random.default_rng(9)
+    for _ in range(200):  # the same sums while most of the budget is shared out
+        sizes = np.unique(rng.integers(3, 60, 6)).tolist()
+        counts = rng.integers(5, 40, len(sizes)).tolist()
+        budget = int(rng.integers(200, sum(s * c for s, c in zip(sizes, counts))))
+        took = mixing.fit(sizes, counts, budget, slack=1500)
+        assert all(0 <= t <= c for t, c in zip(took, counts, strict=True))
+        assert sum(t * s for t, s in zip(took, sizes, strict=True)) == best_sum(sizes, counts, budget)
+    sizes, counts = list(range(1, 20000, 7)), [3] * 2857
+    budget = sum(s * c for s, c in zip(sizes, counts)) * 2 // 3
     took = mixing.fit(sizes, counts, budget)
-    assert 0 <= budget - int((took * sizes).sum()) <= 1 and (took <= counts).all()
+    assert sum(t * s for t, s in zip(took, sizes, strict=True)) == budget
+
+
+def test_fit_is_proportional_at_any_number_of_documents():
+    for n in (10**9, 10**10, 10**13):
+        sizes, counts = [100, 1000, 10_000], [n] * 3
+        budget = sum(sizes) * n // 2
+        took = mixing.fit(sizes, counts, budget)
+        assert sum(t * s for t, s in zip(took, sizes, strict=True)) == budget
+        assert all(abs(t / n - 0.5) < 0.001 for t in took)
+
+
+def test_mixing_query_equals_plain_sums(spark):
+    """The query itself: sizes, targets by the loop over sources, and words that no choice of documents brings nearer from below."""
+    d = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in d.items()}
+    names = sorted({r["source"] for r in d.values()}, key=lambda x: (x is None, x or ""))
+    by = {n: [size[i] for i, r in d.items() if r["source"] == n] for n in names}
+    goal = dict(zip(names, mixing.targets([sum(by[n]) for n in names]), strict=True))
+    taken = dict.fromkeys(names, 0)
+    got = mixing.op5_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d)
+    for r in got:
+        source = d[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], sum(by[source])) and r["target"] == pytest.approx(goal[source])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[source] += r["taken"]
+    for n in names:
+        whole = sum(by[n])
+        passes = int(goal[n] // whole) if whole else 0
+        assert taken[n] == passes * whole + best_sum(by[n], [1] * len(by[n]), min(whole, round(goal[n] - passes * whole)))
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(0, 10**6, 300)] + [10**9]
+    names = [f"s{i:04d}" for i in range(300)] + [None]
+    rows = [(n is None, n or "", s) for n, s in zip(names, sizes, strict=True)]
+    table = spark.createDataFrame(rows, "__mix_null boolean, __mix_source string, source_size long").repartition(7)
+    got = {(r["__mix_null"], r["__mix_source"]): r["goal"] for r in mixing.settled(table).collect()}
+    assert [got[a, b] for a, b, _ in rows] == pytest.approx(mixing.targets(sizes))
 
 
 def test_mix(spark):
@@ -299,6 +355,8 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [(1, "a")]).where("false")).count() == 0
     only = mixing.mix(docs(spark, [(1, None, "a"), (2, "", "a")])).collect()
     assert all(r["__mix_size"] == 0 and r["__mix_target"] == 0 for r in only)
+    with pytest.raises(ValueError, match="__mix_size"):
+        mixing.mix(docs(spark, [(1, "a")]).withColumnRenamed("size", "__mix_size"))
 
 
 # ---- licences
