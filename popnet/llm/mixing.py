@@ -14,9 +14,10 @@ within each size, the documents with the smallest seeded hashes are selected.
 Sources are numbered and their targets settled by grouped sums, so their number is not
 bounded by the driver.  One source's counts are at most one row per distinct size, so the
 fit of a source is one small task; its memory is a bit for each word of ``SLACK`` plus the
-largest size, and 4 bytes for each to find the way back.  The selection numbers the rows
-inside (source, size, hash bucket), with the counts of the buckets before added, so no
-source and no size is ever sorted as a whole.
+largest size, and 4 bytes for each to find the way back.  The selection finds each
+(source, size)'s cut: the bucket of hashes that it falls into, from the buckets' counts,
+and the hash in that bucket.  So no source and no size is ever sorted as a whole, and rows
+are selected where they are: only names, sizes and hashes are shuffled.
 
 Defined cases: null or blank text has size 0 and is taken in whole passes only (a
 document of size 0 adds no words); a source whose documents are all empty has target 0;
@@ -155,14 +156,66 @@ def settled(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
     return numbered.select("__mix_null", "__mix_source", "source_size", goal.alias("goal"))
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+KEY = ["__mix_null", "__mix_source", "__mix_size"]
+
+
+def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with the source's key (null apart), the size, the seeded hash and its bucket."""
     source = F.col("source").cast("string")
     h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return docs.select(
+    rows = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns], source.isNull().alias("__mix_null"), F.coalesce(source, F.lit("")).alias("__mix_source"),
-        size_of(F.col("text")).alias("__mix_size"), h.alias("__mix_hash"), F.pmod(h, F.lit(BUCKETS)).cast("int").alias("__mix_bucket"),
+        size_of(F.col("text")).alias("__mix_size"), h.alias("__mix_hash"),
+    )
+    return rows.withColumn("__mix_bucket", F.pmod("__mix_hash", F.lit(BUCKETS)).cast("int"))
+
+
+def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """A row per source and size of ``rows`` (as from ``keyed``): how often all of its documents are taken, and the cut for one time more.
+
+    Columns: KEY, __mix_passes, __mix_cut_bucket and __mix_cut_hash (null: none more),
+    __mix_room (how many of the rows at the cut itself), __mix_at (how many there are),
+    __mix_source_size, __mix_target.
+    """
+    counts = written(rows.groupBy(*KEY, "__mix_bucket").agg(F.count("*").alias("n")), "mix-counts")
+    by_source = counts.groupBy("__mix_null", "__mix_source").agg(F.sum(F.col("n") * F.col("__mix_size")).alias("source_size"))
+    named = written(settled(by_source, weights, share, most), "mix-goals")
+    by_size = counts.groupBy(*KEY).agg(F.sum("n").alias("n")).withColumnRenamed("__mix_size", "size")
+    plan = by_size.join(named, ["__mix_null", "__mix_source"]).groupBy("__mix_null", "__mix_source").applyInPandas(
+        _plan, "__mix_null boolean, __mix_source string, __mix_size long, __mix_passes long, __mix_extra long"
     )
+    plan = written(plan, "mix-plan")
+    before = Window.partitionBy(*KEY).orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # the bucket that the last document taken is in, and how many of it
+    last = ahead.join(plan.where("__mix_extra > 0"), KEY).where("ahead < __mix_extra and __mix_extra <= ahead + n")
+    last = written(last.select(*KEY, "__mix_bucket", (F.col("__mix_extra") - F.col("ahead")).alias("room")), "mix-last")
+    hashes = rows.join(last, [*KEY, "__mix_bucket"]).groupBy(*KEY, "__mix_bucket", "__mix_hash").agg(F.count("*").alias("at"), F.first("room").alias("room"))
+    up = Window.partitionBy(*KEY, "__mix_bucket").orderBy("__mix_hash").rowsBetween(Window.unboundedPreceding, -1)
+    found = hashes.withColumn("under", F.coalesce(F.sum("at").over(up), F.lit(0))).where("under < room and room <= under + at")
+    found = found.select(*KEY, F.col("__mix_bucket").alias("__mix_cut_bucket"), F.col("__mix_hash").alias("__mix_cut_hash"), (F.col("room") - F.col("under")).alias("__mix_room"), F.col("at").alias("__mix_at"))
+    out = plan.drop("__mix_extra").join(found, KEY, "left").join(named, ["__mix_null", "__mix_source"])
+    return written(out.withColumnsRenamed({"source_size": "__mix_source_size", "goal": "__mix_target"}), "mix-cuts")
+
+
+def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """``rows`` (as from ``keyed``) with __mix_source_size, __mix_target and __mix_copies.
+
+    Rows that repeat the doc_id and the text of one at the cut are told apart by a number,
+    in a pass of their own that runs only where there are too many of them.
+    """
+    met = rows.join(cut, KEY)
+    at = (F.col("__mix_bucket") == F.col("__mix_cut_bucket")) & (F.col("__mix_hash") == F.col("__mix_cut_hash"))
+    under = (F.col("__mix_bucket") < F.col("__mix_cut_bucket")) | ((F.col("__mix_bucket") == F.col("__mix_cut_bucket")) & (F.col("__mix_hash") < F.col("__mix_cut_hash")))
+    tied = F.coalesce(at & (F.col("__mix_room") < F.col("__mix_at")), F.lit(False))
+    extra = F.coalesce((under | at).cast("long"), F.lit(0))
+    some = cut.where("__mix_room < __mix_at")
+    if not some.isEmpty():
+        w = Window.partitionBy(*KEY, "__mix_hash").orderBy("__mix_bucket")
+        number = met.where(tied).withColumn("__mix_number", F.row_number().over(w))
+        number = number.withColumn("__mix_copies", F.col("__mix_passes") + (F.col("__mix_number") <= F.col("__mix_room")).cast("long")).drop("__mix_number")
+        return met.where(~tied).withColumn("__mix_copies", F.col("__mix_passes") + extra).unionByName(number)
+    return met.withColumn("__mix_copies", F.col("__mix_passes") + extra)
 
 
 def mix(
@@ -174,32 +227,16 @@ def mix(
     """
     if clash := [c for c in docs.columns if c.lower().startswith("__mix_")]:
         raise ValueError(f"columns {clash} have names that the mix uses itself")
-    keyed = _keyed(docs, seed)
-    key = ["__mix_null", "__mix_source", "__mix_size"]
-    counts = written(keyed.groupBy(*key, "__mix_bucket").agg(F.count("*").alias("n")), "mix-counts")
-    by_source = counts.groupBy("__mix_null", "__mix_source").agg(F.sum(F.col("n") * F.col("__mix_size")).alias("source_size"))
-    named = written(settled(by_source, weights, share, most), "mix-goals")
-    by_size = counts.groupBy(*key).agg(F.sum("n").alias("n")).withColumnRenamed("__mix_size", "size")
-    plan = by_size.join(named, ["__mix_null", "__mix_source"]).groupBy("__mix_null", "__mix_source").applyInPandas(
-        _plan, "__mix_null boolean, __mix_source string, __mix_size long, __mix_passes long, __mix_extra long"
-    )
-    before = Window.partitionBy(*key).orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    shares = ahead.join(plan, key).join(named, ["__mix_null", "__mix_source"]).select(
-        *key, "__mix_bucket", "__mix_passes", F.greatest(F.lit(0), F.least(F.col("n"), F.col("__mix_extra") - F.col("ahead"))).alias("__mix_more"),
-        F.col("source_size").alias("__mix_source_size"), F.col("goal").alias("__mix_target"),
-    )
-    shares = written(shares, "mix-shares")
-    order = Window.partitionBy(*key, "__mix_bucket").orderBy("__mix_hash", "doc_id")
-    rows = keyed.join(shares, [*key, "__mix_bucket"]).withColumn("__mix_at", F.row_number().over(order))
-    copies = F.col("__mix_passes") + F.when(F.col("__mix_at") <= F.col("__mix_more"), 1).otherwise(0)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_size", "__mix_source_size", "__mix_target", copies.alias("__mix_copies"))
+    names = written(keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-names")
+    found = taken(keyed(docs, seed), cuts(names, weights, share, most))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_size", "__mix_source_size", "__mix_target", "__mix_copies")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's target and the words that the mix takes of it."""
-    found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    names = written(keyed(docs).drop("text"), "mix-names")  # the texts are read once
+    return taken(names, cuts(names)).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
         F.col("__mix_target").alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"),
     )
