@@ -3,12 +3,14 @@
 A text is cut where a hash of the 16 bytes before a place has ``mask_bits`` leading zeros,
 so equal passages of different documents give equal chunks.  Chunks that several texts
 have are encoded once in the whole corpus and brought to those texts (see ``encode``);
-others are encoded where they are, and a worker keeps them for a while (bounded in bytes,
-oldest generation dropped first).  A cut may fall inside a pre-token, so every join is repaired: from the last synchronising token left of the cut
-to the first one right of it the text is encoded again, and the window's ends are places
-at which both sides agree.  A synchronising token begins with a space and an ASCII letter:
-the splitting pattern starts a pre-token at every such place, whatever stands around it.
-Without one inside a chunk the window runs on into its neighbour, at most over the text.
+what one text alone has is encoded with its neighbours as one run.  A cut may fall inside
+a pre-token, so every join of a run and a chunk, or of two chunks, is repaired: the text
+around it is encoded again, from one synchronising token further out than the last one
+before the join to one further out than the first one behind it, and wider until the new
+ids agree with those of both sides up to these tokens.  A synchronising token begins with
+a space and an ASCII letter: the splitting pattern starts a pre-token at every such place,
+whatever stands around it.  Without one inside a chunk the window runs on into its
+neighbour, at most over the text.
 
 The byte-level vocabulary comes from the file named by ``path`` (tokens, with the special
 token's identifier); the file's merges are in the order of the merged tokens' identifiers,
@@ -17,8 +19,9 @@ matched first, as the library does.  Decoding joins the tokens' bytes; invalid U
 replaced, as the library does.
 
 Defined cases: null is the empty text, which has no ids and decodes to the empty text; a
-row's doc_id may be null or repeated; an empty table gives an empty table; further columns
-are ignored; a text's length is bounded by memory only (work is linear in it).
+row's doc_id may be null or repeated; an empty table gives an empty table; further columns,
+whatever their names, are ignored; a text's length is bounded by memory only (work is
+linear in it).
 """
 
 from __future__ import annotations
@@ -39,9 +42,7 @@ from popnet.llm.shared import bounded, table, tidied, written
 VOCABULARY = "byte_bpe_50k.json"
 MASK_BITS = 10
 SHORTEST, LONGEST = 128, 1 << 14
-#: Bytes of chunks (text and ids) that a worker keeps.
-KEPT = 16 << 20
-#: Bits of the filter of shared chunks at most, bytes of its blocks, and digests that a task remembers.
+#: Bits of the broadcast filter of shared chunks at most (beyond: a join), bytes of its blocks, and digests that a task remembers.
 FILTER_BITS, BLOCK, REMEMBERED = 1 << 26, 4096, 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -132,75 +133,38 @@ def spaced(at: list[int], start: int, end: int) -> list[int]:
     return [*out, end]
 
 
-class Chunks:
-    """The encoded chunks that a worker keeps, in two generations."""
-
-    def __init__(self, vocab: Vocabulary, kept: int = KEPT) -> None:
-        self.vocab, self.kept = vocab, kept
-        self.young: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
-        self.given: dict[bytes, np.ndarray] = {}
-        self.used = self.encoded = self.reused = 0
-
-    def ids(self, chunk: bytes) -> np.ndarray:
-        """Ids of a chunk on its own: kept ones, those given for the text at hand (if they decode to the chunk), or fresh ones."""
-        found = self.young.get(chunk)
-        if found is None:
-            found = self.old.get(chunk)
-            if found is None and self.given:
-                found = self.given.get(digest(chunk))
-                if found is not None and self.vocab.join(found) != chunk:
-                    found = None
-            if found is None:
-                found = self.vocab.encode(chunk)
-                self.encoded += 1
-            else:
-                self.reused += 1
-            self.young[chunk] = found
-            self.used += len(chunk) + found.nbytes + 200
-            if self.used > self.kept // 2:
-                self.old, self.young, self.used = self.young, {}, 0
-        else:
-            self.reused += 1
-        return found
-
-
-def encode_text(text: bytes, ends: list[int], chunks: Chunks) -> np.ndarray:
-    """Ids of a text without added tokens, from its chunks' ids with every join repaired."""
-    if not text:
-        return np.empty(0, np.uint32)
-    if len(ends) == 1:
-        return chunks.ids(text)
-    parts, a = [], 0
-    for e in ends:
-        parts.append(chunks.ids(text[a:e]))
-        a = e
+def repaired(text: bytes, parts: list[np.ndarray], vocab: Vocabulary) -> np.ndarray:
+    """Ids of a text from the ids of its consecutive parts, each encoded alone: the joins are encoded again until both sides agree."""
     ids = np.concatenate(parts)
-    vocab = chunks.vocab
     sync = np.flatnonzero(vocab.sync[ids])
     offsets = np.concatenate(([0], np.cumsum(vocab.lengths[ids])))
-    joins = np.cumsum([len(p) for p in parts[:-1]])
-    # the window of each join in tokens: from the last agreed place before it to the first one at or behind it
-    at = np.searchsorted(sync, joins, side="left")
-    low = np.where(at > 0, sync[np.maximum(at, 1) - 1] if len(sync) else 0, 0)
-    high = np.where(at < len(sync), sync[np.minimum(at, max(len(sync) - 1, 0))] if len(sync) else 0, len(ids))
-    out, done = [], 0
-    i = 0
+    joins = np.cumsum([len(p) for p in parts[:-1]]).tolist()
+    place = lambda k: 0 if k < 0 else int(sync[k]) if k < len(sync) else len(ids)
+    out, done, i = [], 0, 0
     while i < len(joins):
-        a, b = int(low[i]), int(high[i])
-        while i + 1 < len(joins) and low[i + 1] < b:  # windows that meet are one
-            i += 1
-            b = max(b, int(high[i]))
-        out.append(ids[done:a])
-        out.append(vocab.encode(text[int(offsets[a]) : int(offsets[b])]))
-        done = b
+        right = int(np.searchsorted(sync, joins[i]))  # the first synchronising token at or behind the join
+        left = right - 1
+        while True:
+            a, b, to = max(place(left), done), place(right), place(right + 1)
+            start = max(place(left - 1), done)
+            if i + 1 < len(joins) and joins[i + 1] < to:  # the next join lies in the window: one window for both
+                i += 1
+                right = int(np.searchsorted(sync, joins[i]))
+                continue
+            fresh = vocab.encode(text[int(offsets[start]) : int(offsets[to])])
+            before = np.array_equal(fresh[: a - start], ids[start:a])
+            behind = np.array_equal(fresh[len(fresh) - (to - b) :], ids[b:to])
+            if before and behind:
+                break
+            left, right = left - (not before), right + (not behind)
+        out += [ids[done:start], fresh]
+        done = to
         i += 1
-    out.append(ids[done:])
-    return np.concatenate(out)
+    return np.concatenate([*out, ids[done:]])
 
 
-def cut_slice(texts: list[bytes], vocab: Vocabulary, mask_bits: int = MASK_BITS) -> tuple[list[bytes], list[list[int]], list[list]]:
-    """(segments, their chunks' ends, and for each text its parts: (segment's number,) or an added token's id); all texts are cut at once."""
+def cut_slice(texts: list[bytes], vocab: Vocabulary, mask_bits: int | None = MASK_BITS) -> tuple[list[bytes], list[list[int]], list[list]]:
+    """(segments, their chunks' ends, and for each text its parts: (segment's number,) or an added token's id); all texts are cut at once, or not at all."""
     added = [(t.encode(), i) for t, i in vocab.added.items()]
     plain: list[bytes] = []
     shape: list[list] = []
@@ -214,6 +178,8 @@ def cut_slice(texts: list[bytes], vocab: Vocabulary, mask_bits: int = MASK_BITS)
             row.append(s if not isinstance(s, bytes) else (len(plain),))
             if isinstance(s, bytes):
                 plain.append(s)
+    if mask_bits is None:
+        return plain, [], shape
     joined = b"".join(plain)
     found = cuts(np.frombuffer(joined, np.uint8), mask_bits)
     starts = np.concatenate(([0], np.cumsum([len(p) for p in plain]))).astype(np.int64)
@@ -223,12 +189,51 @@ def cut_slice(texts: list[bytes], vocab: Vocabulary, mask_bits: int = MASK_BITS)
     return plain, ends, shape
 
 
-def encode_slice(texts: list[bytes], chunks: Chunks, mask_bits: int = MASK_BITS) -> list[np.ndarray]:
-    """Ids of each text."""
-    plain, ends, shape = cut_slice(texts, chunks.vocab, mask_bits)
-    done = [encode_text(p, e, chunks) for p, e in zip(plain, ends, strict=True)]
-    none = np.empty(0, np.uint32)
-    return [np.concatenate([none, *[np.array([s], np.uint32) if isinstance(s, int) else done[s[0]] for s in row]]) for row in shape]
+class Text:
+    """A text cut into chunks: its parts (a segment, or an added token's id), and for each chunk its segment, ends and digest."""
+
+    def __init__(self, shape: list, plain: list[bytes], ends: list[list[int]]) -> None:
+        self.shape = [x if isinstance(x, int) else plain[x[0]] for x in shape]
+        self.spans = [(k, a, b) for k, x in enumerate(shape) if not isinstance(x, int) for a, b in zip([0, *ends[x[0]]], ends[x[0]], strict=False)]
+        self.names = [digest(self.shape[k][a:b]) for k, a, b in self.spans]
+
+    def chunk(self, i: int) -> bytes:
+        k, a, b = self.spans[i]
+        return self.shape[k][a:b]
+
+    def ids(self, vocab: Vocabulary, given: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
+        """Ids of the text; chunks in ``given`` (digest to ids, held against the chunk) aren't encoded."""
+        known = {}
+        if given:
+            for i, name in enumerate(self.names):
+                found = given.get(name)
+                if found is not None and vocab.join(found) == self.chunk(i):
+                    known[i] = found
+        out, i = [np.empty(0, np.uint32)], 0
+        for k, x in enumerate(self.shape):
+            if isinstance(x, int):
+                out.append(np.array([x], np.uint32))
+                continue
+            parts, a, b = [], 0, 0  # the run of chunks from a to b has no ids yet
+            while i < len(self.spans) and self.spans[i][0] == k:
+                if i in known:
+                    if b > a:
+                        parts.append(vocab.encode(x[a:b]))
+                    parts.append(known[i])
+                    a = self.spans[i][2]
+                b = self.spans[i][2]
+                i += 1
+            if b > a:
+                parts.append(vocab.encode(x[a:b]))
+            if parts:
+                out.append(parts[0] if len(parts) == 1 else repaired(x, parts, vocab))
+        return np.concatenate(out)
+
+
+def cut_texts(texts: list[bytes], vocab: Vocabulary, mask_bits: int = MASK_BITS) -> list[Text]:
+    """The texts, all cut at once."""
+    plain, ends, shape = cut_slice(texts, vocab, mask_bits)
+    return [Text(row, plain, ends) for row in shape]
 
 
 def _split(text: bytes, mark: bytes, number: int) -> list:
@@ -272,7 +277,7 @@ def digest(chunk: bytes) -> bytes:
 
 
 class Filter:
-    """A Bloom filter of digests; its size follows their number up to FILTER_BITS, beyond which more chunks than needed pass."""
+    """A Bloom filter of digests with a size that follows their number."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits, self.n = bits, len(bits) * 8
@@ -291,25 +296,14 @@ class Filter:
         return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _named(texts: list[bytes], vocab: Vocabulary) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    """Each text's chunks and their digests."""
-    plain, ends, shape = cut_slice(texts, vocab)
-    for row in shape:
-        chunks = []
-        for part in row:
-            if not isinstance(part, int):
-                p, e = plain[part[0]], ends[part[0]]
-                chunks += [p[a:b] for a, b in zip([0, *e], e, strict=False)]
-        yield chunks, [digest(c) for c in chunks]
-
-
 def _digests(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """(h): the digests of each text's chunks, once a text."""
+    """(key, h): the digests of each text's chunks, once a text."""
     vocab = vocabulary(name)
     for batch in batches:
-        for _, texts in slices(batch):
-            found = [h for _, hs in _named(texts, vocab) for h in dict.fromkeys(hs)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["h"])
+        for keys, texts in slices(batch):
+            found = [list(dict.fromkeys(t.names)) for t in cut_texts(texts, vocab)]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array([h for f in found for h in f], pa.binary())], names=["key", "h"])
 
 
 def _filter_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -329,14 +323,8 @@ def _either(table_: pa.Table) -> pa.Table:
     return pa.table({"block": table_.column("block").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
 
-def shared_filter(rows: DataFrame, name: str) -> Filter | None:
-    """A filter of the digests that two or more texts have, None if there are none.  What reaches the driver is the filter."""
-    counted = rows.mapInArrow(lambda it: tidied(_digests(it, name)), "h binary").groupBy("h").agg(F.count("*").alias("n"))
-    several = written(counted.where("n > 1").select("h"), "shared-chunks")
-    n = several.count()
-    if not n:
-        return None
-    bits = min(FILTER_BITS, max(BLOCK * 8, 1 << (16 * n - 1).bit_length()))
+def _filter(several: DataFrame, bits: int) -> Filter:
+    """The filter of the digests ``h``; what reaches the driver is the filter."""
     parts = several.mapInArrow(lambda it: _filter_parts(it, bits), "block long, bits binary")
     out = np.zeros((bits // 8 // BLOCK, BLOCK), np.uint8)
     for r in parts.groupBy("block").applyInArrow(_either, "block long, bits binary").toLocalIterator():
@@ -344,21 +332,60 @@ def shared_filter(rows: DataFrame, name: str) -> Filter | None:
     return Filter(out.ravel())
 
 
-def _references(batches: Iterator[pa.RecordBatch], name: str, some: Filter) -> Iterator[pa.RecordBatch]:
-    """(key, h, chunk) of the chunks that pass the filter; a task gives a chunk's bytes once, as far as it remembers."""
+def marked(rows: DataFrame, name: str) -> tuple[DataFrame, Filter | None] | None:
+    """(rows, filter): ``rows`` (doc_id, text, key) with what tells their shared chunks; None if no two texts share one.
+
+    Digests that two or more texts have are counted.  Their filter is made if it fits
+    FILTER_BITS; if it doesn't, each text's own digests are joined with them, and come with
+    the row in a column ``shared``: then nothing of the corpus's size is broadcast.
+    """
+    digests = rows.select("key", "text").mapInArrow(lambda it: tidied(_digests(it, name)), "key long, h binary")
+    several = written(digests.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared-chunks")
+    n = several.count()
+    if not n:
+        return None
+    bits = max(BLOCK * 8, 1 << (16 * n - 1).bit_length())
+    if bits <= FILTER_BITS:
+        return rows, _filter(several, bits)
+    lists = digests.distinct().join(several, "h").groupBy("key").agg(F.collect_list("h").alias("shared"))
+    lists = written(lists, "shared-lists")  # the join below is then a join alone, whose large partitions are split
+    return written(rows.join(lists, "key", "left").select("doc_id", "text", "key", "shared"), "marked"), None
+
+
+def _marks(batch: pa.RecordBatch, vocab: Vocabulary, some: Filter | None) -> list[tuple[Text, list[int]]]:
+    """Each text of a batch (doc_id, text, key[, shared]) with the numbers of its shared chunks."""
+    texts = cut_texts([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], vocab)
+    if some is not None:
+        return [(t, np.flatnonzero(some.hits(t.names)).tolist()) for t in texts]
+    known = [set(x or ()) for x in batch.column(3).to_pylist()]
+    return [(t, [i for i, h in enumerate(t.names) if h in k]) for t, k in zip(texts, known, strict=True)]
+
+
+def _open(batches: Iterator[pa.RecordBatch], name: str, some: Filter | None) -> Iterator[pa.RecordBatch]:
+    """The texts with a shared chunk as (doc_id, text, key), and each such chunk as (key, h, chunk); a task gives a chunk's bytes once, as far as it remembers."""
     vocab, told = vocabulary(name), set()
-    for batch in batches:
-        for keys, texts in slices(batch):
-            rows: list[tuple] = []
-            for key, (chunks, names) in zip(keys.to_pylist(), _named(texts, vocab), strict=True):
-                for i in np.flatnonzero(some.hits(names)).tolist():
-                    rows.append((key, names[i], None if names[i] in told else chunks[i]))
-                    told.add(names[i])
-            if len(told) > REMEMBERED:
-                told = set()
-            kinds = (pa.int64(), pa.binary(), pa.binary())
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "h", "chunk"])
+    for batch in bounded(batches, 1):
+        keys = batch.column(2).to_pylist()
+        refs: list[tuple] = []
+        opened = []
+        for at, (text, shared) in enumerate(_marks(batch, vocab, some)):
+            if shared:
+                opened.append(at)
+            for i in shared:
+                h = text.names[i]
+                refs.append((keys[at], h, None if h in told else text.chunk(i)))
+                told.add(h)
+        if len(told) > REMEMBERED:
+            told = set()
+        whole = batch.select([0, 1, 2]).take(pa.array(opened, pa.int64()))
+        blank = lambda n, kind: pa.nulls(n, kind)
+        yield pa.RecordBatch.from_arrays([*whole.columns, blank(len(opened), pa.binary()), blank(len(opened), pa.binary())], names=OPEN)
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        cols = [pa.array(c, k) for c, k in zip(zip(*refs, strict=True) if refs else ((), (), ()), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([blank(len(refs), pa.int64()), blank(len(refs), whole.column(1).type), *cols], names=OPEN)
+
+
+OPEN = ["doc_id", "text", "key", "h", "chunk"]
 
 
 def _encode_chunks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -369,67 +396,69 @@ def _encode_chunks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
 
 
-def _open(batches: Iterator[pa.RecordBatch], name: str, some: Filter) -> Iterator[pa.RecordBatch]:
-    """The rows (doc_id, text, key) with a chunk that passes the filter."""
+def _results(ids: pa.Array, found: list[np.ndarray], vocab: Vocabulary, decode: bool) -> pa.RecordBatch:
+    out = [ids, pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())]
+    if decode:
+        out.append(pa.array([vocab.decode(f) for f in found], pa.string()))
+    return pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids", "decoded"][: len(out)])
+
+
+def _whole(texts: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
+    """Ids of texts, each segment encoded as one run."""
+    plain, _, shape = cut_slice(texts, vocab, None)
+    none = np.empty(0, np.uint32)
+    return [np.concatenate([none, *[np.array([x], np.uint32) if isinstance(x, int) else vocab.encode(plain[x[0]]) for x in row]]) for row in shape]
+
+
+def _alone(batches: Iterator[pa.RecordBatch], name: str, decode: bool, check: bool, some: Filter | None) -> Iterator[pa.RecordBatch]:
+    """The results of the rows (doc_id, text, key[, shared]) without a shared chunk; without ``check`` of all rows."""
     vocab = vocabulary(name)
     for batch in bounded(batches, 1):
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield batch.filter(pa.array([bool(some.hits(names).any()) for _, names in _named(texts, vocab)], pa.bool_()))
+        if check:
+            batch = batch.filter(pa.array([not shared for _, shared in _marks(batch, vocab, some)], pa.bool_()))
+        found = _whole([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], vocab)
+        yield _results(batch.column(0), found, vocab, decode)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], name: str, decode: bool, closed_to: Filter | None = None) -> Iterator[pa.RecordBatch]:
-    """The results of rows (doc_id, text[, given: ids of shared chunks]); with ``closed_to`` of those without a chunk that passes."""
+def _together(batches: Iterator[pa.RecordBatch], name: str, decode: bool) -> Iterator[pa.RecordBatch]:
+    """The results of rows (doc_id, text, given: ids of shared chunks)."""
     vocab = vocabulary(name)
-    chunks = Chunks(vocab)
     for batch in bounded(batches, 1):
-        if closed_to is not None:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            batch = batch.filter(pa.array([not closed_to.hits(names).any() for _, names in _named(texts, vocab)], pa.bool_()))
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        if batch.num_columns > 2:
-            found = []
-            for text, given in zip(texts, batch.column(2).to_pylist(), strict=True):
-                chunks.given = {g["h"]: np.frombuffer(g["ids"], "<u4").astype(np.uint32) for g in given or ()}
-                found += encode_slice([text], chunks)
-        else:
-            found = encode_slice(texts, chunks)
-        out = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())]
-        names = ["doc_id", "n_tokens", "ids"]
-        if decode:
-            out.append(pa.array([vocab.decode(f) for f in found], pa.string()))
-            names.append("decoded")
-        yield pa.RecordBatch.from_arrays(out, names=names)
-
-
-def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True, reuse: str = "corpus") -> DataFrame:
+        texts = cut_texts([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], vocab)
+        found = []
+        for i, text in enumerate(texts):
+            given = {g["h"]: np.frombuffer(g["ids"], "<u4").astype(np.uint32) for g in batch.column(2)[i].as_py() or ()}
+            found.append(text.ids(vocab, given))
+        yield _results(batch.column(0), found, vocab, decode)
+
+
+def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): a row per row of ``docs`` (doc_id, text).
 
     ``ids`` is binary, little-endian unsigned 32-bit integers; ``decoded`` is their text.
 
-    ``reuse`` ``corpus``: chunks that two or more texts have are encoded once in all.  Their
-    digests are counted, a filter of them (bounded) is broadcast, and only texts with such a
-    chunk are shuffled, to the ids of their shared chunks; all others are encoded in place.
-    ``task``: no shuffle; chunks are encoded once by each worker while it keeps them.
+    Three passes over the texts: one counts the digests of their chunks, one writes the
+    texts that have a shared chunk and those chunks, one encodes the other texts in place.
+    Only the former texts are shuffled, to the ids of their shared chunks.
     """
-    if reuse not in ("corpus", "task"):
-        raise ValueError(f"unknown reuse {reuse!r}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # texts go by a hash: equal ones share their list, and a collision only makes a list longer, as digests name its entries
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     schema = "doc_id long, n_tokens long, ids binary" + (", decoded string" if decode else "")
-    some = shared_filter(rows.select("doc_id", "text"), vocab) if reuse == "corpus" else None
-    if some is None:
-        return rows.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema)
+    found = marked(rows, vocab)
+    if found is None:
+        return rows.mapInArrow(lambda it: tidied(_alone(it, vocab, decode, False, None)), schema)
+    rows, some = found
     held = docs.sparkSession.sparkContext.broadcast(some)
-    alone = rows.mapInArrow(lambda it: tidied(_encode(it, vocab, decode, held.value)), schema)
-    # texts go by a hash: equal ones share their list, and a collision only makes a list longer, as digests name its entries
-    keyed = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    refs = written(keyed.select("key", "text").mapInArrow(lambda it: tidied(_references(it, vocab, held.value)), "key long, h binary, chunk binary"), "references")
-    chunks = refs.where("chunk is not null").groupBy("h").agg(F.any_value("chunk").alias("chunk"))
+    alone = rows.mapInArrow(lambda it: tidied(_alone(it, vocab, decode, True, held.value)), schema)
+    opened = written(rows.mapInArrow(lambda it: tidied(_open(it, vocab, held.value)), "doc_id long, text string, key long, h binary, chunk binary"), "open")
+    refs = opened.where("h is not null").select("key", "h")
+    chunks = opened.where("chunk is not null").groupBy("h").agg(F.any_value("chunk").alias("chunk"))
     encoded = written(chunks.mapInArrow(lambda it: tidied(_encode_chunks(it, vocab)), "h binary, ids binary"), "encoded-chunks")
-    lists = refs.select("key", "h").distinct().join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
+    lists = refs.distinct().join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
     lists = written(lists, "lists")  # the join below is then a join alone, whose large partitions (many copies of a text) are split
-    several = keyed.mapInArrow(lambda it: tidied(_open(it, vocab, held.value)), keyed.schema)
-    joined = several.join(lists, "key", "left").select("doc_id", "text", "given")
-    return alone.unionByName(joined.mapInArrow(lambda it: tidied(_encode(it, vocab, decode)), schema))
+    joined = opened.where("h is null").select("doc_id", "text", "key").join(lists, "key", "left").select("doc_id", "text", "given")
+    return alone.unionByName(joined.mapInArrow(lambda it: tidied(_together(it, vocab, decode)), schema))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,21 +28,28 @@ def texts(n, seed=1, most=3000):
     return ["".join(rng.choice(ALPHABET, rng.integers(0, most))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("mask_bits", [3, 10])
+@pytest.mark.parametrize("mask_bits", [3, 6, 10])
 def test_chunks_give_the_ids_of_the_library(library, mask_bits):
     some = ODD + texts(60)
-    chunks = bpe.Chunks(bpe.vocabulary())
-    got = bpe.encode_slice([t.encode() for t in some], chunks, mask_bits) + bpe.encode_slice([t.encode() for t in some], chunks, mask_bits)
+    vocab, rng = bpe.vocabulary(), np.random.default_rng(mask_bits)
     want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
-    assert [g.tolist() for g in got] == want + want and chunks.reused > chunks.encoded / 2
-    vocab = bpe.vocabulary()
-    assert [vocab.decode(g) for g in got[: len(some)]] == [library.decode(w, skip_special_tokens=False) for w in want]
+    cut = bpe.cut_texts([t.encode() for t in some], vocab, mask_bits)
+    for share in (0.0, 0.3, 1.0):  # of the chunks whose ids are given
+        got = [t.ids(vocab, {h: vocab.encode(t.chunk(i)) for i, h in enumerate(t.names) if rng.random() < share}) for t in cut]
+        assert [g.tolist() for g in got] == want
+    assert [g.tolist() for g in bpe._whole([t.encode() for t in some], vocab)] == want
+    assert [vocab.decode(np.array(w, np.uint32)) for w in want] == [library.decode(w, skip_special_tokens=False) for w in want]
 
 
-def test_a_small_cache_changes_nothing(library):
-    some = texts(20, 5)
-    got = bpe.encode_slice([t.encode() for t in some], bpe.Chunks(bpe.vocabulary(), 4000), 5)
-    assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+def test_parts_of_any_ends_are_repaired(library):
+    vocab, rng = bpe.vocabulary(), np.random.default_rng(11)
+    for t in texts(80, 13, 400):
+        plain = t.replace("<|endoftext|>", "")
+        ends = sorted({int(x) for x in rng.integers(1, max(2, len(plain)), 12)} - {len(plain)})
+        pieces = [plain[a:b] for a, b in zip([0, *ends], [*ends, len(plain)], strict=True) if b > a]
+        if pieces:
+            got = bpe.repaired(plain.encode(), [vocab.encode(x.encode()) for x in pieces], vocab)
+            assert got.tolist() == library.encode(plain, add_special_tokens=False).ids
 
 
 def test_equal_passages_give_equal_chunks():
@@ -72,27 +79,28 @@ def test_encode_table(spark, library):
     assert bpe.encode(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1 << 26, bpe.BLOCK * 8])
+@pytest.mark.parametrize("bits", [1 << 26, 0])
 def test_shared_chunks_are_encoded_once_for_the_corpus(spark, library, monkeypatch, bits):
+    """By the broadcast filter, and by joins where it would be too large."""
     monkeypatch.setattr(bpe, "FILTER_BITS", bits)
     passages = texts(6, 21, 6000)
-    rows = [(i, f"own start {i} " + passages[i % 6] + passages[(i * 5 + 1) % 6] + f" own end {i}") for i in range(40)] + [(100 + i, passages[0]) for i in range(20)] + [(200, "alone " * 900), (201, None)]
+    rows = [(i, f"own start {i} " + passages[i % 6] + passages[(i * 5 + 1) % 6] + f" own end {i}") for i in range(40)] + [(100 + i, passages[0]) for i in range(20)] + [(200, "alone " * 900), (201, None), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    some = bpe.shared_filter(df, bpe.VOCABULARY)
-    names = [h for _, hs in bpe._named([passages[0].encode()], bpe.vocabulary()) for h in hs]
-    assert some.hits(names).mean() > 0.5 and some.n <= bits
-    a, b = ({r["doc_id"]: (r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in bpe.encode(df, reuse=how).collect()} for how in ("corpus", "task"))
-    assert a == b and len(a) == len(rows)
+    marked, some = bpe.marked(df.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))), bpe.VOCABULARY)
+    assert (some is None) == (bits == 0) == ("shared" in marked.columns)
+    opened = [r for b in marked.toArrow().to_batches() for t, shared in bpe._marks(b, bpe.vocabulary(), some) for r in [(len(t.names), len(shared))]]
+    assert sum(n for _, n in opened) > 0.5 * sum(n for n, _ in opened)
+    got = bpe.encode(df).collect()
+    assert len(got) == len(rows)
+    a = {r["doc_id"]: (r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in got}
     for i, t in rows:
         assert np.frombuffer(a[i][1], "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids and a[i][2] == (t or "")
 
 
 def test_given_ids_are_held_against_the_chunk():
     vocab = bpe.vocabulary()
-    chunks = bpe.Chunks(vocab)
-    chunks.given = {bpe.digest(b"one two"): vocab.encode(b"one six"), bpe.digest(b" three"): vocab.encode(b" three")}
-    assert chunks.ids(b"one two").tolist() == vocab.encode(b"one two").tolist() and chunks.encoded == 1
-    assert chunks.ids(b" three").tolist() == vocab.encode(b" three").tolist() and chunks.encoded == 1
+    (text,) = bpe.cut_texts([b"one two"], vocab)
+    assert text.ids(vocab, {bpe.digest(b"one two"): vocab.encode(b"one six")}).tolist() == vocab.encode(b"one two").tolist()
 
 
 def test_encode_query(spark, library):
