@@ -1,20 +1,27 @@
-"""Edit-aware token counts on segment trees of pre-token runs (operator 4).
+"""Edit-aware token counts on kept segment trees of pre-token runs (operator 4).
 
 A document is cut into segments at places that start a pre-token whatever stands around
 them (a space and an ASCII letter), about ``SEGMENT`` bytes apart; the tree's leaves are
-the segments' token counts and a node is the sum of its children.  An edit replaces a
-range of code points.  Only the segments that the range touches, with one segment of
-context on either side, are encoded again (the context decides where the new boundaries
-are), and only the paths above them are summed again; what is right of the edit keeps its
-counts.  Edits of a document apply in the order of ``seq``, each to the text that the one
-before left.
+the segments' token counts and a node is the sum of its children.  ``token_trees`` builds
+the trees; they are kept as a table whose ``tree`` column has each segment's code points
+and tokens, beside the text that it stands for.  ``edit_trees`` takes such a table and
+edits, and gives the table for the edited texts, which the next edits are applied to.
+
+An edit replaces a range of code points.  Only the segments that the range touches, with
+one segment of context on either side, are encoded again (the context decides where the
+new boundaries are).  If that leaves the number of segments as it was, the sums of the
+paths above them are updated; if not, the sums are added up again from the leaves' counts,
+which encodes nothing.  Edits of a document apply in the order of ``seq``, each to the
+text that the one before left.
 
 Defined cases: a null text is empty and has 0 tokens; a range is cut to the text (start
 over the end: an insertion at the end; end under start: at start); null bounds are the
-text's ends; a null replacement is empty; a document without edits keeps its count; edits
-of unknown documents are ignored; repeated document rows are each edited by all edits of
-their doc_id, as are rows with a null doc_id by none; ties in seq go by start, end and
-replacement; an empty table gives an empty table.
+text's ends; a null replacement is empty; a document without edits keeps its tree and is
+not encoded; edits of unknown documents are ignored; repeated document rows are each edited
+by all edits of their doc_id, as are rows with a null doc_id by none; ties in seq go by
+start, end and replacement; long texts are counted whole, with work linear in their length
+to build and in the edits to update; further columns, whatever their names, are ignored;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -62,14 +69,18 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
 
 
 class Tree:
-    """Segments of a text with their token counts, summed level by level."""
+    """Segments of a text with their token counts, summed level by level; ``leaves`` are kept (code points, tokens) of the segments."""
 
-    def __init__(self, text: str, vocab: Vocabulary, size: int = SEGMENT) -> None:
+    def __init__(self, text: str, vocab: Vocabulary, size: int = SEGMENT, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.vocab, self.size = vocab, size
-        self.parts = segments(text, size)
         self.encoded = 0
-        self.levels = [self._counts(self.parts), np.array([len(p) for p in self.parts], np.int64)]
-        self.sums, self.chars = self._tree(self.levels[0]), self._tree(self.levels[1])
+        if leaves is None:
+            self.parts = segments(text, size)
+            leaves = np.array([len(p) for p in self.parts], np.int64), self._counts(self.parts)
+        else:
+            ends = np.cumsum(leaves[0]).tolist()
+            self.parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.chars, self.sums = self._tree(leaves[0]), self._tree(leaves[1])
 
     def _counts(self, parts: list[str]) -> np.ndarray:
         self.encoded += sum(map(len, parts))
@@ -136,47 +147,68 @@ class Tree:
                 tree[:] = self._tree(np.concatenate((tree[0][:lo], new, tree[0][hi:])))
 
 
-def _apply(batches: Iterator[pa.RecordBatch], name: str, text_out: bool) -> Iterator[pa.RecordBatch]:
+TREE = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+TREES = "doc_id long, text string, n_tokens long, tree array<struct<chars:int,tokens:int>>, chars_encoded long"
+
+
+def _kept(trees: list[Tree]) -> pa.ListArray:
+    """The leaves of trees as a column."""
+    offsets = np.concatenate(([0], np.cumsum([len(t.parts) for t in trees])))
+    chars, tokens = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([t.chars[0] for t in trees], [t.sums[0] for t in trees]))
+    leaves = pa.StructArray.from_arrays([pa.array(chars, pa.int32()), pa.array(tokens, pa.int32())], names=["chars", "tokens"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), leaves)
+
+
+def _build(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    vocab = vocabulary(name)
+    for batch in bounded(batches, 1):
+        trees = [Tree(t or "", vocab) for t in batch.column(1).to_pylist()]
+        cols = [batch.column(0), batch.column(1), pa.array([t.tokens for t in trees], pa.int64()), _kept(trees), pa.array([t.encoded for t in trees], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_tokens", "tree", "chars_encoded"])
+
+
+def token_trees(docs: DataFrame, vocab: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text, n_tokens, tree, chars_encoded) of each row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: tidied(_build(it, vocab)), TREES)
+
+
+def _apply(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, n_tokens, tree, edits) to the edited ones."""
     vocab = vocabulary(name)
     for batch in bounded(batches, 1):
-        ids, texts, edits = (batch.column(i) for i in range(3))
-        rows: list[tuple] = []
-        held = first = 0
+        ids, texts, before, kept, edits = batch.columns
+        flat, offsets = kept.flatten(), kept.offsets.to_numpy() - kept.offsets[0].as_py()
+        leaves = [flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("chars", "tokens")]
+        first, held, trees = 0, 0, []
         for i in range(batch.num_rows):
-            tree = Tree(texts[i].as_py() or "", vocab)
-            before, built = tree.tokens, tree.encoded
+            tree = Tree(texts[i].as_py() or "", vocab, leaves=tuple(x[offsets[i] : offsets[i + 1]] for x in leaves))
             for e in edits[i].as_py() or ():
-                start = 0 if e["start"] is None else e["start"]
-                end = (1 << 62) if e["end"] is None else e["end"]
-                tree.edit(start, end, e["replacement"] or "")
-            out = tree.text if text_out else None
-            rows.append((before, tree.tokens, built, tree.encoded - built, len(edits[i].as_py() or ()), out))
-            held += len(out or "")
+                tree.edit(0 if e["start"] is None else e["start"], (1 << 62) if e["end"] is None else e["end"], e["replacement"] or "")
+            trees.append(tree)
+            held += int(tree.chars[-1].sum())
             if held > SLICE or i + 1 == batch.num_rows:
-                kinds = [pa.int64()] * 5 + [pa.string()]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(rows)), *cols][: 7 if text_out else 6], names=[*OUT, "text"][: 7 if text_out else 6])
-                first, rows, held = i + 1, [], 0
-
-
-OUT = ["doc_id", "n_tokens", "n_tokens_after", "chars_encoded", "chars_reencoded", "n_edits"]
+                n = len(trees)
+                numbers = [[t.tokens for t in trees], [t.encoded for t in trees], [len(x or ()) for x in edits.slice(first, n).to_pylist()]]
+                cols = [ids.slice(first, n), pa.array([t.text for t in trees], pa.string()), before.slice(first, n), pa.array(numbers[0], pa.int64()), _kept(trees), *[pa.array(x, pa.int64()) for x in numbers[1:]]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_tokens_before", "n_tokens", "tree", "chars_encoded", "n_edits"])
+                first, held, trees = i + 1, 0, []
 
 
-def edited_counts(docs: DataFrame, edits: DataFrame | None = None, vocab: str = VOCABULARY, text_out: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_after, chars_encoded (to build), chars_reencoded (by edits), n_edits[, text after the edits].
+def edit_trees(trees: DataFrame, edits: DataFrame | None = None, vocab: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text, n_tokens_before, n_tokens, tree, chars_encoded, n_edits): ``trees`` after the edits, which the next edits may follow.
 
-    ``edits`` has doc_id, seq, start, end, replacement; or ``docs`` has them already, in a
+    ``edits`` has doc_id, seq, start, end, replacement; or ``trees`` has them already, in a
     column ``edits`` (array of struct seq, start, end, replacement).  A document's edits
     are gathered with it, as they apply one after another.
     """
-    rows = docs
     if edits is not None:
         one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("replacement").cast("string").alias("replacement"))
         lists = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(one).alias("edits"))
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id", "left")
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array_sort(F.col("edits").cast(EDITS)).alias("edits"))
-    schema = "doc_id long, n_tokens long, n_tokens_after long, chars_encoded long, chars_reencoded long, n_edits long" + (", text string" if text_out else "")
-    return rows.mapInArrow(lambda it: tidied(_apply(it, vocab, text_out)), schema)
+        trees = trees.select("doc_id", "text", "n_tokens", "tree").join(lists, "doc_id", "left")
+    rows = trees.select("doc_id", "text", "n_tokens", "tree", F.array_sort(F.col("edits").cast(EDITS)).alias("edits"))
+    schema = "doc_id long, text string, n_tokens_before long, n_tokens long, tree array<struct<chars:int,tokens:int>>, chars_encoded long, n_edits long"
+    return rows.mapInArrow(lambda it: tidied(_apply(it, vocab)), schema)
 
 
 def stated_edits(docs: DataFrame) -> DataFrame:
@@ -192,6 +224,7 @@ def stated_edits(docs: DataFrame) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's token count, before and after the stated edits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return edited_counts(stated_edits(docs)).select("doc_id", "n_tokens", "n_tokens_after", "chars_reencoded")
+    """Every document's token count, before and after the stated edits of its kept tree."""
+    trees = token_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = edit_trees(stated_edits(trees))
+    return found.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.col("chars_encoded").alias("chars_reencoded"))

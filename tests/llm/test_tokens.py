@@ -146,16 +146,39 @@ def test_edits_encode_a_bounded_part():
 
 
 def test_edited_table(spark):
-    docs = spark.createDataFrame([(1, "one two three", 5), (2, None, 5), (3, "kept", 5), (None, "null id", 5), (1, "one two three", 5)], "doc_id long, text string, n_edits int")
+    docs = spark.createDataFrame([(1, "one two three", 5, "t"), (2, None, 5, "t"), (3, "kept", 5, "t"), (None, "null id", 5, "t"), (1, "one two three", 5, "t")], "doc_id long, text string, n_edits int, tree string")
     edits = spark.createDataFrame(
         [(1, 2, 0, 3, "1"), (1, 1, 4, 7, "2 and <|endoftext|>"), (2, 1, None, None, "new"), (9, 1, 0, 1, "x"), (None, 1, 0, 1, "x"), (3, 1, 2, 2, None)],
         "doc_id long, seq long, start long, end long, replacement string",
     )
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_tokens_after"], r["n_edits"], r["text"]) for r in token_counts.edited_counts(docs, edits, text_out=True).collect())
+    got = sorted((str(r["doc_id"]), r["n_tokens_before"], r["n_tokens"], r["n_edits"], r["text"]) for r in token_counts.edit_trees(token_counts.token_trees(docs), edits).collect())
     vocab = bpe.vocabulary()
     assert [g[4] for g in got] == ["1 2 and <|endoftext|> three"] * 2 + ["new", "kept", "null id"] and [g[3] for g in got] == [2, 2, 1, 1, 0]
     assert all(g[2] == token_counts.count_tokens(g[4], vocab) for g in got)
-    assert token_counts.edited_counts(docs.where("false"), edits).count() == 0
+    assert token_counts.edit_trees(token_counts.token_trees(docs.where("false")), edits).count() == 0
+
+
+def test_kept_trees_take_further_edits(spark, tmp_path):
+    """Trees that were written: the next edits encode the segments they touch, and nothing where there are none."""
+    vocab = bpe.vocabulary()
+    rows = [(i, f"document {i} " + "some words here and there " * (40 * i), "x") for i in range(12)]
+    trees = token_counts.token_trees(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"))
+    now = {i: t for i, t, _ in rows}
+    rng = np.random.default_rng(1)
+    for turn in range(3):
+        trees.write.parquet(str(tmp_path / f"trees{turn}"))
+        trees = spark.read.parquet(str(tmp_path / f"trees{turn}"))
+        made = []
+        for i in range(0, 12, 2):
+            a = int(rng.integers(0, len(now[i])))
+            new = "".join(rng.choice(ALPHABET, 20))
+            made.append((i, turn, a, a + 5, new))
+            now[i] = now[i][:a] + new + now[i][a + 5 :]
+        trees = token_counts.edit_trees(trees, spark.createDataFrame(made, "doc_id long, seq long, start long, end long, replacement string"))
+        for r in trees.collect():
+            assert r["text"] == now[r["doc_id"]] and r["n_tokens"] == token_counts.count_tokens(r["text"], vocab)
+            assert sum(x["tokens"] for x in r["tree"]) == r["n_tokens"] and sum(x["chars"] for x in r["tree"]) == len(r["text"])
+            assert r["chars_encoded"] == 0 if r["doc_id"] % 2 else 0 < r["chars_encoded"] < 6 * token_counts.SEGMENT
 
 
 def test_count_query(spark):
