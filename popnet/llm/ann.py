@@ -13,7 +13,9 @@ so a lost executor repeats its own tasks only.
 Defined cases: vectors null, zero or with null or non-finite components take no part, nor
 rows with a null id; vectors of another length than the query's are no candidates of it;
 ties go to the smaller id; a repeated row (id and vector) counts once; the query's own id
-is no candidate; no queries or no candidates give an empty table.
+is no candidate; no queries or no candidates give an empty table; further columns, whatever
+their names, are ignored; a vector of any length is taken whole (a block holds one query at
+least).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from popnet.llm.shared import table, written
-from popnet.llm.vectors import TILE, Best, matrices, query_blocks, usable
+from popnet.llm.vectors import TILE, Best, matrices, query_blocks, repeats, usable
 
 K = 10
 
@@ -60,7 +62,7 @@ def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile(best: Best, base: int, qids: np.ndarray, q: np.ndarray, qc: tuple, ids: np.ndarray, x: np.ndarray) -> None:
+def _tile(best: Best, base: int, qids: np.ndarray, q: np.ndarray, qc: tuple, ids: np.ndarray, names: np.ndarray, x: np.ndarray) -> None:
     """One tile: queries (rows base..) against candidates."""
     codes, scale, error = quantised(x)
     qcodes, qscale, qerror = qc
@@ -79,36 +81,32 @@ def _tile(best: Best, base: int, qids: np.ndarray, q: np.ndarray, qc: tuple, ids
     high[own] = np.inf
     n = len(qids)
     cut = best.cut[base : base + n]
-    if len(ids) > 4 * best.k:  # repeated rows may hold several of the places below: the bound asks for k different ids
-        distinct = len(np.unique(ids)) == len(ids)
-        if distinct:
-            cut = np.minimum(cut, np.partition(high, best.k - 1, axis=1)[:, best.k - 1])
+    if len(ids) > 4 * best.k:
+        high[:, repeats(ids, names)] = np.inf  # the bound asks for k different rows
+        cut = np.minimum(cut, np.partition(high, best.k - 1, axis=1)[:, best.k - 1])
     a, b = np.nonzero(low <= cut[:, None])
     for at in range(0, len(a), 1 << 16):
         i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
         fine = ~own[i, j]
         i, j = i[fine], j[fine]
-        best.merge(i + base, exact_distances(q[i], x[j]), ids[j])
+        best.merge(i + base, exact_distances(q[i], x[j]), ids[j], names[j])
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: list, k: int) -> Iterator[pa.RecordBatch]:
     """The best of this task's candidates for each query of the block."""
     parts, n = [], 0
-    for d, qids, q in block:
+    for d, qids, _, q in block:
         for at in range(0, len(qids), TILE):
             parts.append((d, n, qids[at : at + TILE], q[at : at + TILE], quantised(q[at : at + TILE])))
             n += len(qids[at : at + TILE])
     best = Best(n, k, 1, float)
     for batch in batches:
-        for d, ids, x in matrices(batch):
+        for d, ids, names, x in matrices(batch):
             for at in range(0, len(ids), TILE):
                 for dim, base, qids, q, qc in parts:
                     if dim == d:
-                        _tile(best, base, qids, q, qc, ids[at : at + TILE], x[at : at + TILE])
-    names = np.concatenate([p[2] for p in parts])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names[best.q]), pa.array(best.q), pa.array(best.ids), pa.array(best.score)], names=["query_id", "query_row", "vec_id", "score"]
-    )
+                        _tile(best, base, qids, q, qc, ids[at : at + TILE], names[at : at + TILE], x[at : at + TILE])
+    yield best.table(np.concatenate([p[2] for p in parts]))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -118,11 +116,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     found: DataFrame | None = None
     for block in query_blocks(usable(queries, id_col, vector_col, nonzero=True)):
         held = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(lambda it, held=held: _search(it, held.value, k), "query_id long, query_row long, vec_id long, score double")
-        w = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
+        part = rows.mapInArrow(lambda it, held=held: _search(it, held.value, k), "query_id long, query_row long, vec_id long, h long, score double")
+        w = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id", "h")
         part = part.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         part = part.select("query_id", "rank", "vec_id", "score")
-        found = part if found is None else found.unionByName(written(part, "nearest"))
+        part = written(part, "nearest")  # a block's rows are found once
+        found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 

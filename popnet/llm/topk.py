@@ -1,32 +1,43 @@
 """Exact top-k inner products by a three-phase uniform threshold (operator 6).
 
 After Cao and Wang's TPUT (2004).  A vector's components are cut into ``lists`` blocks of
-dimensions; a block's partial inner product with a query is that list's local score, moved
-up by its exact minimum bound so that none is negative.
-
-1. Every task gathers the k highest entries of each local list; an object's partial sum of
-   gathered scores is a lower bound of its score, and the k-th highest of them, divided by
-   the number of lists, is a safe cutoff: an object below it in every list can't reach it.
-2. The cutoff is broadcast.  Every task collects the entries at or above it, sums them
-   (unseen lists count 0) and reports its k highest sums: their k-th is a better bound.
-3. The bound is broadcast.  Objects whose upper bound (the cutoff for unseen lists) reaches
-   it are resolved exactly, and the k highest of each task are merged.
-
-All lists of a row lie in its task, so entries are collected where they are: a phase
-shuffles at most k entries a query, list and task.  Queries come in blocks of bounded bytes.
-
-Vectors are integers floor(multiplier * x).  Products are done in doubles where every sum
-is under 2^52, else in Python integers without the bounds of phases 1 and 2; a score that
-doesn't fit 64 bits is held at the nearest value that does.
+dimensions; a block's partial inner product with a query is that list's local score, and
+the product of the two blocks' lengths bounds it.  A list is ordered by its blocks'
+lengths, so by that bound, for all queries at once.
+
+1. Every task reads the heads of its lists (``HEAD`` rows of each) and gathers the k
+   highest scores of each query among them.  The k-th highest of all tasks is a bound of
+   the k-th score; divided by the number of lists, it is a safe cutoff: a row below it in
+   every list can't reach the bound.
+2. Bounds and cutoffs are broadcast.  A task reads its lists down to the cutoff: rows that
+   are below it in every list, for every query of the block, are not multiplied.  The
+   others' local scores are summed in single or double precision, whose rounding is bounded
+   too, and pairs that reach the bound (that of phase 1 or the task's own k-th score) are
+   collected.
+3. Collected pairs are resolved exactly, at once, where they are: their products are
+   computed in whole numbers and merged into the task's heaps.
+
+All lists of a row lie in its task, so a phase shuffles k entries a query and task at most,
+and each pair is multiplied once at most, but for the heads.  Queries come in blocks of
+bounded bytes.
+
+Vectors are integers floor(multiplier * x).  A pair is resolved in doubles where its sum is
+under 2^52, else in Python integers; a score that doesn't fit 64 bits is held at the nearest
+value that does.
 
 Defined cases: vectors null or with null or non-finite components take no part, nor rows
 with a null id; vectors of another length than the query's are no candidates of it (an
 empty vector has score 0 with other empty ones); ties go to the smaller id; a repeated row
-counts once; the query's own id is no candidate; no queries give an empty table.
+(id and vector) counts once, different vectors under one id are candidates of their own;
+the query's own id is no candidate; no queries give an empty table; further columns,
+whatever their names, are ignored; a vector of any length is taken whole (a block holds one
+query at least).
 """
 
 from __future__ import annotations
 
+import fractions
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,35 +45,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from popnet.llm.shared import table, written
-from popnet.llm.vectors import TILE, Best, matrices, query_blocks, usable
+from popnet.llm.vectors import TILE, Best, matrices, query_blocks, repeats, usable
 
 K = 10
 LISTS = 4
 MULTIPLIER = 1024
+#: Rows of each list that a task reads for the first bound.
+HEAD = 256
 _LONG = (-(1 << 63), (1 << 63) - 1)
+RESULT = "query_id long, query_row long, vec_id long, h long, score long"
 
 
 def whole(x: np.ndarray, multiplier: int = MULTIPLIER) -> np.ndarray:
-    """floor(multiplier * x) as doubles with whole values, or Python integers where doubles' products would not be exact."""
+    """floor(multiplier * x) as doubles with whole values; infinite where that leaves the range."""
     with np.errstate(over="ignore"):
-        out = np.floor(x * multiplier)
-    if np.isfinite(out).all():
-        return out
-    import fractions
-    import math
-
-    exact = [[math.floor(fractions.Fraction(float(c)) * multiplier) for c in row] for row in x]
-    return np.array(exact, dtype=object).reshape(x.shape)
+        return np.floor(x * multiplier)
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both matrices in a type whose products are exact."""
-    if q.dtype != object and x.dtype != object:
-        most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-        if most < 1 << 52:
-            return q, x
-    as_int = lambda m: m if m.dtype == object else np.array([[int(c) for c in r] for r in m], dtype=object).reshape(m.shape)
-    return as_int(q), as_int(x)
+def _integers(v: np.ndarray, multiplier: int = MULTIPLIER) -> list[int]:
+    return [math.floor(fractions.Fraction(c) * multiplier) for c in v.tolist()]
 
 
 def _cuts(d: int, lists: int) -> list[tuple[int, int]]:
@@ -70,132 +71,149 @@ def _cuts(d: int, lists: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a] or [(0, d)]
 
 
-def _locals(q: np.ndarray, x: np.ndarray, floors: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Each list's scores (queries by candidates), moved up by ``floors`` (queries by lists)."""
-    return [q[:, a:b] @ x[:, a:b].T - floors[:, i : i + 1] for i, (a, b) in enumerate(_cuts(q.shape[1], lists))]
+def lengths(x: np.ndarray, lists: int) -> np.ndarray:
+    """Each block's length (rows by lists), rounded up; infinite where it leaves the range."""
+    with np.errstate(over="ignore"):
+        return np.stack([np.sqrt((x[:, a:b] ** 2).sum(axis=1)) for a, b in _cuts(x.shape[1], lists)], axis=1) * (1 + 1e-12)
+
+
+class Rows:
+    """Rows of one dimension: ids, names, original vectors, whole vectors and their blocks' lengths."""
 
+    def __init__(self, ids: np.ndarray, names: np.ndarray, v: np.ndarray, lists: int, known: tuple | None = None) -> None:
+        self.ids, self.names, self.v, self.lists = ids, names, v, lists
+        self.x, self.long = known or (whole(v), None)
+        if self.long is None:
+            self.long = lengths(self.x, lists)
 
-def _kth(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th highest of each row, or -1 with fewer columns."""
-    if scores.shape[1] < k:
-        return np.full(scores.shape[0], -1.0)
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k].astype(float)
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows(self.ids[at], self.names[at], self.v[at], self.lists, (self.x[at], self.long[at]))
+
+    def joined(self, other: Rows) -> Rows:
+        both = lambda a, b: np.concatenate((a, b))
+        return Rows(both(self.ids, other.ids), both(self.names, other.names), both(self.v, other.v), self.lists, (both(self.x, other.x), both(self.long, other.long)))
 
 
 class Block:
-    """A block of queries: whole vectors by dimension, and the bounds known so far."""
+    """A block of queries: parts of at most TILE rows of one dimension, and the bounds known so far."""
 
-    def __init__(self, block: list, tops: dict[int, np.ndarray], lists: int) -> None:
-        self.parts, self.n, self.lists = [], 0, lists
-        for d, ids, v in block:
-            q = whole(v)
+    def __init__(self, block: list, lists: int) -> None:
+        self.parts: list[tuple[int, int, Rows]] = []
+        self.n, self.lists = 0, lists
+        for d, ids, names, v in block:
             for at in range(0, len(ids), TILE):
-                part = q[at : at + TILE]
-                # no list's score is under this: the largest component of each dimension bounds it
-                top = tops.get(d, np.zeros(d))
-                low = np.stack([-(np.abs(part[:, a:b]) @ top[a:b]) for a, b in _cuts(d, lists)], axis=1)
-                self.parts.append((d, self.n, ids[at : at + TILE], part, low))
-                self.n += len(part)
-        self.ids = np.concatenate([p[2] for p in self.parts])
-        self.cutoff = np.zeros(self.n)  # of one list's moved score
-        self.bound = np.full(self.n, -1.0)  # of a moved sum
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple]:
-    """(base, queries, candidates' ids, candidates, floors or None where doubles aren't exact, mask of own rows) of each tile."""
-    for batch in batches:
-        for d, ids, v in matrices(batch):
-            x = whole(v)
-            for at in range(0, len(ids), TILE):
-                some, names = x[at : at + TILE], ids[at : at + TILE]
-                for dim, base, qids, q, low in block.parts:
-                    if dim == d:
-                        a, b = _exact(q, some)
-                        floors = None if a.dtype == object or np.abs(low).max(initial=0) >= 1 << 51 else low
-                        yield base, a, names, b, floors, qids[:, None] == names[None, :]
+                part = Rows(ids[at : at + TILE], names[at : at + TILE], v[at : at + TILE], lists)
+                self.parts.append((d, self.n, part))
+                self.n += len(part.ids)
+        self.ids = np.concatenate([p.ids for _, _, p in self.parts])
+        self.bound = np.full(self.n, -np.inf)  # of a score
+
+
+def sums(q: Rows, x: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, errors) of all pairs: the local scores' sums, and how far off they may be at most."""
+    with np.errstate(all="ignore"):
+        size = np.linalg.norm(q.long, axis=1)[:, None] * np.linalg.norm(x.long, axis=1)[None, :]
+        top = size.max(initial=0.0)
+        kind = np.float32 if top < 1e30 and max(np.abs(q.x).max(initial=0), np.abs(x.x).max(initial=0)) < 1e30 else np.float64
+        score = (q.x.astype(kind) @ x.x.astype(kind).T).astype(float)
+        # rounding of the components, of the products and of their sum
+        error = size * (4 * (q.x.shape[1] + 4) * np.finfo(kind).eps)
+    odd = ~np.isfinite(score) | ~np.isfinite(error)
+    score[odd], error[odd] = 0.0, np.inf
+    return score, error
+
+
+def resolved(q: Rows, x: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The exact scores of pairs, as 64-bit integers."""
+    out = np.zeros(len(i), np.int64)
+    if not len(i):
+        return out
+    top = lambda m: np.abs(m).max(axis=1, initial=0.0)
+    with np.errstate(over="ignore"):
+        fits = top(q.x)[i] * top(x.x)[j] * max(1, q.x.shape[1]) < 1 << 52
+    out[fits] = np.einsum("ij,ij->i", q.x[i[fits]], x.x[j[fits]]).astype(np.int64)
+    for k in np.flatnonzero(~fits).tolist():
+        exact = sum(a * b for a, b in zip(_integers(q.v[i[k]]), _integers(x.v[j[k]]), strict=True))
+        out[k] = min(max(exact, _LONG[0]), _LONG[1])
+    return out
+
 
+def _merge(best: Best, base: int, q: Rows, x: Rows, i: np.ndarray, j: np.ndarray) -> None:
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        best.merge(a + base, resolved(q, x, a, b), x.ids[b], x.names[b])
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, pos, top): the largest absolute component of each dimension among this task's rows."""
-    tops: dict[int, np.ndarray] = {}
+
+def gather(batches: Iterator[pa.RecordBatch], block: Block, k: int, head: int = HEAD) -> Best:
+    """Phase 1: the k highest scores of each query among the heads of this task's lists."""
+    heads: dict[int, Rows] = {}
     for batch in batches:
-        for d, _, v in matrices(batch):
-            x = whole(v)
-            if x.dtype != object and d:
-                tops[d] = np.maximum(tops.get(d, np.zeros(d)), np.abs(x).max(axis=0))
-    for d, top in tops.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d)), pa.array(np.arange(d)), pa.array(top)], names=["d", "pos", "top"])
-
-
-def _gather(batches: Iterator[pa.RecordBatch], block: Block, k: int) -> Iterator[pa.RecordBatch]:
-    """Phase 1: (query_row, list, vec_id, local score) of the k highest entries of each list."""
-    best = [Best(block.n, k, -1, float) for _ in range(block.lists)]
-    for base, q, ids, x, low, own in _tiles(batches, block):
-        if low is None:
-            continue  # a bound from the other rows is a bound as well
-        for heap, scores in zip(best, _locals(q, x, low, block.lists), strict=False):
-            scores = scores.astype(float)
-            scores[own] = -1
-            kept = np.maximum(_kth(scores, k), -heap.cut[base : base + len(q)].clip(max=1))
-            i, j = np.nonzero((scores >= kept[:, None]) & (scores >= 0))
-            heap.merge(i + base, scores[i, j], ids[j])
-    for at, heap in enumerate(best):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(heap.q), pa.array(np.full(len(heap.q), at)), pa.array(heap.ids), pa.array(heap.score)], names=["query_row", "list", "vec_id", "local"]
-        )
-
-
-def _seen(scores: list[np.ndarray], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of moved sums from the entries at or above the cutoff."""
-    low = high = 0.0
-    for s in scores:
-        s = s.astype(float)
-        seen = s >= cutoff[:, None]
-        low = low + np.where(seen, s, 0.0)
-        high = high + np.where(seen, s, cutoff[:, None])
-    return low, high
-
-
-def _collect(batches: Iterator[pa.RecordBatch], block: Block, k: int) -> Iterator[pa.RecordBatch]:
-    """Phase 2: (query_row, vec_id, sum) of the k highest partial sums of entries above the cutoff."""
-    best = Best(block.n, k, -1, float)
-    for base, q, ids, x, low, own in _tiles(batches, block):
-        if low is None:
-            continue
-        lower, _ = _seen(_locals(q, x, low, block.lists), block.cutoff[base : base + len(q)])
-        lower[own] = -1
-        kept = np.maximum(_kth(lower, k), -best.cut[base : base + len(q)].clip(max=1))
-        i, j = np.nonzero((lower >= kept[:, None]) & (lower >= 0))
-        best.merge(i + base, lower[i, j], ids[j])
-    yield pa.RecordBatch.from_arrays([pa.array(best.q), pa.array(best.ids), pa.array(best.score)], names=["query_row", "vec_id", "sum"])
-
-
-def _resolve(batches: Iterator[pa.RecordBatch], block: Block, k: int) -> Iterator[pa.RecordBatch]:
-    """Phase 3: exact scores of the objects whose upper bound reaches the bound; the k highest."""
+        for d, ids, names, v in matrices(batch):
+            rows = Rows(ids, names, v, block.lists)
+            if d in heads:
+                rows = heads[d].joined(rows)
+            rows = rows.take(np.flatnonzero(~repeats(rows.ids, rows.names)))
+            if len(rows.ids) > head:
+                first = [np.argpartition(-rows.long[:, c], head - 1)[:head] for c in range(rows.long.shape[1])]
+                rows = rows.take(np.unique(np.concatenate(first)))
+            heads[d] = rows
+    best = Best(block.n, k, -1, np.int64)
+    for d, base, q in block.parts:
+        if d in heads:
+            x = heads[d]
+            score, _ = sums(q, x)
+            score[q.ids[:, None] == x.ids[None, :]] = -np.inf
+            some = min(k, score.shape[1])
+            j = np.argpartition(-score, some - 1, axis=1)[:, :some].ravel()
+            i = np.repeat(np.arange(len(q.ids)), some)
+            fine = score[i, j] > -np.inf
+            _merge(best, base, q, x, i[fine], j[fine])
+    return best
+
+
+def collect(batches: Iterator[pa.RecordBatch], block: Block, k: int, counted: dict | None = None) -> Best:
+    """Phases 2 and 3: this task's k highest scores of each query, of the pairs that reach the bound.
+
+    ``counted`` is told the pairs there are, those multiplied and those resolved.
+    """
     best = Best(block.n, k, -1, np.int64)
-    for base, q, ids, x, low, own in _tiles(batches, block):
-        if low is None:
-            i, j = np.nonzero(~own)
-        else:
-            _, upper = _seen(_locals(q, x, low, block.lists), block.cutoff[base : base + len(q)])
-            upper[own] = -np.inf
-            i, j = np.nonzero(upper >= block.bound[base : base + len(q)][:, None])
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            scores = (q[a] * x[b]).sum(axis=1)
-            if scores.dtype == object or q.dtype == object:
-                scores = np.array([min(max(int(s), _LONG[0]), _LONG[1]) for s in scores], np.int64)
-            best.merge(a + base, scores.astype(np.int64), ids[b])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(block.ids[best.q]), pa.array(best.q), pa.array(best.ids), pa.array(best.score)], names=["query_id", "query_row", "vec_id", "score"]
-    )
-
-
-def _bounds(rows: DataFrame, block: Block, score: str, k: int) -> np.ndarray:
-    """The k-th highest ``score`` of each query row of the block, -1 with fewer: at most one number a query."""
-    w = Window.partitionBy("query_row").orderBy(F.desc(score))
-    got = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") == k).select("query_row", score).toArrow()
-    out = np.full(block.n, -1.0)
+    for batch in batches:
+        for d, ids, names, v in matrices(batch):
+            for at in range(0, len(ids), TILE):
+                tile = Rows(ids[at : at + TILE], names[at : at + TILE], v[at : at + TILE], block.lists)
+                for dim, base, q in block.parts:
+                    if dim != d:
+                        continue
+                    bound = np.maximum(block.bound[base : base + len(q.ids)], -best.cut[base : base + len(q.ids)])
+                    bound = bound - np.abs(np.where(np.isfinite(bound), bound, 0)) * 1e-15  # heaps' scores as doubles
+                    # each list is read down to the cutoff of the query that reads furthest
+                    with np.errstate(all="ignore"):
+                        reach = np.stack([(bound / q.long.shape[1]) / q.long[:, c] for c in range(q.long.shape[1])], axis=1)
+                    reach[(bound <= 0) | np.isnan(bound)] = 0
+                    reach[np.isnan(reach)] = 0
+                    x = tile.take(np.flatnonzero((tile.long >= reach.min(axis=0)).any(axis=1)))
+                    if counted is not None:
+                        counted["pairs"] = counted.get("pairs", 0) + len(q.ids) * len(tile.ids)
+                        counted["multiplied"] = counted.get("multiplied", 0) + len(q.ids) * len(x.ids)
+                    if not len(x.ids):
+                        continue
+                    score, error = sums(q, x)
+                    own = q.ids[:, None] == x.ids[None, :]
+                    if len(x.ids) > 4 * k:  # the tile's own bound, of k different rows
+                        low = np.where(own | repeats(x.ids, x.names)[None, :], -np.inf, score - error)
+                        bound = np.maximum(bound, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+                    i, j = np.nonzero((score + error >= bound[:, None]) & ~own)
+                    if counted is not None:
+                        counted["resolved"] = counted.get("resolved", 0) + len(i)
+                    _merge(best, base, q, x, i, j)
+    return best
+
+
+def _bounds(rows: DataFrame, n: int, k: int) -> np.ndarray:
+    """The k-th highest score of each query row of a block, minus infinity with fewer: at most one number a query."""
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"))
+    got = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") == k).select("query_row", "score").toArrow()
+    out = np.full(n, -np.inf)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out
 
@@ -205,29 +223,18 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col, nonzero=False)
     stated = usable(queries, id_col, vector_col, nonzero=False)
-    # the largest absolute component of each dimension: bounded by the dimensions
-    tops: dict[int, np.ndarray] = {}
-    spread = rows.mapInArrow(_tops, "d long, pos long, top double").groupBy("d", "pos").agg(F.max("top").alias("top"))
-    for r in spread.collect():
-        tops.setdefault(r["d"], np.zeros(r["d"]))[r["pos"]] = r["top"]
     found: DataFrame | None = None
     for raw in query_blocks(stated):
-        block = Block(raw, tops, lists)
-        share = spark.sparkContext.broadcast
-        held = share(block)
-        local = rows.mapInArrow(lambda it, held=held: _gather(it, held.value, k), "query_row long, list long, vec_id long, local double").distinct()
-        first = Window.partitionBy("query_row", "list").orderBy(F.desc("local"), "vec_id")
-        lead = local.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k)
-        sums = lead.groupBy("query_row", "vec_id").agg(F.sum("local").alias("sum"))
-        block.cutoff = np.maximum(_bounds(sums, block, "sum", k), 0) / lists
-        held = share(block)
-        partial = rows.mapInArrow(lambda it, held=held: _collect(it, held.value, k), "query_row long, vec_id long, sum double").distinct()
-        block.bound = _bounds(partial, block, "sum", k)
-        held = share(block)
-        part = rows.mapInArrow(lambda it, held=held: _resolve(it, held.value, k), "query_id long, query_row long, vec_id long, score long").distinct()
-        w = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+        block = Block(raw, lists)
+        held = spark.sparkContext.broadcast(block)
+        leads = rows.mapInArrow(lambda it, held=held: iter([gather(it, held.value, k).table(held.value.ids)]), RESULT).distinct()
+        block.bound = _bounds(leads, block.n, k)
+        held = spark.sparkContext.broadcast(block)
+        part = rows.mapInArrow(lambda it, held=held: iter([collect(it, held.value, k).table(held.value.ids)]), RESULT).distinct()
+        w = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "h")
         part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        found = part if found is None else found.unionByName(written(part, "topk"))
+        part = written(part, "topk")  # a block's rows are found once
+        found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 

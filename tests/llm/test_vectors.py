@@ -1,6 +1,8 @@
 """Nearest neighbours and exact top-k against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from popnet.llm import ann, topk
 from popnet.llm.vectors import Best, query_blocks, usable
@@ -22,8 +24,7 @@ def brute(rows, score, best_first, zero_ok, k=10):
     for qid, q in some:
         if qid % 100 == 0:
             found = sorted({(best_first * score(q, c), i, tuple(c)) for i, c in some if i != qid and len(c) == len(q)})
-            unique = list(dict.fromkeys((s, i) for s, i, _ in found))
-            out += [(qid, n + 1, i, best_first * s) for n, (s, i) in enumerate(unique[:k])]
+            out += [(qid, n + 1, i, best_first * s) for n, (s, i, _) in enumerate(found[:k])]
     return sorted(out)
 
 
@@ -41,7 +42,7 @@ def messy(rng, n=1500, d=7):
     rows[200] = (200, [3.0, 4.0])
     rows[300] = (300, None)
     rows[400] = (400, [0.0] * d)
-    return [*rows, (None, [1.0] * d), rows[100], rows[21], (13, [])]
+    return [*rows, (None, [1.0] * d), rows[100], rows[21], (13, []), (14, rows[15][1]), (14, rows[16][1]), (17, [-x for x in rows[18][1]])]
 
 
 def euclidean(q, c):
@@ -77,7 +78,7 @@ def test_blocks_of_queries_change_nothing(spark):
     rows = messy(np.random.default_rng(3), 700)
     t = table(spark, rows)
     q = usable(t.where("vec_id % 100 = 0"), "vec_id", "embedding", True)
-    assert len(list(query_blocks(q, 100))) > 1 and sum(len(i) for b in query_blocks(q, 100) for _, i, _ in b) == 5
+    assert len(list(query_blocks(q, 100))) > 1 and sum(len(i) for b in query_blocks(q, 100) for _, i, _, _ in b) == 5
 
 
 def test_few_candidates_and_none(spark):
@@ -100,6 +101,41 @@ def test_extreme_components(spark):
     assert collected(topk.top_products(t, t.where("vec_id % 100 = 0"))) == brute(as_f, clip, -1, True)
 
 
+def blocks_of(rows):
+    """Arrow batches as a task gets them."""
+    ids, v = [r[0] for r in rows], [r[1] for r in rows]
+    for at in range(0, len(rows), 500):
+        part = v[at : at + 500]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(part, pa.list_(pa.float64())), pa.array([hash(tuple(x)) for x in part], pa.int64())], names=["id", "v", "h"])
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_products_are_pruned(spread):
+    """Each pair is multiplied once at most, fewer where lengths differ, and few are resolved; the first phase reads heads alone."""
+    rng = np.random.default_rng(12)
+    n = 6000
+    v = rng.normal(size=(n, 16)) * np.exp(spread * rng.normal(size=(n, 1)))
+    rows = [(i, x) for i, x in enumerate(v.tolist())]
+    block = topk.Block([(16, np.arange(0, n, 100), np.arange(0, n, 100), v[::100])], topk.LISTS)
+    leads = topk.gather(blocks_of(rows), block, 10)
+    block.bound = -leads.cut
+    assert np.isfinite(block.bound).all()
+    counted = {}
+    best = topk.collect(blocks_of(rows), block, 10, counted)
+    assert counted["pairs"] == n * 60 and counted["multiplied"] <= counted["pairs"] * (0.8 if spread else 1) and counted["resolved"] < 0.02 * counted["pairs"]
+    got = sorted((q * 100, i, s) for q, i, s in zip(best.q.tolist(), best.ids.tolist(), best.score.tolist(), strict=True))
+    assert got == sorted((q, i, s) for q, _, i, s in brute(rows, product, -1, True))
+
+
+def test_large_whole_numbers(spark):
+    """Components whose products leave the doubles' exact range, beside ordinary ones."""
+    rng = np.random.default_rng(14)
+    rows = [(i, np.float32(rng.normal(size=5) * (1e9 if i % 7 == 0 else 1.0)).tolist()) for i in range(400)]
+    t = table(spark, rows)
+    clip = lambda q, c: min(max(product(q, c), -(1 << 63)), (1 << 63) - 1)
+    assert collected(topk.top_products(t, t.where("vec_id % 100 = 0"))) == brute(rows, clip, -1, True)
+
+
 def test_quantisation_bound():
     x = np.random.default_rng(4).normal(size=(200, 33)) * np.logspace(-200, 200, 200)[:, None]
     codes, scale, error = ann.quantised(x)
@@ -109,6 +145,6 @@ def test_quantisation_bound():
 
 def test_heaps_keep_ties_and_drop_repeats():
     b = Best(2, 2, 1, float)
-    b.merge(np.array([0, 0, 0, 1]), np.array([1.0, 1.0, 1.0, 5.0]), np.array([9, 3, 3, 1]))
-    b.merge(np.array([0, 0]), np.array([1.0, 0.5]), np.array([2, 7]))
+    b.merge(np.array([0, 0, 0, 1]), np.array([1.0, 1.0, 1.0, 5.0]), np.array([9, 3, 3, 1]), np.array([0, 0, 0, 0]))
+    b.merge(np.array([0, 0]), np.array([1.0, 0.5]), np.array([2, 7]), np.array([0, 0]))
     assert b.q.tolist() == [0, 0, 1] and b.ids.tolist() == [7, 2, 1] and b.cut[0] == 1.0 and np.isinf(b.cut[1])
