@@ -20,7 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_topk": topk.op6_topk,
         "op7_chat": chat.op7_chat,
         "op8_licenses": licenses.op8_licenses,
-        "op8_common_licenses": licenses.op8_common_licenses,
         "op9_simhash": simhash.op9_simhash,
         "op10_langid": langid.op10_langid,
     }
