@@ -1,6 +1,7 @@
 """SimHash, language identification, personal data, mixing and licences against plain versions."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -102,11 +103,11 @@ def test_components_of_a_long_path(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_representatives_keep_columns_and_one_of_each_group(spark):
-    rows = [(5, LONG), (3, LONG), (3, LONG), (7, "other text here now"), (None, "null id one two"), (None, "null id one two"), (8, None), (9, "")]
-    d = docs(spark, rows)
-    got = simhash.representatives(d)
-    assert got.columns == d.columns and sorted(str(r["doc_id"]) for r in got.collect()) == ["3", "7", "8", "None"]
+def test_simhash_query_equals_plain_version(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = simhash.op9_simhash(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got.collect()) == plain_components(rows)
 
 
 # ---- language identification
@@ -149,6 +150,80 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in out)
 
 
+def plain_grams(text):
+    """Hashed 4-grams of the bytes of a text's letters, by the definition."""
+    import unicodedata
+
+    lower = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (" " + text.lower() + " "))
+    data = re.sub(" +", " ", lower).encode()
+    return [(int.from_bytes(data[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(len(data) - 3)]
+
+
+def plain_em(p, langs):
+    pi = [1 / len(langs)] * len(langs)
+    for _ in range(langid.ROUNDS):
+        total = [0.0] * len(langs)
+        for row in p:
+            mass = sum(a * row[k] for a, k in zip(pi, langs))
+            for i, k in enumerate(langs):
+                total[i] += pi[i] * row[k] / mass
+        pi = [t / len(p) for t in total]
+    return pi, sum(math.log(sum(a * row[k] for a, k in zip(pi, langs))) for row in p)
+
+
+def plain_language(grams, model):
+    """(language, share): sets grow by the language whose addition the penalised likelihood takes, in the order of their shares in all."""
+    rows = [[math.exp(float(x)) for x in model[g]] for g in grams]
+    n = len(model[0])
+    single = [sum(math.log(r[k]) for r in rows) for k in range(n)]
+    best = max(range(n), key=lambda k: (single[k], -k))
+    need = langid.PENALTY * math.log(max(len(rows), 2)) * langid.GRAM / 2
+    pi = [1 / n] * n
+    for _ in range(langid.ROUNDS // 3):
+        total = [0.0] * n
+        for r in rows:
+            mass = sum(a * x for a, x in zip(pi, r))
+            for k in range(n):
+                total[k] += pi[k] * r[k] / mass
+        pi = [t / len(rows) for t in total]
+    chosen, shares, reached = [best], [1.0], single[best]
+    for k in sorted(range(n), key=lambda k: -pi[k]):
+        if k not in chosen:
+            more, likelihood = plain_em(rows, [*chosen, k])
+            if likelihood - reached <= need:
+                break
+            chosen, shares, reached = [*chosen, k], more, likelihood
+    return max(zip(shares, [-k for k in chosen]))
+
+
+def test_language_query_equals_plain_mixture(spark):
+    """The query's languages and scores by plain arithmetic: counts, smoothing, expectation maximisation and penalty."""
+    d = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    train = [r for i, r in d.items() if zlib.crc32(str(i).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None]
+    langs = sorted({r["lang"] for r in train})
+    counts = np.zeros((langid.BUCKETS, len(langs)))
+    for r in train:
+        if any(c.isalpha() for c in r["text"]):
+            np.add.at(counts[:, langs.index(r["lang"])], plain_grams(r["text"]), 1)
+    all_ = counts.sum(axis=1)
+    base = (all_ + 0.05) / (all_.sum() + 0.05 * langid.BUCKETS)
+    model = np.log((counts + 2000 * base[:, None]) / (counts.sum(axis=0) + 2000)).tolist()
+    got = {r["doc_id"]: r for r in langid.op10_langid(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == sorted(d)
+    for i in sorted(d, key=lambda i: (len(d[i]["text"] or ""), i))[:60]:
+        grams = plain_grams(d[i]["text"] or "")
+        if not any(c.isalpha() for c in d[i]["text"] or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        share, k = plain_language(grams, model)
+        assert got[i]["lang_pred"] == langs[-k] and got[i]["score"] == pytest.approx(share, abs=2e-3)
+
+
+def test_ties_go_to_the_first_language(spark):
+    train = spark.createDataFrame([("zork blim tarn", "bb"), ("zork blim tarn", "aa"), ("zork blim tarn", "cc")], "text string, lang string")
+    assert [r["lang_pred"] for r in langid.identify(docs(spark, [(1, "zork tarn"), (2, "blim")]), train).collect()] == ["aa", "aa"]
+
+
 # ---- personal data
 
 
