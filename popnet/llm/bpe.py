@@ -3,7 +3,8 @@
 A text is cut where a hash of the 16 bytes before a place has ``mask_bits`` leading zeros,
 so equal passages of different documents give equal chunks.  Chunks that several texts
 have are encoded once in the whole corpus and brought to those texts (see ``encode``);
-what one text alone has is encoded with its neighbours as one run.  A cut may fall inside
+what one text alone has is encoded with its neighbours as one run; copies of a text that a
+task has side by side are encoded once.  A cut may fall inside
 a pre-token, so every join of a run and a chunk, or of two chunks, is repaired: the text
 around it is encoded again, from one synchronising token further out than the last one
 before the join to one further out than the first one behind it, and wider until the new
@@ -80,7 +81,9 @@ class Vocabulary:
             self.bytes[i] = t.encode()
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.sync = np.array([len(b) > 1 and b[:1] == b" " and b[1:2].isalpha() for b in self.bytes])
-        self.sync[list(self.added.values())] = False
+        self.special = np.zeros(len(self.bytes), bool)
+        self.special[list(self.added.values())] = True
+        self.sync &= ~self.special
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of a text without added tokens."""
@@ -88,7 +91,9 @@ class Vocabulary:
 
     def join(self, ids: np.ndarray) -> bytes:
         """The bytes of ids."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        if self.special[ids].any():
+            return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        return self.plain.decode_bytes(ids.tolist())
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
@@ -297,13 +302,18 @@ class Filter:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """(key, h): the digests of each text's chunks, once a text."""
-    vocab = vocabulary(name)
+    """(key, h): the digests of each text's chunks, once a text; copies in one task are one text, as far as it remembers, and are encoded side by side."""
+    vocab, seen = vocabulary(name), set()
     for batch in batches:
         for keys, texts in slices(batch):
-            found = [list(dict.fromkeys(t.names)) for t in cut_texts(texts, vocab)]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array([h for f in found for h in f], pa.binary())], names=["key", "h"])
+            names = keys.to_pylist()
+            fresh = [i for i in {k: i for i, k in reversed(list(enumerate(names)))}.values() if names[i] not in seen]
+            seen.update(names)
+            if len(seen) > REMEMBERED:
+                seen = set()
+            found = [list(dict.fromkeys(t.names)) for t in cut_texts([texts[i] for i in fresh], vocab)]
+            at = np.repeat(np.array(fresh, np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array([h for f in found for h in f], pa.binary())], names=["key", "h"])
 
 
 def _filter_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -396,10 +406,12 @@ def _encode_chunks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
 
 
-def _results(ids: pa.Array, found: list[np.ndarray], vocab: Vocabulary, decode: bool) -> pa.RecordBatch:
-    out = [ids, pa.array([len(f) for f in found], pa.int64()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())]
+def _results(ids: pa.Array, found: list[np.ndarray], places: list[int], vocab: Vocabulary, decode: bool) -> pa.RecordBatch:
+    """The results of rows whose texts' ids are those at ``places`` of ``found``."""
+    at = pa.array(places, pa.int64())
+    out = [ids, pa.array([len(f) for f in found], pa.int64()).take(at), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary()).take(at)]
     if decode:
-        out.append(pa.array([vocab.decode(f) for f in found], pa.string()))
+        out.append(pa.array([vocab.decode(f) for f in found], pa.string()).take(at))
     return pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids", "decoded"][: len(out)])
 
 
@@ -416,20 +428,24 @@ def _alone(batches: Iterator[pa.RecordBatch], name: str, decode: bool, check: bo
     for batch in bounded(batches, 1):
         if check:
             batch = batch.filter(pa.array([not shared for _, shared in _marks(batch, vocab, some)], pa.bool_()))
-        found = _whole([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], vocab)
-        yield _results(batch.column(0), found, vocab, decode)
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        once = list(dict.fromkeys(texts))
+        place = {t: i for i, t in enumerate(once)}
+        yield _results(batch.column(0), _whole(once, vocab), [place[t] for t in texts], vocab, decode)
 
 
 def _together(batches: Iterator[pa.RecordBatch], name: str, decode: bool) -> Iterator[pa.RecordBatch]:
     """The results of rows (doc_id, text, given: ids of shared chunks)."""
     vocab = vocabulary(name)
     for batch in bounded(batches, 1):
-        texts = cut_texts([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], vocab)
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        first = {t: i for i, t in reversed(list(enumerate(texts)))}
         found = []
-        for i, text in enumerate(texts):
+        for text, i in zip(cut_texts(list(first), vocab), first.values(), strict=True):
             given = {g["h"]: np.frombuffer(g["ids"], "<u4").astype(np.uint32) for g in batch.column(2)[i].as_py() or ()}
             found.append(text.ids(vocab, given))
-        yield _results(batch.column(0), found, vocab, decode)
+        place = {t: k for k, t in enumerate(first)}
+        yield _results(batch.column(0), found, [place[t] for t in texts], vocab, decode)
 
 
 def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True) -> DataFrame:
