@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +25,14 @@ def session(app: str = "popnet", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh one of our own where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a fresh one of our own, if the session is a local one.
+
+    On a cluster every executor would write to its own disk, so there it is an error.
+    """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="popnet-shared-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -61,4 +67,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/popnet-{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where the tables of ``written`` are, while their DataFrames live.
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and nothing will read any more; others are let be."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            _forget(df.sparkSession, path)
