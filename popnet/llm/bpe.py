@@ -38,7 +38,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popnet.llm.shared import bounded, table, tidied, written
+from popnet.llm.shared import bounded, released, table, tidied, written
 
 VOCABULARY = "byte_bpe_50k.json"
 MASK_BITS = 10
@@ -356,7 +356,9 @@ def marked(rows: DataFrame, name: str) -> tuple[DataFrame, Filter | None] | None
         return None
     bits = max(BLOCK * 8, 1 << (16 * n - 1).bit_length())
     if bits <= FILTER_BITS:
-        return rows, _filter(several, bits)
+        found = _filter(several, bits)
+        released(several)
+        return rows, found
     lists = digests.distinct().join(several, "h").groupBy("key").agg(F.collect_list("h").alias("shared"))
     lists = written(lists, "shared-lists")  # the join below is then a join alone, whose large partitions are split
     return written(rows.join(lists, "key", "left").select("doc_id", "text", "key", "shared"), "marked"), None
@@ -473,6 +475,7 @@ def encode(docs: DataFrame, vocab: str = VOCABULARY, decode: bool = True) -> Dat
     encoded = written(chunks.mapInArrow(lambda it: tidied(_encode_chunks(it, vocab)), "h binary, ids binary"), "encoded-chunks")
     lists = refs.distinct().join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
     lists = written(lists, "lists")  # the join below is then a join alone, whose large partitions (many copies of a text) are split
+    released(encoded)
     joined = opened.where("h is null").select("doc_id", "text", "key").join(lists, "key", "left").select("doc_id", "text", "given")
     return alone.unionByName(joined.mapInArrow(lambda it: tidied(_together(it, vocab, decode)), schema))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from popnet.llm.shared import written
+from popnet.llm.shared import released, written
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -54,7 +54,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = written(_small_star(_large_star(now)), "star")
+        before, now = now, written(_small_star(_large_star(now)), "star")
+        released(before)
         fresh = _digest(now)
         if fresh == seen:
             break

@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from popnet.llm.shared import table, written
+from popnet.llm.shared import released, table, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -195,7 +195,9 @@ def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     found = hashes.withColumn("under", F.coalesce(F.sum("at").over(up), F.lit(0))).where("under < room and room <= under + at")
     found = found.select(*KEY, F.col("__mix_bucket").alias("__mix_cut_bucket"), F.col("__mix_hash").alias("__mix_cut_hash"), (F.col("room") - F.col("under")).alias("__mix_room"), F.col("at").alias("__mix_at"))
     out = plan.drop("__mix_extra").join(found, KEY, "left").join(named, ["__mix_null", "__mix_source"])
-    return written(out.withColumnsRenamed({"source_size": "__mix_source_size", "goal": "__mix_target"}), "mix-cuts")
+    out = written(out.withColumnsRenamed({"source_size": "__mix_source_size", "goal": "__mix_target"}), "mix-cuts")
+    released(counts, named, plan, last)
+    return out
 
 
 def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
@@ -228,7 +230,9 @@ def mix(
     if clash := [c for c in docs.columns if c.lower().startswith("__mix_")]:
         raise ValueError(f"columns {clash} have names that the mix uses itself")
     names = written(keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-names")
-    found = taken(keyed(docs, seed), cuts(names, weights, share, most))
+    cut = cuts(names, weights, share, most)
+    released(names)
+    found = taken(keyed(docs, seed), cut)
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_size", "__mix_source_size", "__mix_target", "__mix_copies")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.llm.bpe import slices
-from popnet.llm.shared import bounded, table, tidied, written
+from popnet.llm.shared import bounded, released, table, tidied, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "handle", "local", "ssn", "iban")
@@ -355,6 +355,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """
     found = written(candidates(docs), "pii")
     held = docs.sparkSession.sparkContext.broadcast(trained(found))
+    released(found)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from popnet.storage import delete_path, shared_dir, written
+from popnet.storage import delete_path, released, shared_dir, written
 
-__all__ = ["bounded", "delete_path", "shared_dir", "table", "tidied", "written"]
+__all__ = ["bounded", "delete_path", "released", "shared_dir", "table", "tidied", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
