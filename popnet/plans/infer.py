@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -17,7 +18,7 @@ from popnet.operators.representation import Representation, represent
 from popnet.operators.trees import ForestParams
 from popnet.sinks import CELL_WEIGHTS, SKIPPED, published, write_json, write_network, write_text
 from popnet.sources import text
-from popnet.storage import written
+from popnet.storage import shared_dir, written
 from popnet.streaming.checkpoint import Checkpoint, identity, remaining
 
 #: Models in a checkpointed batch, for each core of the cluster.
@@ -66,6 +67,33 @@ def params(config: InferConfig) -> ForestParams:
     )
 
 
+def require_meaning(config: InferConfig, n_groups: int) -> None:
+    """Refuse what means nothing with one group.
+
+    Its cells all have one centroid: weights that compare groups are all the same, and in a
+    space that is centred on the cells' mean (components, standardised dimensions) that
+    centroid is zero but for rounding, so that angles to it are noise.
+    """
+    if n_groups != 1:
+        return
+    wrong = []
+    if config.weight_mode != "cell-distance":
+        wrong.append("the weight mode 'cell-distance'")
+    if config.group_size_correction != "none":
+        wrong.append("no group size correction")
+    if config.distance_metric == "cosine" and (config.distance_space == "pca" or config.distance_standardization == "standard"):
+        wrong.append("the Euclidean distance in a centred space")
+    if wrong:
+        raise InputError(f"A single group needs {', '.join(wrong)}")
+
+
+def checkpoint_path(spark: SparkSession, final: str) -> str:
+    """Where a run's checkpoint is: beside its folder in a local session, else in the folder that the cluster shares."""
+    if spark.sparkContext.master.startswith("local"):
+        return f"file://{os.path.dirname(final)}/.{os.path.basename(final)}.checkpoint"
+    return f"{shared_dir(spark)}/popnet-run-{hashlib.sha256(final.encode()).hexdigest()[:32]}.checkpoint"
+
+
 def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda phase, info: None) -> State:
     """Read, check and derive the weights."""
     progress("load", {})
@@ -78,8 +106,7 @@ def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda
     cells = written(cells, "cells")
     sizes = written(weighting.group_sizes(cells), "sizes")
     n_groups = sizes.count()
-    if n_groups == 1 and (config.weight_mode != "cell-distance" or config.group_size_correction != "none"):
-        raise InputError("A single group needs the weight mode 'cell-distance' and no group size correction")
+    require_meaning(config, n_groups)
     progress("represent", {"groups": n_groups})
     rep = represent(cells.select("cell", "grp", "v"), config.distance_space, config.n_components, config.distance_standardization == "standard")
     space = written(rep.cells, "representation")
@@ -137,7 +164,7 @@ def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda
         began = datetime.now(UTC).isoformat()
         inputs = {k: text.fingerprint(spark, getattr(config, k))["sha256"] for k in ("expression", "tf_list", "groups", "target_list", "centroid_weights") if getattr(config, k)}
         decisive = {k: v for k, v in config.to_dict().items() if k not in ("output_dir", "report", "threads", "parallel_backend", "expression", "tf_list", "groups", "target_list", "centroid_weights")}
-        store = Checkpoint(spark, f"file://{os.path.dirname(final)}/.{os.path.basename(final)}.checkpoint", identity(decisive, inputs)) if checkpoint else None
+        store = Checkpoint(spark, checkpoint_path(spark, final), identity(decisive, inputs)) if checkpoint else None
         if store:
             store.open(resume)  # before any work
         state = build(spark, config, progress)
@@ -185,10 +212,10 @@ def write_artifacts(out: str, config: InferConfig, state: State, weights: DataFr
     mass = diagnostics.weight_mass(weights).cache()
     audit = diagnostics.weight_summary(weights).cache()
     flags = {r["target_group"]: r.asDict() for r in diagnostics.warning_flags(audit, mass).collect()}  # one row per group
-    masses = {(r["target_group"], r["source_group"]): r["source_mass_percent"] for r in mass.collect()}
-    texts = {
-        r["target_group"]: diagnostics.messages(flags[r["target_group"]], r.asDict(), {s: m for (t, s), m in masses.items() if t == r["target_group"]}) for r in audit.collect()
-    }
+    masses: dict[str, dict[str, float]] = {}
+    for r in mass.collect():
+        masses.setdefault(r["target_group"], {})[r["source_group"]] = r["source_mass_percent"]
+    texts = {r["target_group"]: diagnostics.messages(flags[r["target_group"]], r.asDict(), masses.get(r["target_group"], {})) for r in audit.collect()}
     spark = weights.sparkSession
     said = spark.createDataFrame([(g, m) for g, m in texts.items()], "target_group string, messages array<string>").select("target_group", F.to_json("messages").alias("warnings_json"))
     joined = audit.join(said, "target_group").join(mass, "target_group").withColumn("canonicalization_rule", F.lit(weighting.RULE))

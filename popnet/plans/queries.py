@@ -265,9 +265,9 @@ def _(s, d):
 
 
 @query("group_coverage_full_outer", """SELECT coalesce(c.k, o.k) AS key, CASE WHEN c.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer) c
-  FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k WHERE c.k IS NULL OR o.k IS NULL""")
+  FULL JOIN (SELECT DISTINCT user_id AS k FROM events) o ON c.k = o.k WHERE c.k IS NULL OR o.k IS NULL""")
 def _(s, d):
-    return checks.coverage(table(s, d, "customer").select(F.col("c_custkey").alias("cell")), ordering(s, d), "cell")
+    return checks.coverage(table(s, d, "customer").select(F.col("c_custkey").alias("cell")), table(s, d, "events").select(F.col("user_id").alias("cell")).distinct(), "cell")
 
 
 @query("annotation_join_counts", f"""WITH {C} SELECT CAST((SELECT count(*) FROM oc JOIN a USING (cell)) AS BIGINT) AS annotated,

@@ -54,7 +54,12 @@ def from_mex(spark: SparkSession, path: str, suffix: str = "") -> CountMatrix:
 
     feature = numbered("features")
     features = feature.select(F.col("at").alias("feature_idx"), F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(0)).alias("id"), F.coalesce(F.get("f", F.lit(2)), F.lit("Gene Expression")).alias("feature_type"))
-    return CountMatrix(counts, features, numbered("barcodes").select(F.col("at").alias("barcode_idx"), F.get("f", F.lit(0)).alias("cell")))
+    cells = numbered("barcodes").select(F.col("at").alias("barcode_idx"), F.get("f", F.lit(0)).alias("cell"))
+    stated = [int(x) for x in shape["p"][:3]]
+    for what, table, n in zip(("features", "barcodes", "entries"), (features, cells, counts), stated, strict=True):
+        if (found := table.count()) != n:
+            raise InputError(f"The matrix states {n} {what}, but there are {found}")
+    return CountMatrix(counts, features, cells)
 
 
 class _Part(InputPartition):

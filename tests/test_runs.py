@@ -13,7 +13,8 @@ from popnet.plans.infer import infer, prepare_forest_prefixes
 from popnet.plans.prepare import prepare
 from popnet.sources import counts, text
 
-FOUR = {"TF1": [1, 2, 4, 5], "TF2": [0, 1, 1, 3], "G3": [1, 3, 2, 6], "CONST": [2, 2, 2, 2]}
+FOUR = {"TF1": [3, 7, 1, 8], "TF2": [2, 0, 5, 4], "G3": [6, 2, 9, 3], "CONST": [5, 5, 5, 5]}
+FOUR_WEIGHTS = (2, 1, 1, 4)
 SMALL = {"distance_space": "expression", "distance_metric": "euclidean", "n_estimators": 5, "min_samples_leaf": 1, "min_weight_fraction_leaf": 0.0}
 
 
@@ -23,7 +24,7 @@ def four(tmp_path):
     (tmp_path / "x.tsv").write_text("\t".join(["sample_id", *cells]) + "\n" + "".join(f"{g}\t" + "\t".join(map(str, v)) + "\n" for g, v in FOUR.items()))
     (tmp_path / "tf.txt").write_text("TF1\nTF2\n")
     (tmp_path / "groups.tsv").write_text("cell\tcluster\textra\n" + "".join(f"{c}\t{g}\t1\n" for c, g in zip(cells, "AABB", strict=True)))
-    (tmp_path / "w.tsv").write_text("cell\tcentroid_weight\n" + "".join(f"{c}\t{w}\n" for c, w in zip(cells, (1, 3, 2, 1), strict=True)))
+    (tmp_path / "w.tsv").write_text("cell\tcentroid_weight\n" + "".join(f"{c}\t{w}\n" for c, w in zip(cells, FOUR_WEIGHTS, strict=True)))
     return tmp_path
 
 
@@ -46,7 +47,7 @@ def test_inference_publishes_all_artifacts(spark, four):
     assert {"network.csv", "cell_weights.tsv.gz", "skipped_targets.tsv", "model_diagnostics.tsv.gz", "weight_diagnostics.tsv", "centroids.tsv", "group_distances.tsv", "group_affinities.tsv"} <= names
     assert {"centroid_weights.tsv.gz", "centroid_weight_diagnostics.tsv", "parameters.json", "run_metadata.json", "report.html"} <= names
     centroids = {(a, b): float(c) for a, b, c in lines(out / "centroids.tsv")[1:]}
-    assert centroids["A", "1"] == pytest.approx(1.75) and centroids["B", "1"] == pytest.approx(13 / 3)
+    assert centroids["A", "1"] == pytest.approx(np.average(FOUR["TF1"][:2], weights=FOUR_WEIGHTS[:2])) and centroids["B", "1"] == pytest.approx(np.average(FOUR["TF1"][2:], weights=FOUR_WEIGHTS[2:]))
     skipped = lines(out / "skipped_targets.tsv")[1:]
     assert [r[:3] for r in skipped] == [["A", "CONST", "constant_target"], ["B", "CONST", "constant_target"]]
     weights = lines(out / "cell_weights.tsv.gz")
@@ -208,3 +209,38 @@ def test_text_sinks(spark, tmp_path):
 
 def test_report_escapes():
     assert "</script>" not in report.script_json({"x": "</script><b>& "}) and json.loads(report.script_json({"x": "</script>"}))["x"] == "</script>"
+
+
+def test_one_group_in_a_centred_space(spark, four):
+    """Angles to a centroid that is zero but for rounding are refused; distances, and angles in an uncentred space, are not."""
+    (four / "groups.tsv").write_text("cell\tcluster\n" + "".join(f"cell_{i}\tA\n" for i in range(1, 5)))
+    one = {"weight_mode": "cell-distance"}
+    for n, bad in enumerate(({"distance_space": "pca", "n_components": 2}, {"distance_standardization": "standard"})):
+        with pytest.raises(InputError, match="Euclidean distance in a centred space"):
+            infer(spark, config(four, out=f"bad{n}", **(one | bad | {"distance_metric": "cosine"})))
+        assert not (four / f"bad{n}").exists()
+    assert infer(spark, config(four, out="near", **one | {"distance_space": "pca", "n_components": 2})).status == "complete"
+    assert infer(spark, config(four, out="angle", **one | {"distance_metric": "cosine"})).status == "complete"
+
+
+def test_only_a_local_session_has_local_intermediates(spark, monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from popnet import storage
+    from popnet.plans.infer import checkpoint_path
+
+    held = {}
+    conf = SimpleNamespace(get=lambda k, d=None: held.get(k, d), set=held.__setitem__)
+    there = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://there:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(there)
+    held[storage.CHECKPOINT_KEY] = "hdfs://there/shared/"
+    assert checkpoint_path(there, "/out/run").startswith("hdfs://there/shared/popnet-run-") and checkpoint_path(spark, "/out/run") == "file:///out/.run.checkpoint"
+
+
+def test_a_matrix_that_is_cut_off(spark, tmp_path):
+    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n2 2 3\n1 1 4\n2 2 1\n")
+    (tmp_path / "features.tsv").write_text("i1\tn1\tGene Expression\ni2\tn2\tGene Expression\n")
+    (tmp_path / "barcodes.tsv").write_text("b1\nb2\n")
+    with pytest.raises(InputError, match="3 entries, but there are 2"):
+        counts.from_mex(spark, str(tmp_path))
