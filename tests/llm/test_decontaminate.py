@@ -88,7 +88,7 @@ def test_spans_are_taken_out(spark):
     assert got[1]["text"] == "Before it. . After it."  # the full stop stands behind the last word that is hit
     assert got[4]["text"] == " helloworld" and got[5]["text"] == " \u212a"  # spans side by side go as one
     assert got[12]["text"] == "x" * 300_000 + "  " + "y " * 20_000 and got[8]["text"] == " ,;"
-    assert got[13]["text"] == " eleven" and got[3]["text"].endswith(" lazy dogs, AND; then. é sleeps")
+    assert got[13]["text"] == " eleven" and got[3]["text"] == "" and got[2]["text"] == " é"
     assert got[11]["text"] == DOCS_[12][1] and got[6]["text"] is None and got[7]["text"] == ""
     assert sum(1 for _ in got) == len({d for d, _ in DOCS_})
     left = [(r["doc_id"], r["text"]) for r in dec.decontaminated(docs(spark, DOCS_), items(spark, ITEMS_)).collect()]
