@@ -18,6 +18,7 @@ from popnet.operators.representation import Representation, represent
 from popnet.operators.trees import ForestParams
 from popnet.sinks import CELL_WEIGHTS, SKIPPED, published, write_json, write_network, write_text
 from popnet.sources import text
+from popnet.sources.expression import Expression
 from popnet.storage import shared_dir, written
 from popnet.streaming.checkpoint import Checkpoint, identity, remaining
 
@@ -47,7 +48,7 @@ class State:
     """Everything up to the weights, as DataFrames."""
 
     cells: DataFrame  # cell, grp, cell_ord, v
-    expression: DataFrame  # gene, cell_ord, x
+    expression: Expression
     sizes: DataFrame
     representation: Representation
     centroids: DataFrame
@@ -97,10 +98,8 @@ def checkpoint_path(spark: SparkSession, final: str) -> str:
 def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda phase, info: None) -> State:
     """Read, check and derive the weights."""
     progress("load", {})
-    given = text.load_inputs(spark, config.expression, config.tf_list, config.groups, config.target_list, config.centroid_weights)
-    x = given["expression"]
-    named = x.groupBy("cell", "cell_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_ord", "x"))), lambda s: s["x"]).alias("v"))
-    cells = named.join(given["groups"], "cell")
+    x, given = text.load_inputs(spark, config.expression, config.tf_list, config.groups, config.target_list, config.centroid_weights)
+    cells = x.by_cell().join(given["groups"], "cell")
     if config.centroid_weights:
         cells = cells.join(given["centroid_weights"], "cell")
     cells = written(cells, "cells")
@@ -125,9 +124,9 @@ def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda
     progress("weights", {})
     w = weighting.weights(space, sizes, h, config.weight_mode, config.kernel, config.group_size_correction, by_cell, between)
     w = w.join(cells.select("cell", "cell_ord"), "cell")
-    genes = x.select("gene").distinct() if "targets" not in given else given["targets"].select("gene")
+    genes = x.genes().select("gene") if "targets" not in given else given["targets"].select("gene")
     return State(
-        cells, x.select("gene", "cell_ord", "x"), sizes, rep, means, between, by_cell, h, w, [r["gene"] for r in given["tfs"].orderBy("ord").collect()], genes, cells.count()
+        cells, x, sizes, rep, means, between, by_cell, h, w, [r["gene"] for r in given["tfs"].orderBy("ord").collect()], genes, cells.count()
     )
 
 
@@ -171,7 +170,7 @@ def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda
         weights = store.weights(state.weights) if store else written(state.weights, "weights")
         weighting.require_positive(weights)
         progress("models", {})
-        vectors = written(forest.gene_vectors(state.expression), "genes")
+        vectors = written(state.expression.vectors(), "genes")
         wanted = models(state, vectors)
         total = wanted.count()
         resumed = 0
@@ -263,7 +262,7 @@ class ForestPrefixes:
     def __init__(self, spark: SparkSession, state: State, config: InferConfig, counts: tuple[int, ...]) -> None:
         self.spark, self.state, self.config, self.counts = spark, state, config, counts
         self.weights = written(state.weights, "weights")
-        self.vectors = written(forest.gene_vectors(state.expression), "genes")
+        self.vectors = written(state.expression.vectors(), "genes")
 
     def results(self) -> DataFrame:
         """A row per (target group, target, number of trees)."""

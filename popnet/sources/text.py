@@ -7,25 +7,12 @@ split only where the order is semantic (lists), else from the data's own positio
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.functions.columns import finite
-from popnet.operators.checks import InputError, coverage, duplicate_keys, identifier_violations, missing_from, not_finite, orientation, require_none
-
-#: First headers that name another kind of table.
-RESERVED = frozenset("cell cells sample samples timepoint timepoints perturbation perturbations cluster pseudotime".split())
-
-
-def header(spark: SparkSession, path: str) -> list[str]:
-    """The fields of a file's first line."""
-    line = spark.read.text(path).first()
-    if line is None or line[0] is None:
-        raise InputError(f"{path} is empty")
-    return next(csv.reader(io.StringIO(line[0]), delimiter="\t", strict=True))
-
+from popnet.operators.checks import InputError, coverage, duplicate_keys, identifier_violations, missing_from, orientation, require_none
+from popnet.sources import expression as expression_source
+from popnet.sources.expression import Expression, check_header, header
 
 def fingerprint(spark: SparkSession, path: str) -> dict:
     """SHA-256 and size of a file's exact bytes, streamed inside the JVM from any store; a size that changes meanwhile is an error."""
@@ -44,53 +31,14 @@ def fingerprint(spark: SparkSession, path: str) -> dict:
 
 
 def _valid_utf8(spark: SparkSession, path: str) -> None:
-    bad = spark.read.format("binaryFile").load(path).where("not is_valid_utf8(content)").select("path")
+    """Raise for a line whose bytes are no UTF-8; lines keep their bytes until they are decoded."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).select(F.lit(path).alias("path")).limit(1)
     require_none(bad, "path", "Not valid UTF-8")
 
 
-def check_header(fields: list[str], what: str) -> None:
-    """Non-empty, trimmed, unique fields, two at least."""
-    if len(fields) < 2:
-        hint = "; it looks comma separated" if fields and "," in fields[0] else ""
-        raise InputError(f"{what} needs at least two tab-separated columns{hint}")
-    if any(not f or f != f.strip() for f in fields):
-        raise InputError(f"{what} has empty or untrimmed column names")
-    twice = sorted({f for f in fields if fields.count(f) > 1}) if len(set(fields)) < len(fields) else []
-    if twice:
-        raise InputError(f"{what} repeats columns: {', '.join(twice[:8])}")
-
-
-def read_expression(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """(gene, cell, x, gene_ord, cell_ord) from a genes x cells table of tab-separated values.
-
-    A wide line is split once and exploded beside its gene; the cells' names come from the
-    header as an array.  With ``check`` the rules are enforced by actions.
-    """
-    names = header(spark, path)
-    check_header(names, "The expression matrix")
-    if names[0].strip().lower() in RESERVED:
-        raise InputError(f"The first column is called {names[0]!r}: cells belong in columns and genes in rows")
-    quoted = '"' in (spark.read.text(path).where(F.col("value").contains('"')).limit(1).collect() or [("",)])[0][0]
-    if quoted:
-        raw = spark.read.option("sep", "\t").option("header", True).option("maxColumns", len(names) + 10).csv(path)
-        lines = raw.select(F.array(*[F.col(f"`{c}`") for c in raw.columns]).alias("f"))
-    else:
-        text = spark.read.text(path).where(F.length("value") > 0)
-        first = F.lit("\t".join(names))
-        lines = text.where(F.regexp_replace("value", "^﻿", "") != first).select(F.split("value", "\t").alias("f"))
-    lines = lines.withColumn("gene_ord", F.monotonically_increasing_id())
-    if check:
-        require_none(lines.where(F.size("f") != len(names)).select(F.element_at("f", 1).alias("g")), "g", f"Rows without {len(names)} fields")
-        genes = lines.select(F.element_at("f", 1).alias("gene"))
-        require_none(identifier_violations(genes, "gene"), "name", "Invalid gene identifiers")
-        require_none(duplicate_keys(genes, "gene"), "gene", "Duplicate genes")
-    cells = F.lit(names[1:])
-    wide = lines.select(F.element_at("f", 1).alias("gene"), "gene_ord", F.posexplode(F.slice("f", 2, len(names) - 1)).alias("cell_ord", "text"))
-    long = wide.select("gene", F.get(cells, F.col("cell_ord")).alias("cell"), finite(F.col("text")).alias("x"), "gene_ord", "cell_ord", "text")
-    if check:
-        bad = not_finite(long, "text").select(F.concat_ws("/", "gene", "cell", "text").alias("at"))
-        require_none(bad, "at", "Values that are no finite numbers")
-    return long.drop("text")
+def read_expression(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, cell, x, gene_ord, cell_ord) from a genes x cells table of tab-separated values, checked."""
+    return expression_source.read(spark, path).long()
 
 
 def read_list(spark: SparkSession, path: str, what: str = "gene list") -> DataFrame:
@@ -150,13 +98,13 @@ def require_coverage(cells: DataFrame, table_: DataFrame, what: str) -> None:
     require_none(gaps.where("side = 'right'"), "key", f"Unexpected cells in the {what}")
 
 
-def load_inputs(spark: SparkSession, expression: str, tf_list: str, groups: str, target_list: str | None = None, centroid_weights: str | None = None) -> dict[str, DataFrame]:
-    """Read and check all inputs together: expression, tfs, groups, and targets and weights where given."""
-    for path in filter(None, (expression, tf_list, groups, target_list, centroid_weights)):
+def load_inputs(spark: SparkSession, expression: str, tf_list: str, groups: str, target_list: str | None = None, centroid_weights: str | None = None) -> tuple[Expression, dict[str, DataFrame]]:
+    """Read and check all inputs together: the expression, and tfs, groups, and targets and weights where given."""
+    for path in filter(None, (tf_list, groups, target_list, centroid_weights)):
         _valid_utf8(spark, path)
-    x = read_expression(spark, expression).cache()
-    genes, cells = x.select("gene").distinct(), x.select("cell").distinct()
-    found = {"expression": x, "tfs": read_list(spark, tf_list, "list of transcription factors"), "groups": read_groups(spark, groups)}
+    x = expression_source.read(spark, expression)
+    genes, cells = x.genes().select("gene"), x.cells().select("cell")
+    found = {"tfs": read_list(spark, tf_list, "list of transcription factors"), "groups": read_groups(spark, groups)}
     turned = orientation(
         genes.select(F.col("gene").alias("name")), cells.select(F.col("cell").alias("name")), found["groups"].select(F.col("cell").alias("name")), found["tfs"].select(F.col("gene").alias("name"))
     ).first()
@@ -170,4 +118,4 @@ def load_inputs(spark: SparkSession, expression: str, tf_list: str, groups: str,
     if centroid_weights:
         found["centroid_weights"] = read_centroid_weights(spark, centroid_weights)
         require_coverage(cells, found["centroid_weights"], "centroid weights")
-    return found
+    return x, found
