@@ -36,16 +36,21 @@ def weight_summary(weights: DataFrame, quantiles: bool = True) -> DataFrame:
     return rows.join(exact_quantiles(weights, ["target_group"], "final_weight", {"median_weight": 0.5}), "target_group") if quantiles else rows
 
 
+def dominant(mass: DataFrame, fraction: float = 0.5) -> DataFrame:
+    """The rows of ``weight_mass`` of external groups with more than this fraction of a target group's mass."""
+    return mass.where(~F.col("source_is_target") & (F.col("source_mass_percent") > 100.0 * fraction))
+
+
 def warning_flags(summary: DataFrame, mass: DataFrame, low_ess_fraction: float = 0.1, dominant_external_fraction: float = 0.5) -> DataFrame:
     """(target_group, degenerate, low_ess, external_exceeds_target, dominant_groups): the conditions of the warnings."""
     if not 0 <= low_ess_fraction <= 1 or not 0 < dominant_external_fraction <= 1:
         raise ValueError("fractions must lie between zero and one")
-    dominant = mass.where(~F.col("source_is_target") & (F.col("source_mass_percent") > 100.0 * dominant_external_fraction))
-    dominant = dominant.groupBy("target_group").agg(F.array_sort(F.collect_list("source_group")).alias("dominant_groups"))  # at most 1 / fraction groups
+    some = dominant(mass, dominant_external_fraction)
+    some = some.groupBy("target_group").agg(F.array_sort(F.collect_list("source_group")).alias("dominant_groups"))  # at most 1 / fraction groups
     degenerate = (F.col("total_weight") <= 0) | (F.col("positive_cell_count") == 0)
     low: Column = F.col("effective_sample_size") < F.greatest(F.lit(2.0), F.lit(low_ess_fraction) * F.col("n_cells"))
     rows = summary.select("target_group", degenerate.alias("degenerate"), (~degenerate & low).alias("low_ess"), (F.col("external_weight") > F.col("target_weight")).alias("external_exceeds_target"))
-    return rows.join(dominant, "target_group", "left").withColumn("dominant_groups", F.coalesce("dominant_groups", F.array().cast("array<string>")))
+    return rows.join(some, "target_group", "left").withColumn("dominant_groups", F.coalesce("dominant_groups", F.array().cast("array<string>")))
 
 
 def weight_quartiles(weights: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from popnet.operators import diagnostics, distance, forest, weighting
 from popnet.operators.checks import InputError, require_none
 from popnet.operators.representation import Representation, represent
 from popnet.operators.trees import ForestParams
-from popnet.sinks import CELL_WEIGHTS, SKIPPED, published, write_json, write_network, write_text
+from popnet.sinks import CELL_WEIGHTS, SKIPPED, absolute, published, write_bytes, write_json, write_network, write_text
 from popnet.sources import text
 from popnet.sources.expression import Expression
 from popnet.storage import shared_dir, written
@@ -90,7 +90,7 @@ def require_meaning(config: InferConfig, n_groups: int) -> None:
 
 def checkpoint_path(spark: SparkSession, final: str) -> str:
     """Where a run's checkpoint is: beside its folder in a local session, else in the folder that the cluster shares."""
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") and final.startswith("/"):
         return f"file://{os.path.dirname(final)}/.{os.path.basename(final)}.checkpoint"
     return f"{shared_dir(spark)}/popnet-run-{hashlib.sha256(final.encode()).hexdigest()[:32]}.checkpoint"
 
@@ -156,10 +156,10 @@ def fitted(spark: SparkSession, state: State, config: InferConfig, weights: Data
 
 def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda phase, info: None, resume: bool = False, checkpoint: bool = True) -> RunResult:
     """Run an inference; the folder appears whole.  With failed models it is published as such, then an error is raised."""
-    final = os.path.abspath(config.output_dir)
+    final = absolute(config.output_dir)
     if resume and not checkpoint:
         raise ValueError("resuming needs the checkpoint")
-    with published(final) as out:
+    with published(spark, final) as out:
         began = datetime.now(UTC).isoformat()
         inputs = {k: text.fingerprint(spark, getattr(config, k))["sha256"] for k in ("expression", "tf_list", "groups", "target_list", "centroid_weights") if getattr(config, k)}
         decisive = {k: v for k, v in config.to_dict().items() if k not in ("output_dir", "report", "threads", "parallel_backend", "expression", "tf_list", "groups", "target_list", "centroid_weights")}
@@ -212,7 +212,7 @@ def write_artifacts(out: str, config: InferConfig, state: State, weights: DataFr
     audit = diagnostics.weight_summary(weights).cache()
     flags = {r["target_group"]: r.asDict() for r in diagnostics.warning_flags(audit, mass).collect()}  # one row per group
     masses: dict[str, dict[str, float]] = {}
-    for r in mass.collect():
+    for r in diagnostics.dominant(mass).collect():  # one row a target group, at most
         masses.setdefault(r["target_group"], {})[r["source_group"]] = r["source_mass_percent"]
     texts = {r["target_group"]: diagnostics.messages(flags[r["target_group"]], r.asDict(), masses.get(r["target_group"], {})) for r in audit.collect()}
     spark = weights.sparkSession
@@ -244,15 +244,15 @@ def write_artifacts(out: str, config: InferConfig, state: State, weights: DataFr
         "failed_models": stats["failed"], "resumed_models": resumed, "warnings": tuple(f"Target group {g!r}: {m}" for g, ms in sorted(texts.items()) for m in ms),
     }
     h = state.bandwidth.first()
-    write_json(config.to_dict(), f"{out}/parameters.json")
+    write_json(spark, config.to_dict(), f"{out}/parameters.json")
     write_json(
+        spark,
         {"software": {"popnet": __version__}, "started": began, "finished": datetime.now(UTC).isoformat(), "inputs": inputs, "bandwidth": h.asDict(),
          "representation": {"components": state.representation.effective_components, "reason": state.representation.reason}, "summary": summary}, f"{out}/run_metadata.json",
     )
     if config.report:
         page = report.build(state.representation.cells.select("cell", "grp", "v"), state.sizes, weights, {k: v for k, v in summary.items() if k != "warnings"})
-        with open(f"{out}/report.html", "x", encoding="utf-8") as f:
-            f.write(page)
+        write_bytes(spark, page.encode(), f"{out}/report.html")
     return summary
 
 

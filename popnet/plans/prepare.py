@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +10,7 @@ from popnet.config import PrepareConfig
 from popnet.operators import prepare as ops
 from popnet.operators.checks import InputError, missing_from, require_none
 from popnet.operators.quantiles import exact_quantiles
-from popnet.sinks import published, unit_directory, wide_expression, write_json, write_text
+from popnet.sinks import absolute, published, unit_directory, wide_lines, write_json, write_lines, write_text
 from popnet.sources import counts as count_sources, text
 from popnet.storage import exists, written
 
@@ -65,7 +64,7 @@ def _matrix(spark: SparkSession, path: str) -> count_sources.CountMatrix:
 
 def prepare(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
     """Run a preparation; the output folder appears whole or not at all."""
-    with published(config.output_dir) as out:
+    with published(spark, config.output_dir) as out:
         annotations = text.read_annotations(spark, config.annotations).cache()
         weights = text.read_centroid_weights(spark, config.centroid_weights) if config.centroid_weights else None
         if weights is not None:
@@ -101,8 +100,8 @@ def prepare(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
             "transcription_factors": {"supplied": tfs.count(), "absent": missing}, "summary": {"prepared_analysis_units": len(kept), "excluded_analysis_units": len(excluded)},
             "analysis_units": records, "inputs": {k: text.fingerprint(spark, getattr(config, k))["sha256"] for k in ("annotations", "tf_list")},
         }
-        write_json(manifest, f"{out}/prepare_manifest.json")
-    final = os.path.abspath(config.output_dir)
+        write_json(spark, manifest, f"{out}/prepare_manifest.json")
+    final = absolute(config.output_dir)
     return PrepareResult(
         final, f"{final}/prepare_manifest.json", tuple(kept), tuple(excluded), tuple(f"{final}/{d}" for d in directories), input_cells, annotated_cells, input_cells - annotated_cells
     )
@@ -110,21 +109,16 @@ def prepare(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
 
 def write_unit(path: str, found: Units, entries: DataFrame, unit: str, weights: DataFrame | None) -> None:
     """The inference inputs of one unit; a gene's dense row exists only while it is written."""
-    os.makedirs(path)
     mine = lambda df: df.where(F.col("analysis_unit") == unit)
     cells = mine(found.cells).orderBy("barcode_idx").collect()  # the names of one unit's cells, which its header holds as well
+    if not cells:
+        raise InputError(f"Unit {unit!r} has no cells")
     spark = entries.sparkSession
     order = spark.createDataFrame([(r["cell"], i) for i, r in enumerate(cells)], "cell string, cell_ord int")
     genes = mine(found.genes).select("gene", "gene_ord")
-    with open(f"{path}/expression.tsv", "x", encoding="utf-8", newline="\n") as f:
-        f.write("\t".join(["gene", *[r["cell"] for r in cells]]) + "\n")
-        for r in wide_expression(mine(entries), genes, order).orderBy("gene_ord").toLocalIterator():
-            f.write(f"{r['gene']}\t{r['line']}\n")
+    write_lines(wide_lines(mine(entries), genes, order, len(cells)), f"{path}/expression.tsv", "\t".join(["gene", *[r["cell"] for r in cells]]))
     groups = mine(found.cells).select("cell", "cluster", "barcode_idx")
-    if not cells:
-        raise InputError(f"Unit {unit!r} has no cells")
     write_text(groups, f"{path}/groups.tsv", ["cell", "cluster"], ["barcode_idx"])
-    with open(f"{path}/tf_list.txt", "x", encoding="utf-8", newline="\n") as f:
-        f.writelines(f"{r['gene']}\n" for r in mine(found.tfs).orderBy("ord").toLocalIterator())
+    write_lines(mine(found.tfs).repartitionByRange("ord").sortWithinPartitions("ord").select(F.col("gene").alias("value")), f"{path}/tf_list.txt")
     if weights is not None:
         write_text(groups.join(weights, "cell"), f"{path}/centroid_weights.tsv", ["cell", "centroid_weight"], ["barcode_idx"])

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.functions import columns as fn
 from popnet.operators import checks, diagnostics, distance, forest, prepare, quantiles, representation, sampling, screening, weighting
+from popnet.operators.ordering import numbered
 from popnet.operators.trees import ForestParams
 from popnet.plans.infer import fit
+from popnet.sinks import dense
 from popnet.storage import written
 from popnet.streaming.checkpoint import completed_counts, remaining
 
@@ -391,31 +393,24 @@ def _(s, d):
     return table(s, d, "customer").select(F.col("c_name").alias("name"), fn.slug(F.col("c_name")).alias("slug"))
 
 
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    """(key, gene, fields, filled) of the dense lines of every unit, in one job."""
+    rows = written(unit_entries(s, d).select(F.col("analysis_unit").alias("key"), "gene", "cell", "x"), "unit-entries")
+    order = numbered(rows.select("key", "cell").distinct(), ["cell"], ["key"], "cell_ord", "n")
+    sparse = rows.join(order, ["key", "cell"]).groupBy("key", "gene", "n").agg(F.collect_list("cell_ord").alias("at"), F.collect_list("x").alias("x"))
+    cut = dense(sparse).select("key", F.split("value", "\t").alias("f"))
+    values = F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(1)))
+    return cut.select("key", F.get("f", F.lit(0)).alias("gene"), F.size(values).cast("long").alias("fields"), F.size(F.filter(values, lambda v: v != "0.0")).cast("long").alias("filled"))
+
+
 @query("wide_rows", f"WITH {C}, n AS (SELECT DISTINCT cell FROM u WHERE analysis_unit = 'ASIA') SELECT gene, CAST((SELECT count(*) FROM n) AS BIGINT) AS fields, CAST(count(*) AS BIGINT) AS filled FROM u WHERE analysis_unit = 'ASIA' GROUP BY gene")
 def _(s, d):
-    from popnet.sinks import wide_expression
-
-    mine = unit_entries(s, d).where(F.col("analysis_unit") == "ASIA").select("gene", "cell", "x")
-    numbered = mine.select("cell").distinct().rdd.map(lambda x: x[0]).zipWithIndex().toDF(["cell", "cell_ord"]).select("cell", F.col("cell_ord").cast("int").alias("cell_ord"))
-    genes = mine.groupBy("gene").agg(F.min("cell").alias("gene_ord"))
-    fields = F.split("line", "\t")
-    wide = wide_expression(mine, genes, numbered)
-    return wide.select("gene", F.size(fields).cast("long").alias("fields"), F.size(F.filter(fields, lambda v: v != "0.0")).cast("long").alias("filled"))
+    return _wide(s, d).where("key = 'ASIA'").drop("key")
 
 
 @query("wide_rows_by_unit", f"WITH {C}, n AS (SELECT analysis_unit, count(DISTINCT cell) AS cells FROM u GROUP BY ALL) SELECT analysis_unit, gene, CAST(any_value(cells) AS BIGINT) AS fields, CAST(count(*) AS BIGINT) AS filled FROM u JOIN n USING (analysis_unit) GROUP BY analysis_unit, gene")
 def _(s, d):
-    from popnet.sinks import wide_expression
-
-    rows = written(unit_entries(s, d).select("analysis_unit", "gene", "cell", "x"), "unit-entries")
-    fields, out = F.split("line", "\t"), None
-    for unit in sorted(x[0] for x in rows.select("analysis_unit").distinct().collect()):
-        mine = rows.where(F.col("analysis_unit") == unit)
-        numbered = mine.select("cell").distinct().rdd.map(lambda x: x[0]).zipWithIndex().toDF(["cell", "cell_ord"]).select("cell", F.col("cell_ord").cast("int").alias("cell_ord"))
-        wide = wide_expression(mine, mine.groupBy("gene").agg(F.min("cell").alias("gene_ord")), numbered)
-        one = wide.select(F.lit(unit).alias("analysis_unit"), "gene", F.size(fields).cast("long").alias("fields"), F.size(F.filter(fields, lambda v: v != "0.0")).cast("long").alias("filled"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _wide(s, d).withColumnRenamed("key", "analysis_unit")
 
 
 # ---- distances
@@ -655,7 +650,7 @@ def _(s, d):
 def _results(s, d, method="extra-trees", counts=None):
     """Every dimension is a target, in every group, with the run's own number of trees."""
     c = cells(s, d)
-    order = c.select("cell").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF(["cell", "cell_ord"])
+    order = numbered(c.select("cell"), ["cell"], into="cell_ord")
     vectors = written(forest.gene_vectors(expression(s, d).join(order, "cell")), "genes")
     w = stored_weights(s, d).join(order, "cell")
     groups = c.select(F.col("grp").alias("target_group")).distinct()
@@ -686,7 +681,7 @@ def _(s, d):
 @query("skipped_targets")
 def _(s, d):
     c = cells(s, d).withColumn("v", F.transform("v", lambda x, i: F.when(i == 1, F.lit(2.0)).otherwise(x)))
-    order = c.select("cell").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF(["cell", "cell_ord"])
+    order = numbered(c.select("cell"), ["cell"], into="cell_ord")
     rows = distance.exploded(c).select(F.concat(F.lit("d"), "dim").alias("gene"), "cell", F.col("z").alias("x")).join(order, "cell")
     vectors = written(forest.gene_vectors(rows), "genes")
     groups = c.select(F.col("grp").alias("target_group")).distinct()
@@ -711,11 +706,18 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     return rows.select("target_group", "n_cells", r("total_weight"), r("target_weight"), r("effective_sample_size"))
 
 
+def _files() -> None:
+    """The queries over files are in a module of their own, which takes its parts from here."""
+    from popnet.plans import io_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
+    _files()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Their SQL, where there is one."""
+    _files()
     return dict(SQL)

@@ -5,13 +5,15 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from popnet import cli, report, sinks
 from popnet.config import InferConfig, PrepareConfig
 from popnet.operators.checks import InputError
 from popnet.plans.infer import infer, prepare_forest_prefixes
+from popnet.operators.ordering import numbered
 from popnet.plans.prepare import prepare
-from popnet.sources import counts, text
+from popnet.sources import counts, expression, text
 
 FOUR = {"TF1": [3, 7, 1, 8], "TF2": [2, 0, 5, 4], "G3": [6, 2, 9, 3], "CONST": [5, 5, 5, 5]}
 FOUR_WEIGHTS = (2, 1, 1, 4)
@@ -203,7 +205,7 @@ def test_text_sinks(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.write_text(df, str(tmp_path / "1.gz"), ["k"], ["k"])
     with pytest.raises(ValueError):
-        sinks.write_json({"x": float("nan")}, str(tmp_path / "x.json"))
+        sinks.write_json(spark, {"x": float("nan")}, str(tmp_path / "x.json"))
     assert sinks.unit_directory(1, "Ünit α/β") == "unit-001-unit"
 
 
@@ -244,3 +246,71 @@ def test_a_matrix_that_is_cut_off(spark, tmp_path):
     (tmp_path / "barcodes.tsv").write_text("b1\nb2\n")
     with pytest.raises(InputError, match="3 entries, but there are 2"):
         counts.from_mex(spark, str(tmp_path))
+
+
+def test_parts_end_to_end(spark, tmp_path):
+    """Parts of many partitions joined are the sorted table; a folder of parts holds the same lines."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), (F.col("id") / 7).alias("x"), F.when(F.col("id") % 3 == 0, 'a"\tb').alias("s")).repartition(7)
+    want = ["k\tx\ts"] + ["\t".join((str(k), repr(x), "" if s is None else '"a""\tb"')) for k, x, s in sorted(map(tuple, df.collect()))]
+    for name, compress in (("plain.tsv", False), ("packed.tsv.gz", True)):
+        assert sinks.write_text(df, str(tmp_path / name), ["k", "x", "s"], ["k"], compress=compress) == 5000
+        assert (gzip.decompress((tmp_path / name).read_bytes()) if compress else (tmp_path / name).read_bytes()).decode() == "\n".join(want) + "\n"
+    assert sinks.write_text(df, str(tmp_path / "parts"), ["k", "x", "s"], ["k"], parts=True) == 5000
+    files = sorted(f for f in (tmp_path / "parts").iterdir() if f.name.startswith("part-"))
+    assert len(files) > 1 and (tmp_path / "parts" / "_header").read_text() + "".join(f.read_text() for f in files) == "\n".join(want) + "\n"
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sinks.write_text(df.limit(0), str(tmp_path / "none.tsv"), ["k", "x", "s"], ["k"]) == 0 and (tmp_path / "none.tsv").read_text() == want[0] + "\n"
+
+
+def test_publication_by_pointer(spark, tmp_path):
+    final = str(tmp_path / "run")
+    with pytest.raises(RuntimeError), sinks.published(spark, final, pointer=True) as out:
+        sinks.write_json(spark, {"a": 1}, f"{out}/x.json")
+        raise RuntimeError
+    assert not [p for p in (tmp_path / "run").iterdir() if p.is_dir() or p.name == sinks.POINTER]  # a run that fails leaves nothing to be seen
+    with pytest.raises(FileExistsError), sinks.published(spark, final, pointer=True) as late:
+        sinks.write_json(spark, {"a": "late"}, f"{late}/x.json")
+        with sinks.published(spark, final, pointer=True) as first:  # another run is faster
+            sinks.write_json(spark, {"a": "first"}, f"{first}/x.json")
+    assert json.loads(open(sinks.resolved(spark, final) + "/x.json").read()) == {"a": "first"} and len([p for p in (tmp_path / "run").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(FileExistsError), sinks.published(spark, final, pointer=True):
+        pass
+    assert sinks.resolved(spark, str(tmp_path)) == str(tmp_path)
+
+
+@pytest.mark.parametrize(
+    ("content", "message"),
+    [
+        (b"g\ta\tb\nT\t1\t2\n\xff\t1\t2\nU\t1\n", "UTF-8"), (b"g\ta\tb\nT\t1\t2\n\nU\t1\t2\n", "Empty lines"), (b'g\ta\tb\nT\t"1\t2\n', "quotes"), (b'g\ta\tb\nT\t"1"x\t2\n', "quotes"),
+        (b"g\ta\tb\nT\t1\t2\nU\t1\t2\t3\nV\t1\n", "without 3 fields: 'U' and 1 more"), (b"g\ta\tb\n \t1\t2\n", "Invalid gene"), (b"g\ta\tb\nT\t1\t2d\n", "finite numbers: 'T/b/2d'"),
+        (b"g\ta\tb\nT\t1\tInfinity\nU\t\t1\n", "'T/b/Infinity' and 1 more"), (b"g\ta\tb\n", "no gene rows"), (b"g\ta\tb\ng\ta\tb\n", "finite"), (b'g\ta\t"b\n', "header"), (b"", "empty"),
+    ],
+)
+def test_one_scan_finds_faults(spark, tmp_path, content, message):
+    (tmp_path / "x.tsv").write_bytes(content)
+    with pytest.raises(InputError, match=message):
+        expression.read(spark, str(tmp_path / "x.tsv"))
+
+
+def test_pieces_and_turning(spark, tmp_path):
+    n_cells, n_genes = 2 * expression.PIECE + 3, 5
+    x = np.random.default_rng(1).normal(size=(n_genes, n_cells))
+    head = "gene\t" + "\t".join(f"c{i}" for i in range(n_cells))
+    names = ["plain", '"a ""quoted"" name"', '"with\ttab"', "ünder", 'in"side']
+    (tmp_path / "x.tsv").write_text(head + "\r\n" + "".join(f"{g}\t" + "\t".join(map(repr, map(float, r))) + "\r\n" for g, r in zip(names, x, strict=True)), newline="")
+    got = expression.read(spark, str(tmp_path / "x.tsv"))
+    genes = {r["gene"]: r["y"] for r in got.vectors().collect()}
+    assert got.n_genes == 5 and set(genes) == {"plain", 'a "quoted" name', "with\ttab", "ünder", 'in"side'} and genes["ünder"] == x[3].tolist()
+    rows = sorted(got.by_cell().collect(), key=lambda r: r["cell_ord"])
+    assert [r["cell"] for r in rows] == [f"c{i}" for i in range(n_cells)] and [r["v"] for r in rows] == x.T.tolist()
+    assert got.rows.count() == 3 * n_genes and got.long().count() == x.size
+
+
+def test_numbers_of_rows(spark):
+    rows = spark.createDataFrame([(g, i) for i in range(300) for g in ("a", None, "b")[: 1 + i % 3]], "g string, i int").repartition(5)
+    got = numbered(rows, ["i"], ["g"], "at", "n").collect()
+    want = {}
+    for g, i in sorted(map(tuple, rows.collect()), key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(g, []).append(i)
+    assert sorted((r["g"] or "", r["i"], r["at"], r["n"]) for r in got) == sorted((g or "", i, at, len(v)) for g, v in want.items() for at, i in enumerate(v))
