@@ -1,26 +1,36 @@
-"""One weighted ensemble per (target group, target): narrow Arrow batches over model rows.
-
-A model's row carries its own response vector; predictors (single precision) and the target
-groups' weights are shared by all models.  They are broadcast while their size, which is
-computed first, is at most ``BROADCAST_BYTES``; beyond it they travel by a shuffle to the
-batches of models that need them (one target group's models in ``batches`` parts).
+"""One weighted ensemble per (target group, target): narrow Arrow batches over target rows.
+
+A target's row carries its response vector once, and the target groups that want a model.
+Predictors (single precision) and the target groups' weights are shared by all models:
+executors write them as binary columns in the shared folder, every executor fetches those
+files once (``SparkContext.addFile``), lays them out as one matrix on its own disk and maps
+it into memory, so all its workers read the same pages.  Nothing of them passes through the
+driver, and a worker's own memory is one model's.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from popnet.operators.screening import CONSTANT, INSUFFICIENT, NO_VARIABLE, ONLY_SELF
 from popnet.operators.trees import ForestParams, prefixes, shape_summary, task_seed
+from popnet.storage import files, shared_dir
 
-BROADCAST_BYTES = 512 << 20
+#: Bytes of a file of shared columns, about.
+FILE_BYTES = 64 << 20
 #: How an edge was found, by method.
 EVIDENCE = {"extra-trees": "weighted_extra_trees_feature_importance", "random-forest": "weighted_random_forest_feature_importance"}
 NEGATIVE_TOLERANCE = 2.220446049250313e-16
@@ -41,9 +51,46 @@ class Shared:
     weights: dict[str, np.ndarray]
 
 
-def shared_bytes(n_cells: int, n_tfs: int, n_groups: int) -> int:
-    """What a ``Shared`` takes."""
-    return n_cells * (4 * n_tfs + 8 * n_groups)
+@dataclass(frozen=True)
+class SharedFiles:
+    """The same as files that every executor has: names of the files of predictors (a factor a row) and of weights (a target group a row)."""
+
+    key: str
+    tfs: list[str]
+    groups: list[str]
+    n_cells: int
+    x: tuple[str, ...]
+    w: tuple[str, ...]
+
+    def opened(self) -> Shared:
+        """In a worker: the matrices, mapped into memory from this executor's disk."""
+        if self.key not in _OPEN:
+            x = _mapped(f"{self.key}-x", self.x, (len(self.tfs), self.n_cells), np.float32)
+            w = _mapped(f"{self.key}-w", self.w, (len(self.groups), self.n_cells), np.float64)
+            _OPEN.clear()  # a worker fits one run at a time
+            _OPEN[self.key] = Shared(self.tfs, x.T, dict(zip(self.groups, w, strict=True)))
+        return _OPEN[self.key]
+
+
+#: What this worker has mapped.
+_OPEN: dict[str, Shared] = {}
+
+
+def _mapped(name: str, parts: tuple[str, ...], shape: tuple[int, int], kind: type) -> np.ndarray:
+    """The matrix laid out in a file beside the fetched ones; the first worker makes it, under a name of its own until it is whole."""
+    path = f"{SparkFiles.getRootDirectory()}/popnet-{name}.bin"
+    if not os.path.exists(path):
+        handle, own = tempfile.mkstemp(dir=SparkFiles.getRootDirectory())
+        os.close(handle)
+        out = np.memmap(own, kind, "w+", shape=(max(1, shape[0]), max(1, shape[1])))
+        for part in parts:
+            for batch in pq.ParquetFile(SparkFiles.get(part)).iter_batches(batch_size=16):
+                for at, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    out[at] = np.frombuffer(data.as_buffer(), kind)
+        out.flush()
+        del out
+        os.replace(own, path)
+    return np.memmap(path, kind, "r", shape=shape) if min(shape) else np.zeros(shape, kind)
 
 
 def gene_vectors(expression: DataFrame) -> DataFrame:
@@ -51,15 +98,36 @@ def gene_vectors(expression: DataFrame) -> DataFrame:
     return expression.groupBy("gene").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "x"))), lambda s: s["x"]).alias("y"))
 
 
-def share(vectors: DataFrame, tfs: list[str], weights: DataFrame, n_cells: int) -> Shared:
-    """Gather predictors and weights (target_group, cell_ord, final_weight).  An action; the size must have been checked."""
-    order = {t: i for i, t in enumerate(tfs)}
-    x = np.zeros((n_cells, len(tfs)), np.float32)
-    wanted = vectors.sparkSession.createDataFrame([(t,) for t in tfs], "gene string")
-    for r in vectors.join(F.broadcast(wanted), "gene").toLocalIterator():
-        x[:, order[r["gene"]]] = np.array(r["y"])
-    rows = weights.groupBy("target_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "final_weight"))), lambda s: s["final_weight"]).alias("w"))
-    return Shared(tfs, x, {str(r["target_group"]): np.array(r["w"]) for r in rows.toLocalIterator()})
+def _stored(rows: DataFrame, kind: type, n_bytes: int, folder: str) -> tuple[str, ...]:
+    """Write (at, y) as (at, bytes) in files of about FILE_BYTES, have every executor fetch them, and return their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, y in zip(batch.column(0), batch.column(1), strict=True):
+                data = y.values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int32()), pa.array([data], pa.binary())], names=["at", "data"])
+
+    spark = rows.sparkSession
+    spread = rows.select(F.col("at").cast("int"), "y").repartition(max(1, -(-n_bytes // FILE_BYTES)), "at")
+    spread.mapInArrow(run, "at int, data binary").write.option("compression", "none").parquet(folder)
+    found = files(spark, folder, "part-")
+    for path in found:
+        spark.sparkContext.addFile(path)
+    return tuple(os.path.basename(path) for path in found)
+
+
+def share(vectors: DataFrame, tfs: list[str], weights: DataFrame, n_cells: int) -> SharedFiles:
+    """Predictors from ``vectors`` (gene, y) and weights (target_group, cell_ord, final_weight) as files; an action.  Lists of names alone reach the driver."""
+    spark, key = vectors.sparkSession, uuid.uuid4().hex
+    folder = f"{shared_dir(spark)}/popnet-shared-{key}"
+    listed = spark.createDataFrame(list(zip(tfs, range(len(tfs)), strict=True)), "gene string, at int")
+    x = _stored(vectors.join(listed, "gene").select("at", "y"), np.float32, 4 * n_cells * len(tfs), f"{folder}/x")
+    named = weights.select(F.col("target_group").cast("string").alias("target_group"), "cell_ord", "final_weight")
+    groups = sorted(r[0] for r in named.select("target_group").distinct().collect())
+    order = spark.createDataFrame(list(zip(groups, range(len(groups)), strict=True)), "target_group string, at int")
+    rows = named.groupBy("target_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "final_weight"))), lambda s: s["final_weight"]).alias("y"))
+    w = _stored(rows.join(order, "target_group").select("at", "y"), np.float64, 8 * n_cells * len(groups), f"{folder}/w")
+    return SharedFiles(key, tfs, groups, n_cells, x, w)
 
 
 def _record(group: str, target: str, status: str, seed: int, w: np.ndarray, n_tfs: int, used: int, discarded: list[str], constant: list[str], message: str, count: int) -> dict:
@@ -113,47 +181,34 @@ def fit_model(group: str, target: str, y: np.ndarray, shared: Shared, params: Fo
     return out
 
 
-def fit_models(models: DataFrame, shared: Shared, params: ForestParams, seed: int = 123, counts: tuple[int, ...] | None = None) -> DataFrame:
-    """A RESULT row per row of ``models`` (target_group, target, y) and number of trees."""
+def by_target(wanted: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(target_groups, target, y): each target's response once, with the groups of ``wanted`` (target_group, target)."""
+    named = wanted.groupBy("target").agg(F.collect_set(F.col("target_group").cast("string")).alias("target_groups"))
+    return named.join(vectors, F.col("target") == F.col("gene")).select("target_groups", "target", "y")
+
+
+def fit_models(models: DataFrame, shared: Shared | SharedFiles, params: ForestParams, seed: int = 123, counts: tuple[int, ...] | None = None) -> DataFrame:
+    """A RESULT row per model and number of trees; ``models`` is (target_group, target, y) or (target_groups, target, y).
+
+    Arrow batches are bounded by their bytes (spark.sql.execution.arrow.maxBytesPerBatch), however long a response is.
+    """
     some = counts or (params.n_estimators,)
     if list(some) != sorted(set(some)) or some[0] < 1:
         raise ValueError("numbers of trees must be positive and strictly increasing")
-    held = models.sparkSession.sparkContext.broadcast(shared)
+    spark = models.sparkSession
+    if "target_groups" not in models.columns:
+        models = models.withColumn("target_groups", F.array(F.col("target_group").cast("string")))
+    held = spark.sparkContext.broadcast(shared)  # files: their names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            given = held.value.opened() if isinstance(held.value, SharedFiles) else held.value
             for r in frame.itertuples(index=False):
-                yield pd.DataFrame(fit_model(r.target_group, r.target, np.asarray(r.y, float), held.value, params, seed, some))
-
-    return models.select(F.col("target_group").cast("string").alias("target_group"), "target", "y").mapInPandas(run, RESULT)
+                y = np.asarray(r.y, float)
+                for group in sorted(r.target_groups):
+                    yield pd.DataFrame(fit_model(group, r.target, y, given, params, seed, some))
 
-
-def fit_models_shuffled(
-    models: DataFrame, vectors: DataFrame, tfs: DataFrame, weights: DataFrame, params: ForestParams, seed: int = 123, counts: tuple[int, ...] | None = None, batches: int = 64
-) -> DataFrame:
-    """The same for shared data too large to broadcast: each part of a target group's models meets them in a co-grouped task.
-
-    ``tfs`` is (gene, ord).  A task holds the predictors once and one weight vector.
-    """
-    some = counts or (params.n_estimators,)
-    part = F.pmod(F.xxhash64("target"), F.lit(batches))
-    left = models.select(F.col("target_group").cast("string").alias("target_group"), part.alias("part"), "target", "y")
-    keys = left.select("target_group", "part").distinct()
-    w = weights.groupBy(F.col("target_group").cast("string").alias("target_group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "final_weight"))), lambda s: s["final_weight"]).alias("y"))
-    predictors = vectors.join(tfs.select("gene", "ord"), "gene").select("gene", "ord", "y")
-    weight_rows = keys.join(w, "target_group").select("target_group", "part", F.lit("").alias("gene"), F.lit(-1).alias("ord"), "y")
-    predictor_rows = keys.join(predictors, how="cross").select("target_group", "part", "gene", F.col("ord").cast("int").alias("ord"), "y")
-    right = weight_rows.unionByName(predictor_rows).toDF("for_group", "for_part", "gene", "ord", "y")
-
-    def run(tasks: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        given = given.sort_values("ord")
-        x = np.stack([np.asarray(v, np.float32) for v in given["y"][1:]], axis=1)
-        group = tasks["target_group"].iloc[0] if len(tasks) else ""
-        shared = Shared(given["gene"][1:].tolist(), x, {group: np.asarray(given["y"].iloc[0], float)})
-        rows = [r for t in tasks.itertuples(index=False) for r in fit_model(t.target_group, t.target, np.asarray(t.y, float), shared, params, seed, some)]
-        return pd.DataFrame(rows)
-
-    return left.groupBy("target_group", "part").cogroup(right.groupBy("for_group", "for_part")).applyInPandas(run, RESULT)
+    return models.select("target_groups", "target", "y").mapInPandas(run, RESULT)
 
 
 def edges(results: DataFrame, method: str = "extra-trees") -> DataFrame:

@@ -130,28 +130,16 @@ def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda
     )
 
 
-def models(state: State, vectors: DataFrame) -> DataFrame:
-    """(target_group, target, y) of all requested models: groups x targets rows."""
+def models(state: State) -> DataFrame:
+    """(target_group, target) of all requested models: groups x targets rows of names."""
     groups = state.sizes.select(F.col("grp").cast("string").alias("target_group"))
-    targets = vectors.join(state.targets, "gene", "left_semi").select(F.col("gene").alias("target"), "y")
-    return targets.join(F.broadcast(groups), how="cross").select("target_group", "target", "y")
+    return state.targets.select(F.col("gene").alias("target")).join(groups, how="cross").select("target_group", "target")
 
 
-def fit(
-    spark: SparkSession, vectors: DataFrame, tfs: list[str], weights: DataFrame, counted: tuple[int, int], wanted: DataFrame, settings: ForestParams, seed: int, counts: tuple[int, ...] | None = None
-) -> DataFrame:
-    """Results of the ``wanted`` models, with shared data broadcast or shuffled according to its size; ``counted`` are the numbers of cells and groups."""
-    if forest.shared_bytes(counted[0], len(tfs), counted[1]) <= forest.BROADCAST_BYTES:
-        shared = forest.share(vectors, tfs, weights, counted[0])
-        spread = wanted.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "target_group", "target")
-        return forest.fit_models(spread, shared, settings, seed, counts)
-    listed = spark.createDataFrame(list(zip(tfs, range(len(tfs)), strict=True)), "gene string, ord int")
-    return forest.fit_models_shuffled(wanted, vectors, listed, weights, settings, seed, counts)
-
-
-def fitted(spark: SparkSession, state: State, config: InferConfig, weights: DataFrame, wanted: DataFrame, vectors: DataFrame, counts: tuple[int, ...] | None = None) -> DataFrame:
-    """A run's results of the ``wanted`` models."""
-    return fit(spark, vectors, state.tfs, weights, (state.n_cells, state.sizes.count()), wanted, params(config), config.random_seed, counts)
+def fit(vectors: DataFrame, shared: forest.SharedFiles, wanted: DataFrame, settings: ForestParams, seed: int, counts: tuple[int, ...] | None = None) -> DataFrame:
+    """Results of the ``wanted`` models (target_group, target), with responses from ``vectors`` (gene, y)."""
+    rows = forest.by_target(wanted, vectors).repartition(max(1, vectors.sparkSession.sparkContext.defaultParallelism * 4), "target")
+    return forest.fit_models(rows, shared, settings, seed, counts)
 
 
 def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda phase, info: None, resume: bool = False, checkpoint: bool = True) -> RunResult:
@@ -171,7 +159,8 @@ def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda
         weighting.require_positive(weights)
         progress("models", {})
         vectors = written(state.expression.vectors(), "genes")
-        wanted = models(state, vectors)
+        shared = forest.share(vectors, state.tfs, weights, state.n_cells)
+        wanted = models(state)
         total = wanted.count()
         resumed = 0
         if store:
@@ -183,11 +172,11 @@ def infer(spark: SparkSession, config: InferConfig, progress: Progress = lambda
             rest = remaining(wanted, done).withColumn("batch", F.pmod(F.xxhash64("target_group", "target"), F.lit(size)))
             for b in range(size):
                 some = rest.where(F.col("batch") == b).drop("batch")
-                store.append(number + b, fitted(spark, state, config, weights, some, vectors))
+                store.append(number + b, fit(vectors, shared, some, params(config), config.random_seed))
                 progress("models", {"batch": b + 1, "batches": size})
             results = store.results(forest.RESULT)
         else:
-            results = written(fitted(spark, state, config, weights, wanted, vectors), "results")
+            results = written(fit(vectors, shared, wanted, params(config), config.random_seed), "results")
         progress("artifacts", {})
         summary = write_artifacts(out, config, state, weights, results, inputs, began, total, resumed)
         progress("publish", {})
@@ -263,16 +252,20 @@ class ForestPrefixes:
         self.spark, self.state, self.config, self.counts = spark, state, config, counts
         self.weights = written(state.weights, "weights")
         self.vectors = written(state.expression.vectors(), "genes")
+        self.shared = forest.share(self.vectors, state.tfs, self.weights, state.n_cells)
+
+    def _fit(self, wanted: DataFrame) -> DataFrame:
+        return fit(self.vectors, self.shared, wanted, params(self.config), self.config.random_seed, self.counts)
 
     def results(self) -> DataFrame:
         """A row per (target group, target, number of trees)."""
-        return fitted(self.spark, self.state, self.config, self.weights, models(self.state, self.vectors), self.vectors, self.counts)
+        return self._fit(models(self.state))
 
     def iter_batches(self, batches: int = 8) -> Iterator[DataFrame]:
         """The results in parts by a hash of the model."""
-        all_ = models(self.state, self.vectors).withColumn("batch", F.pmod(F.xxhash64("target_group", "target"), F.lit(batches)))
+        all_ = models(self.state).withColumn("batch", F.pmod(F.xxhash64("target_group", "target"), F.lit(batches)))
         for b in range(batches):
-            yield fitted(self.spark, self.state, self.config, self.weights, all_.where(F.col("batch") == b).drop("batch"), self.vectors, self.counts)
+            yield self._fit(all_.where(F.col("batch") == b).drop("batch"))
 
 
 def prepare_forest_prefixes(spark: SparkSession, config: InferConfig, counts: tuple[int, ...]) -> ForestPrefixes:

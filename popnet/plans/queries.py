@@ -654,8 +654,8 @@ def _results(s, d, method="extra-trees", counts=None):
     vectors = written(forest.gene_vectors(expression(s, d).join(order, "cell")), "genes")
     w = stored_weights(s, d).join(order, "cell")
     groups = c.select(F.col("grp").alias("target_group")).distinct()
-    tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(groups))
-    return fit(s, vectors, EMBEDDING_TFS, w, (c.count(), groups.count()), tasks, ForestParams(method), 123, counts)
+    tasks = vectors.select(F.col("gene").alias("target")).crossJoin(groups)
+    return fit(vectors, forest.share(vectors, EMBEDDING_TFS, w, c.count()), tasks, ForestParams(method), 123, counts)
 
 
 @query("network_extra_trees")
@@ -686,8 +686,8 @@ def _(s, d):
     vectors = written(forest.gene_vectors(rows), "genes")
     groups = c.select(F.col("grp").alias("target_group")).distinct()
     even = order.crossJoin(F.broadcast(groups)).withColumn("final_weight", F.lit(1.0))
-    tasks = vectors.select(F.col("gene").alias("target"), "y").crossJoin(F.broadcast(groups))
-    return forest.skipped(fit(s, vectors, EMBEDDING_TFS, even, (c.count(), groups.count()), tasks, ForestParams(), 123))
+    tasks = vectors.select(F.col("gene").alias("target")).crossJoin(groups)
+    return forest.skipped(fit(vectors, forest.share(vectors, EMBEDDING_TFS, even, c.count()), tasks, ForestParams(), 123))
 
 
 @query("run_statistics")

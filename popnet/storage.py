@@ -50,6 +50,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
+def files(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """The files in a folder whose names begin so, in the order of their names, whatever the store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(str(f.getPath().toString()) for f in found if str(f.getPath().getName()).startswith(prefix))
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

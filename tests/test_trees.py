@@ -75,7 +75,7 @@ def test_statuses_and_edges(spark):
     assert forest.fit_models(_models(spark, {"T": y["T"]}), const, p).first()["status"] == "no_variable_predictors"
 
 
-def test_shuffled_models_equal_broadcast_ones(spark, two_programs):
+def test_mapped_files_equal_matrices_in_memory(spark, two_programs):
     x, g = two_programs
     names = ["P", "Q", "K"]
     y = {"G": g.tolist(), "H": (g * g).tolist(), "P": x[:, 0].tolist()}
@@ -84,9 +84,11 @@ def test_shuffled_models_equal_broadcast_ones(spark, two_programs):
     shared = forest.share(vectors, names, w, 120)
     p = ForestParams(n_estimators=4)
     a = forest.fit_models(_models(spark, y, ("A", "B")), shared, p).drop("fit_seconds").orderBy("target_group", "target").collect()
-    tfs = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "gene string, ord int")
-    b = forest.fit_models_shuffled(_models(spark, y, ("A", "B")), vectors, tfs, w, p, batches=3).drop("fit_seconds").orderBy("target_group", "target").collect()
-    assert a == b
+    held = forest.Shared(names, x[:, :3].astype(np.float32), {k: np.array([1.0 if (i < 60) == (k == "A") else 0.25 for i in range(120)]) for k in "AB"})
+    b = forest.fit_models(_models(spark, y, ("A", "B")), held, p).drop("fit_seconds").orderBy("target_group", "target").collect()
+    wanted = spark.createDataFrame([(k, t) for k in "AB" for t in y], "target_group string, target string")
+    c = forest.fit_models(forest.by_target(wanted, vectors), shared, p).drop("fit_seconds").orderBy("target_group", "target").collect()
+    assert a == b == c and len(shared.x) > 0 and shared.groups == ["A", "B"]
     stats = forest.statistics(forest.fit_models(_models(spark, y), shared, p)).first()
     assert stats["models"] == 3 and stats["failed"] == 0
     e = forest.edges(forest.fit_models(_models(spark, y), shared, p))

@@ -1,9 +1,5 @@
 """Queries that must cover every target, every unit and any size."""
 
-from pyspark.sql import functions as F
-
-from popnet.operators import forest
-from popnet.operators.trees import ForestParams
 from popnet.plans import queries as plans
 
 DIR = "/root/testdata/sf0.001"
@@ -24,12 +20,3 @@ def test_wide_rows_of_every_unit(spark):
     filled = {(r["analysis_unit"], r["gene"]): r["count"] for r in plans.unit_entries(spark, DIR).groupBy("analysis_unit", "gene").count().collect()}
     assert len(sizes) == 5 and {(r["analysis_unit"], r["gene"]): r["filled"] for r in rows} == filled and len(rows) == len(filled)
     assert all(r["fields"] == len(sizes[r["analysis_unit"]]) for r in rows)
-
-
-def test_beyond_the_broadcast(spark, monkeypatch):
-    """A small ensemble stands for the run's own: what is tested is the way of the shared data."""
-    monkeypatch.setattr(plans, "ForestParams", lambda method="extra-trees", n_estimators=2: ForestParams(method, n_estimators=n_estimators))
-    rows = [sorted(tuple(r) for r in plans._results(spark, DIR).select("target_group", "target", "status", F.round("importance_sum", 6)).collect())]
-    monkeypatch.setattr(forest, "BROADCAST_BYTES", 1)
-    rows.append(sorted(tuple(r) for r in plans._results(spark, DIR).select("target_group", "target", "status", F.round("importance_sum", 6)).collect()))
-    assert rows[0] == rows[1] and len(rows[0]) == 640
