@@ -143,9 +143,8 @@ class PrepareConfig(_Checked):
 class InferConfig(_Checked):
     """Settings of an inference run.
 
-    ``pca_svd_solver``, ``threads`` and ``parallel_backend`` are accepted and recorded: the
-    sizes decide how components are found (the run's metadata says how, and whether they
-    settled), and Spark schedules the work.
+    ``threads`` and ``parallel_backend`` are accepted and recorded: Spark schedules the work.
+    The run's metadata says how components were found and how far they can be off.
     """
 
     expression: str = setting(path)

@@ -1,11 +1,18 @@
 """Distance representation: the expression itself, or its principal components.
 
-With few genes (``MAX_GRAM``) the genes' sums of products are accumulated over Arrow
-batches, a partial matrix per task, summed row by row on the executors; the driver takes
-the summed matrix apart.  With few cells, their own products serve.  With many of both,
-subspace iteration multiplies a thin matrix (genes x components) by the scatter matrix in
-one narrow pass each round, until its eigenvalues settle.  Scores come from one more
-narrow pass with the loadings broadcast.
+The centred matrix is taken apart by a tree of QR decompositions: each task reduces its
+cells to a triangle, a block at a time, triangles of sixteen tasks are stacked and reduced
+again until one is left, and the driver takes that one apart.  Nothing is squared on the
+way, and no task holds more than sixteen triangles.
+
+With up to ``FULL`` genes (solver ``full`` or ``auto``) the triangle is that of the matrix
+itself.  With more genes, or the solver ``randomized``, a randomised range finder comes
+first: a seeded thin matrix is multiplied by the scatter matrix in one narrow pass a round
+(power iteration), and the cells' products with its basis are what is reduced.  Each round
+gives the residual of the leading components, which bounds their eigenvalues' error; the
+solver ``randomized`` takes ``POWER`` rounds, the others go on until the bound is at
+``SETTLED`` of the largest eigenvalue.  Scores come from one more narrow pass with the
+loadings broadcast.
 """
 
 from __future__ import annotations
@@ -15,14 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from popnet.operators.checks import InputError
+from popnet.storage import released, written
 
-#: Rows of the Gram matrix that the driver takes apart, at most.
-MAX_GRAM = 4096
-#: Columns beside the components, and rounds at most, of the subspace iteration.
-SPARE, ROUNDS = 10, 100
+SOLVERS = ("auto", "randomized", "full")
+#: Genes whose own triangle is taken; triangles that are stacked in one task.
+FULL, FAN = 2048, 16
+#: Columns beside the components; rounds of the solver ``randomized``, and of the others at most; the bound at which these end.
+SPARE, POWER, ROUNDS, SETTLED = 10, 7, 100, 1e-10
 
 
 @dataclass(frozen=True)
@@ -33,6 +43,11 @@ class Representation:
     ratios: tuple[float, ...] = ()
     effective_components: int = 0
     reason: str = ""
+    method: str = ""
+    #: Bound of the eigenvalues' error, as a share of the largest one.
+    error_bound: float = 0.0
+    #: Share of the variance outside the components that were looked at.
+    outside: float = 0.0
 
 
 def _block(batch: pa.RecordBatch) -> np.ndarray:
@@ -70,32 +85,74 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[at, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
-def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0) -> Representation:
+def _triangle(cells: DataFrame, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The triangle R of the rows that ``part`` makes of all blocks of cells (``width`` columns), by a tree of QR decompositions."""
+    schema = "node int, row int, values array<double>"
+
+    def rows(node: int, r: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array(np.full(len(r), node), pa.int32()), pa.array(np.arange(len(r)), pa.int32()), pa.array(list(r), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["node", "row", "values"])
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows:
+                r = np.linalg.qr(np.vstack((r, part(_block(batch)))), mode="r")
+        if len(r):
+            yield rows(TaskContext.get().partitionId(), r)
+
+    def stacked(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending"), ("row", "ascending")])
+        flat = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.Table.from_batches([rows(key[0].as_py(), np.linalg.qr(flat.reshape(table.num_rows, width), mode="r"))])
+
+    tree = written(cells.select("v").mapInArrow(reduced, schema), "triangles")
+    nodes = (tree.agg(F.max("node")).first()[0] or 0) + 1
+    top = tree
+    while nodes > 1:
+        top = top.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("node").applyInArrow(stacked, schema)
+        nodes = -(-nodes // FAN)
+    got = top.select("row", "values").toArrow().sort_by("row")
+    released(tree)
+    return got.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, width)
+
+
+def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0, solver: str = "auto") -> Representation:
     """The first min(n_components, genes, cells - 1) principal components of ``cells`` (cell, grp, v), at least one.
 
     An action.  Without variance all scores and ratios are zero and the reason says so.
     """
+    if solver not in SOLVERS:
+        raise ValueError(f"unknown solver {solver!r}; one of {SOLVERS}")
     first = cells.select("v").first()
     if first is None:
         raise InputError("no cells")
-    shift = np.array(first[0], float)  # values are moved by a cell's, which keeps the products small
+    shift = np.array(first[0], float)  # values are moved by a cell's, which keeps the sums small
     d = len(shift)
     sums = _total(cells, lambda x: np.stack([np.full(d, float(len(x))), (x - shift).sum(axis=0), ((x - shift) ** 2).sum(axis=0)]))
     n, off = int(sums[0, 0]), sums[1] / sums[0]
     mean, total = shift + off, float((sums[2] - sums[0] * off * off).clip(0).sum())
     k = min(n_components, max(1, min(d, n - 1)))
     reason = "fewer than two cells" if n < 2 else "no variance" if total <= 0 else ""
-    if not reason and d > MAX_GRAM and n <= MAX_GRAM:
-        return _dual(cells, k)
+    bound, outside, method = 0.0, 0.0, ""
     if reason:
         loadings, values = np.zeros((d, k)), np.zeros(k)
-    elif d <= MAX_GRAM:
-        found, vectors = np.linalg.eigh(_total(cells, lambda x: (x - mean).T @ (x - mean)))
-        order = np.argsort(found)[::-1][:k]
-        values, loadings = found[order], _signed(vectors[:, order])
+    elif solver != "randomized" and d <= FULL:
+        method = "triangle of the matrix"
+        _, singular, vectors = np.linalg.svd(_triangle(cells, d, lambda x: x - mean), full_matrices=False)
+        values, loadings = _leading(singular, vectors, k)
     else:
-        values, loadings, settled = _subspace(cells, mean, k, seed)
-        reason = "" if settled else f"components not settled after {ROUNDS} rounds"
+        rounds = POWER if solver == "randomized" else ROUNDS
+        basis, bound, took = _range(cells, mean, k, seed, rounds)
+        method = f"range finder, {took} rounds"
+        held = cells.sparkSession.sparkContext.broadcast(basis)
+        _, singular, vectors = np.linalg.svd(_triangle(cells, basis.shape[1], lambda x: (x - mean) @ held.value), full_matrices=False)
+        values, inner = _leading(singular, vectors, k)
+        loadings = basis @ inner
+        outside = max(0.0, 1.0 - float((singular**2).sum()) / total)
+        if solver != "randomized" and bound > SETTLED:
+            reason = f"components not settled after {ROUNDS} rounds"
+    loadings = _signed(loadings)
     basis = cells.sparkSession.sparkContext.broadcast((mean, loadings))
     kinds = dict(cells.dtypes)
 
@@ -107,48 +164,44 @@ def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0
 
     scores = cells.select("cell", "grp", "v").mapInArrow(project, f"cell {kinds['cell']}, grp {kinds['grp']}, v array<double>")
     ratios = np.clip(values, 0, None) / total if total > 0 else np.zeros(k)
-    return Representation(scores, tuple(ratios.tolist()), k, reason)
+    return Representation(scores, tuple(ratios.tolist()), k, reason, method, bound, outside)
+
 
+def _leading(singular: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` eigenvalues and vectors (as columns); where there are fewer, zeros."""
+    values, columns = np.zeros(k), np.zeros((vectors.shape[1], k))
+    some = min(k, len(singular))
+    values[:some], columns[:, :some] = singular[:some] ** 2, vectors[:some].T
+    return values, columns
 
-def _subspace(cells: DataFrame, mean: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The largest eigenvalues and vectors of the scatter matrix, by iteration on a thin matrix, and whether they settled at a relative change of 1e-10."""
+
+def _range(cells: DataFrame, mean: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, float, int]:
+    """A basis (genes x thin) of the leading components' range, the bound of their eigenvalues' error as a share of the largest, and the rounds taken.
+
+    An eigenvalue of a symmetric matrix lies within the residual of an approximate
+    eigenvector from its quotient, so the residuals that a round's product gives are a bound.
+    """
     wide = min(len(mean), k + SPARE)
-    w, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), wide)))
-    before = np.zeros(k)
-    for at in range(ROUNDS):
-        held = cells.sparkSession.sparkContext.broadcast(w)
-        new = _total(cells, lambda x, held=held: (x - mean).T @ ((x - mean) @ held.value))
-        values, vectors = np.linalg.eigh((w.T @ new + new.T @ w) / 2)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), wide)))
+    for took in range(1, rounds + 1):
+        held = cells.sparkSession.sparkContext.broadcast(basis)
+        product = _total(cells, lambda x, held=held: (x - mean).T @ ((x - mean) @ held.value))
+        inner = basis.T @ product
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
         values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-        if np.abs(values - before).max() <= 1e-10 * max(values[0], 1e-300):
-            return values, _signed(w @ vectors), True
-        before = values
-        if at < ROUNDS - 1:
-            w, _ = np.linalg.qr(new)
-    return values, _signed(w @ vectors), False
-
-
-def _dual(cells: DataFrame, k: int) -> Representation:
-    """From the cells' own products; their number has been checked."""
-    rows = cells.select("cell", "grp", "v").orderBy("cell").collect()
-    x = np.array([r["v"] for r in rows], float)
-    x -= x.mean(axis=0)
-    values, vectors = np.linalg.eigh(x @ x.T)
-    order = np.argsort(values)[::-1][:k]
-    top = np.clip(values[order], 0, None)
-    scores = vectors[:, order] * np.sqrt(top)
-    loads = x.T @ scores
-    signs = np.where(loads[np.abs(loads).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
-    kinds = dict(cells.dtypes)
-    out = cells.sparkSession.createDataFrame([(r["cell"], r["grp"], s.tolist()) for r, s in zip(rows, scores * signs, strict=True)], f"cell {kinds['cell']}, grp {kinds['grp']}, v array<double>")
-    return Representation(out, tuple((top / float((x * x).sum())).tolist()), k)
+        residual = np.linalg.norm(product @ vectors - basis @ (vectors * values), axis=0)
+        bound = float(residual.max() / max(values[0], 1e-300))
+        basis, _ = np.linalg.qr(product)
+        if bound <= SETTLED:
+            break
+    return basis, bound, took
 
 
-def represent(cells: DataFrame, space: str = "pca", n_components: int = 50, standardise: bool = False) -> Representation:
+def represent(cells: DataFrame, space: str = "pca", n_components: int = 50, standardise: bool = False, seed: int = 0, solver: str = "auto") -> Representation:
     """The representation in which distances are taken."""
     from popnet.operators.distance import standardised
 
     if space not in ("pca", "expression"):
         raise ValueError(f"unknown distance space {space!r}")
     cells = standardised(cells) if standardise else cells
-    return principal_components(cells, n_components) if space == "pca" else Representation(cells)
+    return principal_components(cells, n_components, seed, solver) if space == "pca" else Representation(cells)

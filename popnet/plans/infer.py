@@ -107,7 +107,7 @@ def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda
     n_groups = sizes.count()
     require_meaning(config, n_groups)
     progress("represent", {"groups": n_groups})
-    rep = represent(cells.select("cell", "grp", "v"), config.distance_space, config.n_components, config.distance_standardization == "standard")
+    rep = represent(cells.select("cell", "grp", "v"), config.distance_space, config.n_components, config.distance_standardization == "standard", config.random_seed, config.pca_svd_solver)
     space = written(rep.cells, "representation")
     rep = replace(rep, cells=space)
     progress("distances", {})
@@ -237,7 +237,7 @@ def write_artifacts(out: str, config: InferConfig, state: State, weights: DataFr
     write_json(
         spark,
         {"software": {"popnet": __version__}, "started": began, "finished": datetime.now(UTC).isoformat(), "inputs": inputs, "bandwidth": h.asDict(),
-         "representation": {"components": state.representation.effective_components, "reason": state.representation.reason}, "summary": summary}, f"{out}/run_metadata.json",
+         "representation": {"components": state.representation.effective_components, "reason": state.representation.reason, "method": state.representation.method, "error_bound": state.representation.error_bound, "variance_outside": state.representation.outside}, "summary": summary}, f"{out}/run_metadata.json",
     )
     if config.report:
         page = report.build(state.representation.cells.select("cell", "grp", "v"), state.sizes, weights, {k: v for k, v in summary.items() if k != "warnings"})

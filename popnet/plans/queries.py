@@ -647,6 +647,25 @@ def _(s, d):
     return found.cells.select("cell", "grp", *[F.get("v", F.lit(i)).alias(f"pc{i + 1}") for i in range(3)])
 
 
+@query("pca_cell_norms", f"""WITH {E}, m AS (SELECT dim, avg(z) AS m FROM x GROUP BY dim)
+  SELECT cell, round(sum((z - m) * (z - m)), 6) AS squared_norm FROM x JOIN m USING (dim) GROUP BY cell""")
+def _(s, d):
+    """With all components, a cell is as far from the mean as it was."""
+    found = representation.principal_components(cells(s, d), 64)
+    return found.cells.select("cell", F.round(F.aggregate("v", F.lit(0.0), lambda t, z: t + z * z), DIGITS).alias("squared_norm"))
+
+
+@query("pca_range_norms", f"""WITH {E}, m AS (SELECT dim, avg(z) AS m FROM x GROUP BY dim)
+  SELECT round(sum((z - m) * (z - m)), 4) AS total_variance, true AS ordered, true AS within_bound FROM x JOIN m USING (dim)""")
+def _(s, d):
+    """The range finder's components hold the whole variance, in falling order, within the stated bound of the exact ones."""
+    exact, found = (representation.principal_components(cells(s, d), 64, seed=5, solver=k) for k in ("full", "randomized"))
+    near = max(abs(a - b) for a, b in zip(exact.ratios, found.ratios, strict=True)) <= found.error_bound + 1e-9
+    total = found.cells.agg(F.sum(F.aggregate("v", F.lit(0.0), lambda t, z: t + z * z)).alias("t"))
+    falling = all(a >= b for a, b in zip(found.ratios, found.ratios[1:], strict=False))
+    return total.select(F.round("t", 4).alias("total_variance"), F.lit(falling).alias("ordered"), F.lit(near).alias("within_bound"))
+
+
 def _results(s, d, method="extra-trees", counts=None):
     """Every dimension is a target, in every group, with the run's own number of trees."""
     c = cells(s, d)
@@ -678,7 +697,25 @@ def _(s, d):
     return forest.model_diagnostics(_results(s, d)).drop("fit_seconds")
 
 
-@query("skipped_targets")
+@query("model_counts", W + f""", {XT}, k AS (SELECT target_group, count(*) AS n, count(*) FILTER (WHERE w > 0) AS p, sum(w) AS s FROM w GROUP BY target_group)
+  SELECT target_group, 'd' || dim AS target, CAST(n AS BIGINT) AS n_samples, CAST(p AS BIGINT) AS n_positive_weight_samples, round(s, 6) AS weight_sum, CAST(6 AS BIGINT) AS n_predictors_input,
+  CAST(6 - CASE WHEN 'd' || dim IN (SELECT gene FROM xt) THEN 1 ELSE 0 END AS BIGINT) AS n_predictors_used, true AS has_sources, true AS sums_to_one FROM k, range(1, 65) t(dim)""")
+def _(s, d):
+    """What SQL knows of every model, and that its edges come from other listed factors, once each, with scores that sum to one."""
+    m = _results(s, d)
+    others = F.array_except(F.lit(EMBEDDING_TFS), F.array("target"))
+    sources = F.transform("edges", lambda e: e["source"])
+    listed = (F.size(F.array_except(sources, others)) == 0) & (F.size(F.array_distinct(sources)) == F.size("edges")) & (F.size("edges") > 0)
+    total = F.aggregate("edges", F.lit(0.0), lambda t, e: t + e["score"])
+    return m.select("target_group", "target", "n_samples", "n_positive_weight_samples", r("weight_sum"), "n_predictors_input", "n_predictors_used", listed.alias("has_sources"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query("run_counts", "SELECT CAST(count(*) * 64 AS BIGINT) AS models, CAST(count(*) * 64 AS BIGINT) AS trained, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed FROM (SELECT DISTINCT label FROM embeddings)")
+def _(s, d):
+    return forest.statistics(_results(s, d)).select("models", "trained", "skipped", "failed")
+
+
+@query("skipped_targets", "SELECT DISTINCT CAST(label AS VARCHAR) AS target_group, 'd2' AS target, 'constant_target' AS reason, 'the target does not vary among cells of positive weight' AS detail FROM embeddings")
 def _(s, d):
     c = cells(s, d).withColumn("v", F.transform("v", lambda x, i: F.when(i == 1, F.lit(2.0)).otherwise(x)))
     order = numbered(c.select("cell"), ["cell"], into="cell_ord")

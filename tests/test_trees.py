@@ -131,7 +131,7 @@ def test_components_of_few_cells_with_many_genes(spark, monkeypatch):
     x = rng.normal(size=(7, 20))
     cells = spark.createDataFrame([(f"c{i}", "A", r.tolist()) for i, r in enumerate(x)], "cell string, grp string, v array<double>")
     a = np.array([r["v"] for r in principal_components(cells, 6).cells.orderBy("cell").collect()])
-    monkeypatch.setattr(rep, "MAX_GRAM", 10)  # 20 genes are above it, 7 cells are not
+    monkeypatch.setattr(rep, "FULL", 10)
     b = np.array([r["v"] for r in principal_components(cells, 6).cells.orderBy("cell").collect()])
     assert np.allclose(a, b, atol=1e-9)
 
@@ -143,7 +143,7 @@ def test_components_of_many_cells_and_genes(spark, monkeypatch):
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 40)) * 3 + rng.normal(size=(60, 40)) * 0.1 + 7
     cells = spark.createDataFrame([(f"c{i:02d}", "A", r.tolist()) for i, r in enumerate(x)], "cell string, grp string, v array<double>").repartition(3)
     a = principal_components(cells, 4)
-    monkeypatch.setattr(rep, "MAX_GRAM", 10)
+    monkeypatch.setattr(rep, "FULL", 10)
     b = principal_components(cells, 4)
     va, vb = (np.array([r["v"] for r in f.cells.orderBy("cell").collect()]) for f in (a, b))
     assert np.allclose(va, vb, atol=1e-3) and b.ratios == pytest.approx(a.ratios, abs=1e-8)
