@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,69 +64,91 @@ def from_mex(spark: SparkSession, path: str, suffix: str = "") -> CountMatrix:
     return CountMatrix(counts, features, cells)
 
 
+#: Stored entries of one partition of an HDF5 matrix, and of one Arrow batch, about.
+PART_ENTRIES, BATCH_ENTRIES = 1 << 22, 1 << 18
+TABLES = {"counts": COUNTS, "features": "feature_idx int, name string, id string, feature_type string", "barcodes": "barcode_idx int, cell string"}
+
+
 class _Part(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
+    def __init__(self, start: int, end: int, column: int = 0) -> None:
+        self.start, self.end, self.column = start, end, column
+
+
+def _h5py():
+    try:
+        import h5py
+    except ImportError as e:
+        raise InputError("HDF5 matrices need h5py, which is not installed; give coordinates as Parquet or matrix-market files") from e
+    return h5py
+
+
+def entry_parts(pointers: np.ndarray, entries: int, most: int) -> list[_Part]:
+    """Parts of at most ``most`` stored entries each, with the column that a part's first entry is in: a long column is cut, short ones go together."""
+    if not len(pointers) or pointers[0] != 0 or pointers[-1] != entries or (pointers[1:] < pointers[:-1]).any():
+        raise InputError("The matrix's column pointers do not rise from zero to the number of entries")
+    starts = np.arange(0, entries, most)
+    columns = np.searchsorted(pointers, starts, side="right") - 1
+    return [_Part(int(a), int(min(a + most, entries)), int(c)) for a, c in zip(starts, columns, strict=True)]
 
 
 class _Reader(DataSourceReader):
-    """Barcode ranges of a compressed sparse column matrix as coordinate rows."""
+    """One table of a feature-barcode matrix as Arrow batches; every partition opens the file itself."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.parts = options["path"], int(options.get("partitions", 8))
-
-    def _open(self):
-        try:
-            import h5py
-        except ImportError as e:
-            raise InputError("HDF5 matrices need h5py, which is not installed; give coordinates as Parquet or matrix-market files") from e
-        return h5py.File(self.path, "r")
+        self.path, self.table, self.most = options["path"], options.get("table", "counts"), int(options.get("entries", PART_ENTRIES))
 
     def partitions(self) -> list[InputPartition]:
-        with self._open() as f:
-            n = int(f["matrix/shape"][1])
-            indptr = f["matrix/indptr"][:]
-        if len(indptr) != n + 1 or (indptr[1:] < indptr[:-1]).any():
-            raise InputError("The matrix's column pointers are not monotone")
-        step = max(1, -(-n // self.parts))
-        return [_Part(a, min(n, a + step)) for a in range(0, n, step)]
-
-    def read(self, partition: _Part) -> Iterator[tuple[int, int, float]]:
-        with self._open() as f:
+        with _h5py().File(self.path, "r") as f:
+            m = f["matrix"]
+            if self.table == "counts":
+                if len(m["indices"]) != len(m["data"]) or len(m["indptr"]) != int(m["shape"][1]) + 1:
+                    raise InputError("The matrix's parts differ in length")
+                return entry_parts(np.asarray(m["indptr"][:], np.int64), len(m["data"]), self.most)
+            n = len(m["barcodes"] if self.table == "barcodes" else m["features/id"])
+        return [_Part(a, min(n, a + self.most)) for a in range(0, n, self.most)]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        with _h5py().File(self.path, "r") as f:
             m = f["matrix"]
-            pointers = m["indptr"][partition.start : partition.end + 1]
-            for k, (a, b) in enumerate(zip(pointers, pointers[1:], strict=False)):
-                for i, x in zip(m["indices"][a:b], m["data"][a:b], strict=True):
-                    yield int(i), partition.start + k, float(x)
+            for a in range(partition.start, partition.end, BATCH_ENTRIES):
+                b = min(partition.end, a + BATCH_ENTRIES)
+                yield self._counts(m, a, b, partition.column) if self.table == "counts" else self._names(m, a, b)
+
+    def _counts(self, m, a: int, b: int, column: int) -> pa.RecordBatch:
+        """Entries a to b; their columns come from the pointers behind ``column``."""
+        shape = m["shape"]
+        pointers = np.asarray(m["indptr"][column : int(shape[1]) + 1], np.int64)
+        features = np.asarray(m["indices"][a:b], np.int64)
+        if len(features) and (features.min() < 0 or features.max() >= int(shape[0])):
+            raise InputError("Entries outside the matrix: feature_idx")
+        columns = column + np.searchsorted(pointers, np.arange(a, b), side="right") - 1
+        values = np.asarray(m["data"][a:b], np.float64)
+        return pa.RecordBatch.from_arrays([pa.array(features, pa.int32()), pa.array(columns, pa.int32()), pa.array(values)], names=["feature_idx", "barcode_idx", "x"])
+
+    def _names(self, m, a: int, b: int) -> pa.RecordBatch:
+        text = lambda key: pa.array([v.decode() if isinstance(v, bytes) else str(v) for v in m[key][a:b]], pa.string())
+        at = pa.array(np.arange(a, b), pa.int32())
+        if self.table == "barcodes":
+            return pa.RecordBatch.from_arrays([at, text("barcodes")], names=["barcode_idx", "cell"])
+        return pa.RecordBatch.from_arrays([at, text("features/name"), text("features/id"), text("features/feature_type")], names=["feature_idx", "name", "id", "feature_type"])
 
 
 class SparseHdf5(DataSource):
-    """``spark.read.format("sparse_hdf5").load(path)``: the counts of a feature-barcode matrix."""
+    """``spark.read.format("sparse_hdf5").option("table", "counts").load(path)``: a table of a feature-barcode matrix (counts, features or barcodes)."""
 
     @classmethod
     def name(cls) -> str:
         return "sparse_hdf5"
 
     def schema(self) -> str:
-        return COUNTS
+        return TABLES[self.options.get("table", "counts")]
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
 
-def from_hdf5(spark: SparkSession, path: str) -> CountMatrix:
-    """A feature-barcode HDF5 matrix.  Needs h5py on driver and executors, and a path that both can open."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise InputError("HDF5 matrices need h5py, which is not installed; give coordinates as Parquet or matrix-market files") from e
+def from_hdf5(spark: SparkSession, path: str, entries: int = PART_ENTRIES) -> CountMatrix:
+    """A feature-barcode HDF5 matrix, read by executors in parts of equal numbers of stored entries.  Needs h5py on driver and executors, and a path that both can open."""
+    _h5py()
     spark.dataSource.register(SparseHdf5)
-    text = lambda v: v.decode() if isinstance(v, bytes) else str(v)
-    with h5py.File(path, "r") as f:
-        m = f["matrix"]
-        rows = [(i, text(a), text(b), text(c)) for i, (a, b, c) in enumerate(zip(m["features/name"], m["features/id"], m["features/feature_type"], strict=True))]
-        cells = [(i, text(b)) for i, b in enumerate(m["barcodes"])]
-    return CountMatrix(
-        spark.read.format("sparse_hdf5").load(path), spark.createDataFrame(rows, "feature_idx int, name string, id string, feature_type string"),
-        spark.createDataFrame(cells, "barcode_idx int, cell string"),
-    )
+    return CountMatrix(*[spark.read.format("sparse_hdf5").option("table", t).option("entries", entries).load(path) for t in TABLES])
