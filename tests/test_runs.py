@@ -4,6 +4,8 @@ import gzip
 import json
 
 import numpy as np
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from popnet.plans.infer import infer, prepare_forest_prefixes
 from popnet.operators.ordering import numbered
 from popnet.plans.prepare import prepare
 from popnet.sources import counts, expression, text
+from popnet.streaming.checkpoint import weight_digests
 
 FOUR = {"TF1": [3, 7, 1, 8], "TF2": [2, 0, 5, 4], "G3": [6, 2, 9, 3], "CONST": [5, 5, 5, 5]}
 FOUR_WEIGHTS = (2, 1, 1, 4)
@@ -83,6 +86,20 @@ def test_resume_equals_a_clean_run(spark, four, monkeypatch):
         infer(spark, config(four, out="again", report=False))
     with pytest.raises(InputError):
         infer(spark, config(four, out="again", report=False, random_seed=7), resume=True)
+    kept = four / ".again.checkpoint" / "weights"
+    (part,) = [p for p in kept.iterdir() if p.name.startswith("part-")][:1]
+    whole = part.read_bytes()
+    one = pq.read_table(part)
+    at = one.column_names.index("final_weight")
+    pq.write_table(one.set_column(at, "final_weight", pc.multiply(one.column(at), 1 + 1e-15)), part)
+    (kept / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(InputError, match="weights have changed"):
+        infer(spark, config(four, out="again", report=False), resume=True)
+    part.write_bytes(whole)
+    with monkeypatch.context() as m:
+        m.setattr("popnet.streaming.checkpoint.implementation", lambda: "another version")
+        with pytest.raises(InputError, match="implementation"):
+            infer(spark, config(four, out="again", report=False), resume=True)
     run = infer(spark, config(four, out="again", report=False), resume=True)
     assert run.resumed_models == 8 and run.n_edges == clean.n_edges
     assert (four / "again" / "network.csv").read_bytes() == (four / "clean" / "network.csv").read_bytes()
@@ -314,3 +331,16 @@ def test_numbers_of_rows(spark):
     for g, i in sorted(map(tuple, rows.collect()), key=lambda r: (r[0] or "", r[1])):
         want.setdefault(g, []).append(i)
     assert sorted((r["g"] or "", r["i"], r["at"], r["n"]) for r in got) == sorted((g or "", i, at, len(v)) for g, v in want.items() for at, i in enumerate(v))
+
+
+def test_weight_digests_do_not_depend_on_order(spark):
+    rows = [(g, f"c{i}", i, i / 7 if i % 5 else 0.0) for g in "ab" for i in range(200)]
+    schema = "target_group string, cell string, cell_ord int, final_weight double"
+    one = sorted(weight_digests(spark.createDataFrame(rows, schema).repartition(5)).collect())
+    assert one == sorted(weight_digests(spark.createDataFrame(rows[::-1], schema).repartition(2)).collect())
+    assert one[0]["rows"] == 200 and one[0]["digest"] == one[1]["digest"]
+    swapped = [(g, c, i, rows[1 - i][3] if i < 2 and g == "a" else w) for g, c, i, w in rows]  # two cells' weights change places
+    two = sorted(weight_digests(spark.createDataFrame(swapped, schema)).collect())
+    assert two[0] != one[0] and two[1] == one[1]
+    repeated = sorted(weight_digests(spark.createDataFrame([*rows, rows[0], rows[0]], schema)).collect())
+    assert repeated[0] != one[0]
