@@ -23,11 +23,14 @@ KERNELS = {"gaussian": gaussian, "exponential": exponential}
 
 
 def kernel(name: str, distance: Column, bandwidth: Column) -> Column:
-    """The kernel ``name`` (in any case)."""
+    """The kernel ``name`` (in any case), in [0, 1]; a distance that is negative or not finite, or such a bandwidth or zero, raises."""
     try:
-        return KERNELS[name.strip().lower()](distance, bandwidth)
+        value = KERNELS[name.strip().lower()](distance, bandwidth)
     except KeyError:
         raise ValueError(f"unknown kernel {name!r}; one of {sorted(KERNELS)}") from None
+    number = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    fine = number(distance) & (distance >= 0) & number(bandwidth) & (bandwidth > 0)
+    return F.when(distance.isNull() | bandwidth.isNull() | fine, value).otherwise(F.raise_error(F.lit("a kernel needs finite distances of at least zero and a finite positive bandwidth")))
 
 
 def size_factor(correction: str, n_target: Column, n_source: Column, same: Column) -> Column:

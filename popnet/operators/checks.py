@@ -81,7 +81,7 @@ def not_increasing(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     by_part = Window.orderBy("__part")  # one row per partition
     before = ends.select("__part", F.lag("__last").over(by_part).alias("__prev"), F.lag("__key").over(by_part).alias("__prev_key"))
     inside = Window.partitionBy("__part").orderBy(*keys, "__order")
-    rows = ranged.join(F.broadcast(before), "__part")
+    rows = ranged.join(before, "__part")
     last = F.when(F.row_number().over(inside) == 1, F.col("__prev")).otherwise(F.lag("__order").over(inside))
     last_key = F.when(F.row_number().over(inside) == 1, F.col("__prev_key")).otherwise(F.lag(key).over(inside))
     rows = rows.select(*keys, F.col("__order").alias(order), (last > F.col("__order")).alias("__behind"), (last_key == key).alias("__same"))

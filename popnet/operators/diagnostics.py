@@ -13,7 +13,7 @@ def weight_mass(weights: DataFrame) -> DataFrame:
     """(target_group, source_group, source_is_target, source_weight, source_mass_percent)."""
     mass = weights.groupBy("target_group", F.col("cell_group").alias("source_group")).agg(F.sum("final_weight").alias("source_weight"))
     total = mass.groupBy("target_group").agg(F.sum("source_weight").alias("total"))
-    rows = mass.join(F.broadcast(total), "target_group")
+    rows = mass.join(total, "target_group")
     percent = F.when(F.col("total") > 0, F.col("source_weight") / F.col("total") * 100.0)
     return rows.select("target_group", "source_group", (F.col("target_group") == F.col("source_group")).alias("source_is_target"), "source_weight", percent.alias("source_mass_percent"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from popnet.functions.columns import EPSILON
 
 BLOCK_BYTES = 64 << 20
+#: Rows of distances in one Arrow batch, at most, or those of one cell.
+OUT_ROWS = 1 << 18
 TINY, HUGE = np.finfo(float).tiny, np.finfo(float).max
 
 
@@ -30,7 +32,7 @@ def standardised(cells: DataFrame) -> DataFrame:
     stats = exploded(cells).groupBy("dim").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s"))
     lists = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("stats"))  # one row: a dimension each
     scaled = F.zip_with("v", "stats", lambda z, t: (z - t["m"]) / F.when(t["s"] == 0, F.lit(1.0)).otherwise(t["s"]))
-    return cells.crossJoin(F.broadcast(lists)).withColumn("v", scaled).drop("stats")
+    return cells.crossJoin(lists).withColumn("v", scaled).drop("stats")
 
 
 def centroids(cells: DataFrame, weight: str | None = None) -> DataFrame:
@@ -44,7 +46,7 @@ def centroids(cells: DataFrame, weight: str | None = None) -> DataFrame:
         finite = ~F.isnan(plain) & (F.abs(plain) < float("inf"))
         return exploded(cells).groupBy("grp", "dim").agg(F.when(finite, plain).otherwise(small).alias("mu"))
     tops = cells.groupBy("grp").agg(F.max(weight).alias("wmax"))
-    rows = cells.join(F.broadcast(tops), "grp").withColumn("w", F.col(weight) / F.col("wmax"))
+    rows = cells.join(tops, "grp").withColumn("w", F.col(weight) / F.col("wmax"))
     rows = rows.select("grp", "w", F.posexplode("v").alias("dim", "z")).withColumn("dim", F.col("dim") + 1)
     return rows.groupBy("grp", "dim").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("mu"))
 
@@ -87,8 +89,8 @@ def pairwise(x: np.ndarray, mu: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def cell_distances(cells: DataFrame, means: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(cell, grp, target_group, distance) of each cell to each centroid.
+def cell_distances(cells: DataFrame, means: DataFrame, metric: str = "cosine", half: bool = False) -> DataFrame:
+    """(cell, grp, target_group, distance) of each cell to each centroid, or (``half``) to those whose group's name isn't below its own group's.
 
     The groups' vectors reach the driver in blocks whose size is checked first; with more
     groups than a block holds, the cells are passed once per block.
@@ -114,11 +116,17 @@ def cell_distances(cells: DataFrame, means: DataFrame, metric: str = "cosine") -
                 if not batch.num_rows:
                     continue
                 x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, mu.shape[1])
-                found = pairwise(x, mu, metric)
-                at = np.repeat(np.arange(batch.num_rows), len(names))
-                cols = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))]
-                targets = pa.array(names * batch.num_rows, batch.schema.field(1).type)
-                yield pa.RecordBatch.from_arrays([*cols, targets, pa.array(found.ravel())], names=["cell", "grp", "target_group", "distance"])
+                step = max(1, OUT_ROWS // len(names))
+                for first in range(0, batch.num_rows, step):
+                    some = batch.slice(first, step)
+                    if half:
+                        at, to = np.nonzero([[n >= g for n in names] for g in some.column(1).to_pylist()])
+                        found = np.concatenate([pairwise(x[first + i : first + i + 1], mu[to[at == i]], metric).ravel() for i in range(some.num_rows)])
+                    else:
+                        at, to = np.divmod(np.arange(some.num_rows * len(names)), len(names))
+                        found = pairwise(x[first : first + step], mu, metric).ravel()
+                    targets = pa.array(names, batch.schema.field(1).type).take(pa.array(to))
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), targets, pa.array(found)], names=["cell", "grp", "target_group", "distance"])
 
         part = cells.select("cell", "grp", "v").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -128,11 +136,11 @@ def cell_distances(cells: DataFrame, means: DataFrame, metric: str = "cosine") -
 def group_distances(means: DataFrame, metric: str = "cosine") -> DataFrame:
     """(target_group, source_group, distance): symmetric, zero on the diagonal; a pair is computed once."""
     vectors = centroid_vectors(means).select(F.col("grp").alias("cell"), "grp", "v")
-    all_ = cell_distances(vectors, means, metric).select(F.col("grp").alias("a"), F.col("target_group").alias("b"), "distance")
-    half = all_.where("a < b")
-    flat = lambda x, y: half.select(F.col(x).alias("target_group"), F.col(y).alias("source_group"), "distance")
-    same = vectors.select(F.col("grp").alias("target_group"), F.col("grp").alias("source_group"), F.lit(0.0).alias("distance"))
-    return flat("a", "b").unionByName(flat("b", "a")).unionByName(same)
+    upper = cell_distances(vectors, means, metric, half=True)
+    own = F.col("grp") == F.col("target_group")
+    pair = lambda a, b: F.struct(F.col(a).alias("target_group"), F.col(b).alias("source_group"), F.when(own, F.lit(0.0)).otherwise(F.col("distance")).alias("distance"))
+    both = F.when(own, F.array(pair("grp", "target_group"))).otherwise(F.array(pair("grp", "target_group"), pair("target_group", "grp")))
+    return upper.select(F.inline(both))
 
 
 def zero_norm_rows(cells: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, fl
     totals = heads.groupBy(*keys).agg(F.sum("rows").alias("total")) if keys else heads.agg(F.sum("rows").alias("total"))
     inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = ranged.withColumn("last", F.sum("n").over(inside)).join(heads.select(*keys, "part", "before"), [*keys, "part"])
-    placed = placed.join(totals, keys) if keys else placed.crossJoin(F.broadcast(totals))
+    placed = placed.join(totals, keys) if keys else placed.crossJoin(totals)
     placed = placed.withColumn("last", F.col("last") + F.col("before")).withColumn("first", F.col("last") - F.col("n"))
     out = []
     for name, q in at.items():

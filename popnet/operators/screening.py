@@ -52,8 +52,8 @@ def preflight(spread: DataFrame, targets: DataFrame, tfs: DataFrame, constants:
     own_bad = constants.select("target_group", F.col("gene").alias("target"), F.lit(1).alias("self_constant"))
     y = spread.select("target_group", F.col("gene").alias("target"), "low", "high")
     rows = (
-        targets.join(F.broadcast(sizes), "target_group", "left").join(y, ["target_group", "target"], "left").join(own, "target", "left")
-        .join(own_bad, ["target_group", "target"], "left").join(F.broadcast(bad), "target_group", "left").crossJoin(F.broadcast(n_tfs))
+        targets.join(sizes, "target_group", "left").join(y, ["target_group", "target"], "left").join(own, "target", "left")
+        .join(own_bad, ["target_group", "target"], "left").join(bad, "target_group", "left").crossJoin(n_tfs)
         .fillna(0, ["n_positive", "is_tf", "self_constant", "n_constant"])
     )
     eligible = F.col("n_tfs") - F.col("is_tf")

@@ -35,13 +35,13 @@ def bandwidth(distances: DataFrame, explicit: float | str = "auto", scale: float
             raise ValueError("bandwidth_scale applies only to an automatic bandwidth")
         return count.select(F.lit(float(explicit)).alias("bandwidth"), "positive_count")
     median = exact_quantiles(positive, [], "distance", {"median": 0.5})
-    return median.crossJoin(F.broadcast(count)).select((F.coalesce("median", F.lit(float(fallback))) * F.lit(float(scale))).alias("bandwidth"), "positive_count")
+    return median.crossJoin(count).select((F.coalesce("median", F.lit(float(fallback))) * F.lit(float(scale))).alias("bandwidth"), "positive_count")
 
 
 def affinities(group_distance: DataFrame, sizes: DataFrame, h: DataFrame, kernel_name: str = "gaussian", correction: str = "cap-to-target") -> DataFrame:
     """(target_group, source_group, distance, base_affinity, group_size_factor): groups x groups rows."""
     nt, ns = sizes.select(F.col("grp").alias("target_group"), F.col("n").alias("nt")), sizes.select(F.col("grp").alias("source_group"), F.col("n").alias("ns"))
-    rows = group_distance.join(F.broadcast(nt), "target_group").join(F.broadcast(ns), "source_group").crossJoin(F.broadcast(h.select("bandwidth")))
+    rows = group_distance.join(nt, "target_group").join(ns, "source_group").crossJoin(h.select("bandwidth"))
     same = F.col("target_group") == F.col("source_group")
     return rows.select(
         "target_group", "source_group", "distance", F.when(same, F.lit(1.0)).otherwise(kernel(kernel_name, F.col("distance"), F.col("bandwidth"))).alias("base_affinity"),
@@ -52,7 +52,7 @@ def affinities(group_distance: DataFrame, sizes: DataFrame, h: DataFrame, kernel
 def canonical(weights: DataFrame, raw: str = "raw_weight") -> DataFrame:
     """Adds final_weight: positive weights of at most EPSILON times the target group's total become zero (no renormalisation)."""
     total = weights.groupBy("target_group").agg(F.sum(raw).alias("raw_weight_sum"))
-    rows = weights.join(F.broadcast(total), "target_group")
+    rows = weights.join(total, "target_group")
     w = F.col(raw)
     return rows.withColumn("final_weight", F.when((w > 0) & (w <= F.lit(EPSILON) * F.col("raw_weight_sum")), 0.0).otherwise(w))
 
@@ -70,11 +70,11 @@ def weights(
         raise ValueError(f"unknown weight mode {mode!r}")
     if mode == "group-distance":
         near = group_distance.select("target_group", F.col("source_group").alias("grp"), "distance")
-        rows = cells.select("cell", "grp").join(F.broadcast(near), "grp")
+        rows = cells.select("cell", "grp").join(near, "grp")
     else:
         rows = cell_distance.select("cell", "grp", "target_group", "distance")
     nt, ns = sizes.select(F.col("grp").alias("target_group"), F.col("n").alias("nt")), sizes.withColumnRenamed("n", "ns")
-    rows = rows.join(F.broadcast(nt), "target_group").join(F.broadcast(ns), "grp").crossJoin(F.broadcast(h.select("bandwidth")))
+    rows = rows.join(nt, "target_group").join(ns, "grp").crossJoin(h.select("bandwidth"))
     same = F.col("grp") == F.col("target_group")
     base = kernel(kernel_name, F.col("distance"), F.col("bandwidth"))
     if mode != "cell-distance":
@@ -86,7 +86,7 @@ def weights(
     product = F.col("base_weight") * F.col("group_size_factor")
     if mode == "cell-distance":
         tops = rows.groupBy("target_group").agg(F.max(product).alias("top"))
-        rows = rows.join(F.broadcast(tops), "target_group")
+        rows = rows.join(tops, "target_group")
         # the largest become exactly one, whatever rounding does
         product = F.when(F.col("top") <= 0, F.lit(0.0)).when(product == F.col("top"), F.lit(1.0)).otherwise(product * (F.lit(1.0) / F.col("top")))
     rows = canonical(rows.withColumn("raw_weight", product))
@@ -107,9 +107,9 @@ def require_positive(found: DataFrame) -> None:
 def normalised_centroid_weights(rows: DataFrame, weight: str = "centroid_weight") -> DataFrame:
     """``rows`` (with grp) and normalized_centroid_weight: (w / max) over the group's sum of it."""
     tops = rows.groupBy("grp").agg(F.max(weight).alias("wmax"))
-    scaled = rows.join(F.broadcast(tops), "grp").withColumn("scaled", F.col(weight) / F.col("wmax"))
+    scaled = rows.join(tops, "grp").withColumn("scaled", F.col(weight) / F.col("wmax"))
     sums = scaled.groupBy("grp").agg(F.sum("scaled").alias("total"))
-    return scaled.join(F.broadcast(sums), "grp").withColumn("normalized_centroid_weight", F.col("scaled") / F.col("total")).drop("wmax", "scaled", "total")
+    return scaled.join(sums, "grp").withColumn("normalized_centroid_weight", F.col("scaled") / F.col("total")).drop("wmax", "scaled", "total")
 
 
 def ess(total: Column, squares: Column) -> Column:
@@ -121,7 +121,7 @@ def centroid_weight_diagnostics(rows: DataFrame, weight: str = "centroid_weight"
     """(grp, n_cells, weight_sum, min_weight, median_weight, max_weight, effective_sample_size)."""
     tops = rows.groupBy("grp").agg(F.max(weight).alias("wmax"))
     s = F.col(weight) / F.col("wmax")
-    sums = rows.join(F.broadcast(tops), "grp").groupBy("grp").agg(
+    sums = rows.join(tops, "grp").groupBy("grp").agg(
         F.count("*").alias("n_cells"), F.sum(weight).alias("weight_sum"), F.min(weight).alias("min_weight"), F.max(weight).alias("max_weight"),
         ess(F.sum(s), F.sum(s * s)).alias("effective_sample_size"),
     )

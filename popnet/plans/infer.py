@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet import __version__, report
 from popnet.config import InferConfig
 from popnet.operators import diagnostics, distance, forest, weighting
-from popnet.operators.checks import InputError, require_none
+from popnet.operators.checks import InputError, missing_from, require_none
 from popnet.operators.representation import Representation, represent
 from popnet.operators.trees import ForestParams
 from popnet.sinks import CELL_WEIGHTS, SKIPPED, absolute, published, write_bytes, write_json, write_network, write_text
@@ -21,6 +22,7 @@ from popnet.sources import text
 from popnet.sources.expression import Expression
 from popnet.storage import shared_dir, written
 from popnet.streaming.checkpoint import Checkpoint, identity, remaining
+from popnet.streaming.groups import GroupResults
 
 #: Models in a checkpointed batch, for each core of the cluster.
 PER_CORE = 32
@@ -99,6 +101,11 @@ def build(spark: SparkSession, config: InferConfig, progress: Progress = lambda
     """Read, check and derive the weights."""
     progress("load", {})
     x, given = text.load_inputs(spark, config.expression, config.tf_list, config.groups, config.target_list, config.centroid_weights)
+    return derive(spark, x, given, config, progress)
+
+
+def derive(spark: SparkSession, x: Expression, given: dict[str, DataFrame], config: InferConfig, progress: Progress = lambda phase, info: None) -> State:
+    """Everything up to the weights, from checked inputs."""
     cells = x.by_cell().join(given["groups"], "cell")
     if config.centroid_weights:
         cells = cells.join(given["centroid_weights"], "cell")
@@ -268,6 +275,36 @@ class ForestPrefixes:
             yield self._fit(all_.where(F.col("batch") == b).drop("batch"))
 
 
+    def iter_groups(self, ahead: int = 1) -> GroupResults:
+        """(target group, results) in the order of the groups' names, ``ahead`` groups being fitted while one is consumed; to be closed."""
+        wanted = written(models(self.state), "models")
+        names = sorted(r[0] for r in wanted.select("target_group").distinct().collect())
+        return GroupResults(self.spark, names, lambda g: self._fit(wanted.where(F.col("target_group") == g)), ahead)
+
+
+def prepare_inference(
+    spark: SparkSession, matrix: np.ndarray, genes: list[str], cells: list[str], groups: list[str], tfs: list[str], targets: list[str] | None = None,
+    centroid_weights: list[float] | None = None, **settings: object,
+) -> ForestPrefixes:
+    """The state of an inference from arrays: ``matrix`` is genes x cells, ``groups`` a group for each cell; ``settings`` are those of InferConfig without its files."""
+    x = Expression.of(spark, matrix, genes, cells)
+    if len(groups) != len(cells) or (centroid_weights is not None and len(centroid_weights) != len(cells)):
+        raise InputError("A group, and a centroid weight where there are any, is needed for each cell")
+    listed = lambda names: spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "gene string, ord int")
+    given = {"tfs": listed(tfs), "groups": spark.createDataFrame(list(zip(cells, groups, strict=True)), "cell string, grp string")}
+    if targets is not None:
+        given["targets"] = listed(targets)
+    if centroid_weights is not None:
+        given["centroid_weights"] = spark.createDataFrame([(c, float(w)) for c, w in zip(cells, centroid_weights, strict=True)], "cell string, centroid_weight double")
+        require_none(given["centroid_weights"].where("not (centroid_weight > 0) or centroid_weight = double('Infinity')"), "cell", "Centroid weights that are not positive and finite")
+    for what in ("tfs", "targets"):
+        if what in given:
+            require_none(missing_from(given[what], x.genes(), "gene"), "gene", f"Names of {what} that are not in the matrix")
+    files = dict.fromkeys(("expression", "tf_list", "groups", "output_dir"), "(memory)")
+    config = InferConfig(**files, **(settings | ({"centroid_weights": "(memory)"} if centroid_weights is not None else {})))
+    return ForestPrefixes(spark, derive(spark, x, given, config), config, (config.n_estimators,))
+
+
 def prepare_forest_prefixes(spark: SparkSession, config: InferConfig, counts: tuple[int, ...]) -> ForestPrefixes:
     """Check the numbers of trees (strictly increasing, ending at n_estimators) and build the state; writes no output folder."""
     if not counts or list(counts) != sorted(set(counts)) or counts[0] < 1 or counts[-1] != config.n_estimators:

@@ -65,6 +65,20 @@ class Expression:
     names: tuple[str, ...]
     n_genes: int
 
+    @classmethod
+    def of(cls, spark: SparkSession, matrix: np.ndarray, genes: list[str], cells: list[str]) -> Expression:
+        """A matrix (genes x cells) that the driver has; an action."""
+        x = np.asarray(matrix, np.float64)
+        if x.shape != (len(genes), len(cells)) or not x.size:
+            raise InputError("The matrix needs a row for each gene and a column for each cell, and one of each at least")
+        check_header([" ".join(["gene", *cells]).replace(" ", "-"), *cells], "The matrix")  # a first name that no cell has
+        if not np.isfinite(x).all():
+            raise InputError("The matrix has values that are not finite")
+        pieces = [(g, i, at, x[i, at : at + PIECE].tolist()) for i, g in enumerate(genes) for at in range(0, len(cells), PIECE)]
+        rows = written(spark.createDataFrame(pieces, ROWS), "expression")
+        require_none(duplicate_keys(rows.where("first = 0"), "gene"), "gene", "Duplicate genes")
+        return cls(rows, tuple(cells), len(genes))
+
     def cells(self) -> DataFrame:
         """(cell, cell_ord)."""
         listed = F.split(F.lit("\n".join(self.names)), "\n")  # no name has a line end

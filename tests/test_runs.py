@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from popnet import cli, report, sinks
 from popnet.config import InferConfig, PrepareConfig
 from popnet.operators.checks import InputError
-from popnet.plans.infer import infer, prepare_forest_prefixes
+from popnet.plans.infer import infer, prepare_forest_prefixes, prepare_inference
 from popnet.operators.ordering import numbered
 from popnet.plans.prepare import prepare
 from popnet.sources import counts, expression, text
@@ -344,3 +344,18 @@ def test_weight_digests_do_not_depend_on_order(spark):
     assert two[0] != one[0] and two[1] == one[1]
     repeated = sorted(weight_digests(spark.createDataFrame([*rows, rows[0], rows[0]], schema)).collect())
     assert repeated[0] != one[0]
+
+
+def test_arrays_give_what_files_give(spark, four):
+    files = prepare_forest_prefixes(spark, config(four), (5,))
+    cells = [f"cell_{i}" for i in range(1, 5)]
+    arrays = prepare_inference(spark, np.array(list(FOUR.values())), list(FOUR), cells, list("AABB"), ["TF1", "TF2"], **SMALL)
+    rows = lambda made: sorted(map(str, made.results().select("target_group", "target", "status", "edges").collect()))
+    assert rows(files) == rows(arrays) and len(rows(arrays)) == 8
+    with arrays.iter_groups() as groups:
+        got = [(g, r.count()) for g, r in groups]
+    assert got == [("A", 4), ("B", 4)]
+    with pytest.raises(InputError, match="not in the matrix"):
+        prepare_inference(spark, np.ones((1, 4)), ["G"], cells, list("AABB"), ["TF1"], **SMALL)
+    with pytest.raises(InputError, match="finite"):
+        prepare_inference(spark, np.full((1, 4), np.nan), ["G"], cells, list("AABB"), ["G"], **SMALL)
