@@ -29,9 +29,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from popnet.llm.shared import released, table, written
+from popnet.operators.ordering import numbered
 
 #: Leaves of a block, at most: what one task holds as a matrix.
 BLOCK = 4096
@@ -171,23 +172,6 @@ def _descend(key: tuple, rows: pa.Table, paths: pa.Table, shape: Shape, kind: st
     return pa.table(out | {"leaf": _texts(tiers[0]), "subroot": same(above["subroot"]), "root": same(above["root"]), "folded": _texts(folded)}).select([c.split()[0] for c in MANIFEST.split(", ")])
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` (grp, ...) with ``pos``, their number in their group by ``order``, and ``n``, the group's size.
-
-    Rows are range partitioned by group and order, so a hot group is many partitions; a
-    partition's rows are counted by group, and the counts before it give the offset.
-    """
-    ranged = rows.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order)
-    ranged = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", 33).alias("__part")
-    runs = ranged.groupBy("grp", part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    whole = Window.partitionBy("grp")  # a row for each partition that the group is in
-    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("n", F.sum("__n").over(whole)).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    out = ranged.withColumn("__part", part).join(runs, ["grp", "__part"])
-    return out.withColumn("pos", F.col("__at") - F.col("__first") + F.col("__start")).drop("__at", "__part", "__first", "__start", "__n")
-
-
 def _block(shape: Shape) -> Column:
     return F.floor(F.col("pos") / F.lit(shape.leaves)).cast("long").alias("block")
 
@@ -227,12 +211,12 @@ def manifest(rows: DataFrame, group: Column, order: Column, digest: Column, tag:
     other = F.lit(None).cast("string") if claimed is None else claimed
     leaves = rows.select(name.alias("grp"), order.alias("key"), F.unhex(digest).alias("digest"), tag.cast("string").alias("tag"), F.unhex(other).alias("other"))
     leaves = written(leaves.withColumn("row", F.monotonically_increasing_id()), "leaves")  # equal rows are told apart by it
-    placed = written(numbered(leaves, "key", "digest", "row").drop("key", "row"), "placed")
+    placed = written(numbered(leaves, ["key", "digest", "row"], ["grp"], "pos", "n").drop("key", "row"), "placed")
     released(leaves)
     passes, subroots = _grown(placed, shape)
     # the groups' roots are the leaves of one more tree
-    tops = numbered(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("tag"), "digest"), "tag")
-    tops = written(tops, "groups")
+    tops = subroots.select(F.lit("").alias("grp"), F.col("grp").alias("tag"), "digest")
+    tops = written(numbered(tops, ["tag"], ["grp"], "pos", "n"), "groups")
     upper, root = _grown(tops, shape)
     empty = F.lit("").alias("siblings"), F.lit(b"").cast("binary").alias("shape")
     paths = root.select("grp", F.lit(None).cast("string").alias("tag"), "pos", *empty, F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
