@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from popnet.storage import written
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Per ``keys`` one column for each name in ``at``: the linearly interpolated quantile of ``value`` (nulls left out)."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float], times: str | None = None) -> DataFrame:
+    """Per ``keys`` one column for each name in ``at``: the linearly interpolated quantile of ``value`` (nulls left out).
+
+    A row counts as often as its whole number ``times`` says, which must be above zero, or once.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg((F.sum(times) if times else F.count("*")).alias("n"))
     order = [*keys, "value"]
     # the partition's number must be the same wherever it is read: the table is written with it
     ranged = counted.repartitionByRange(*order).withColumn("part", F.spark_partition_id())

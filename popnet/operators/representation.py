@@ -48,6 +48,8 @@ class Representation:
     error_bound: float = 0.0
     #: Share of the variance outside the components that were looked at.
     outside: float = 0.0
+    #: Mean and loadings (dimensions x components); none where the space is the expression itself.
+    basis: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def _block(batch: pa.RecordBatch) -> np.ndarray:
@@ -153,18 +155,39 @@ def principal_components(cells: DataFrame, n_components: int = 50, seed: int = 0
         if solver != "randomized" and bound > SETTLED:
             reason = f"components not settled after {ROUNDS} rounds"
     loadings = _signed(loadings)
-    basis = cells.sparkSession.sparkContext.broadcast((mean, loadings))
+    ratios = np.clip(values, 0, None) / total if total > 0 else np.zeros(k)
+    return Representation(projected(cells, (mean, loadings)), tuple(ratios.tolist()), k, reason, method, bound, outside, (mean, loadings))
+
+
+def projected(cells: DataFrame, basis: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(cell, grp, v): the scores of ``cells`` (cell, grp, v) by a mean and loadings, in one narrow pass."""
+    held = cells.sparkSession.sparkContext.broadcast(basis)
     kinds = dict(cells.dtypes)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, b = basis.value
+        m, b = held.value
         for batch in batches:
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list((x - m) @ b), pa.list_(pa.float64()))], names=["cell", "grp", "v"])
 
-    scores = cells.select("cell", "grp", "v").mapInArrow(project, f"cell {kinds['cell']}, grp {kinds['grp']}, v array<double>")
-    ratios = np.clip(values, 0, None) / total if total > 0 else np.zeros(k)
-    return Representation(scores, tuple(ratios.tolist()), k, reason, method, bound, outside)
+    return cells.select("cell", "grp", "v").mapInArrow(project, f"cell {kinds['cell']}, grp {kinds['grp']}, v array<double>")
+
+
+def display(rep: Representation, means: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, str]:
+    """(cells, centroids, name): two components at most of every cell and centroid, as (cell, grp, v), and what the components are called.
+
+    In a space of components these are its first ones.  Otherwise auxiliary components of all
+    cells are found for the display alone, and cells and centroids are projected by the same
+    loadings; distances and weights have nothing to do with them.
+    """
+    vectors = means.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mu"))), lambda x: x["mu"]).alias("v"))
+    centres = vectors.select(F.col("grp").cast("string").alias("cell"), "grp", "v")
+    if rep.basis is not None:
+        two = lambda rows: rows.select("cell", "grp", F.slice("v", 1, 2).alias("v"))
+        return two(rep.cells), two(centres), "PC"
+    wide = len(rep.cells.select("v").first()[0])
+    found = principal_components(rep.cells, 2, seed, "auto" if wide <= FULL else "randomized")
+    return found.cells, projected(centres, found.basis), "AuxiliaryPC"
 
 
 def _leading(singular: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from popnet import __version__, report
 from popnet.config import InferConfig
 from popnet.operators import diagnostics, distance, forest, weighting
 from popnet.operators.checks import InputError, missing_from, require_none
-from popnet.operators.representation import Representation, represent
+from popnet.operators.representation import Representation, display, represent
 from popnet.operators.trees import ForestParams
 from popnet.sinks import CELL_WEIGHTS, SKIPPED, absolute, published, write_bytes, write_json, write_network, write_text
 from popnet.sources import text
@@ -70,24 +70,25 @@ def params(config: InferConfig) -> ForestParams:
     )
 
 
+def _centred(c: InferConfig) -> bool:
+    return c.distance_space == "pca" or c.distance_standardization == "standard"
+
+
+#: What means nothing with one group, and what it needs instead.  Its cells all have one
+#: centroid: weights that compare groups are all the same, and in a space centred on the cells'
+#: mean that centroid is zero but for rounding, so that angles to it are noise.
+ONE_GROUP: tuple[tuple[Callable[[InferConfig], bool], str], ...] = (
+    (lambda c: c.weight_mode != "cell-distance", "the weight mode 'cell-distance'"),
+    (lambda c: c.group_size_correction != "none", "no group size correction"),
+    (lambda c: c.distance_metric == "cosine" and _centred(c), "the Euclidean distance in a centred space"),
+)
+
+
 def require_meaning(config: InferConfig, n_groups: int) -> None:
-    """Refuse what means nothing with one group.
-
-    Its cells all have one centroid: weights that compare groups are all the same, and in a
-    space that is centred on the cells' mean (components, standardised dimensions) that
-    centroid is zero but for rounding, so that angles to it are noise.
-    """
-    if n_groups != 1:
-        return
-    wrong = []
-    if config.weight_mode != "cell-distance":
-        wrong.append("the weight mode 'cell-distance'")
-    if config.group_size_correction != "none":
-        wrong.append("no group size correction")
-    if config.distance_metric == "cosine" and (config.distance_space == "pca" or config.distance_standardization == "standard"):
-        wrong.append("the Euclidean distance in a centred space")
-    if wrong:
-        raise InputError(f"A single group needs {', '.join(wrong)}")
+    """Refuse what means nothing with the number of groups."""
+    needed = [text_ for broken, text_ in ONE_GROUP if n_groups == 1 and broken(config)]
+    if needed:
+        raise InputError(f"A single group needs {', '.join(needed)}")
 
 
 def checkpoint_path(spark: SparkSession, final: str) -> str:
@@ -234,6 +235,12 @@ def write_artifacts(out: str, config: InferConfig, state: State, weights: DataFr
         ratios = spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(state.representation.ratios)], "component int, ratio double")
         ratios = distance.cumulative(ratios).select("component", F.col("ratio").alias("explained_variance_ratio"), F.col("cumulative").alias("cumulative_explained_variance_ratio"))
         write_text(ratios, f"{out}/pca_explained_variance.tsv", ratios.columns, ["component"])
+    near_cells, near_centres, axes = display(state.representation, state.centroids, config.random_seed) if config.report else (None, None, "")
+    if axes == "AuxiliaryPC":  # every point of the report can be looked up
+        near_cells = written(near_cells, "auxiliary")
+        names = [f"AuxiliaryPC{i + 1}" for i in range(len(near_cells.first()["v"]))]
+        flat = near_cells.join(state.cells.select("cell", "cell_ord"), "cell").select("cell", F.col("grp").alias("group"), "cell_ord", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+        write_text(flat, f"{out}/cell_embedding.tsv.gz", ["cell", "group", *names], ["cell_ord"], compress=True)
     stats = forest.statistics(results).first()
     summary = {
         "status": "failed" if stats["failed"] else "complete", "n_edges": n_edges, "total_models": total, "trained_models": stats["trained"], "skipped_targets": n_skipped,
@@ -247,8 +254,8 @@ def write_artifacts(out: str, config: InferConfig, state: State, weights: DataFr
          "representation": {"components": state.representation.effective_components, "reason": state.representation.reason, "method": state.representation.method, "error_bound": state.representation.error_bound, "variance_outside": state.representation.outside}, "summary": summary}, f"{out}/run_metadata.json",
     )
     if config.report:
-        page = report.build(state.representation.cells.select("cell", "grp", "v"), state.sizes, weights, {k: v for k, v in summary.items() if k != "warnings"})
-        write_bytes(spark, page.encode(), f"{out}/report.html")
+        shown = {k: v for k, v in summary.items() if k != "warnings"}
+        write_bytes(spark, report.build(near_cells, near_centres, axes, state.sizes, weights, shown).encode(), f"{out}/report.html")
     return summary
 
 

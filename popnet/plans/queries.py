@@ -9,12 +9,13 @@ counts (cell: user, feature: event type).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.functions import columns as fn
-from popnet.operators import checks, diagnostics, distance, forest, prepare, quantiles, representation, sampling, screening, weighting
+from popnet.operators import checks, diagnostics, distance, forest, prepare, quantiles, representation, resampling, sampling, screening, weighting
 from popnet.operators.ordering import numbered
 from popnet.operators.trees import ForestParams
 from popnet.plans.infer import fit
@@ -732,6 +733,26 @@ def _(s, d):
     return forest.statistics(_results(s, d)).drop("fit_seconds")
 
 
+STEPS = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(11)]
+
+
+@query("bootstrap_interval", f"""WITH u AS (SELECT s_nationkey % 5 AS grp, CAST(s_acctbal AS DOUBLE) AS x, rep, CAST(CAST('0x' || substr(sha256('7:' || s_suppkey || ':' || rep), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0e0 AS u FROM supplier, range(0, 200) t(rep)),
+  w AS (SELECT grp, x, rep, {' + '.join(f'CASE WHEN u >= {c!r}e0 THEN 1 ELSE 0 END' for c in STEPS)} AS times FROM u),
+  m AS (SELECT grp, rep, quantile_cont(x, 0.5) AS q FROM w, range(0, times) t(i) GROUP BY grp, rep),
+  i AS (SELECT grp, quantile_cont(q, 0.025) AS low, quantile_cont(q, 0.975) AS high FROM m GROUP BY grp)
+  SELECT CAST(grp AS BIGINT) AS grp, round(e.estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high FROM i JOIN (SELECT s_nationkey % 5 AS grp, quantile_cont(CAST(s_acctbal AS DOUBLE), 0.5) AS estimate FROM supplier GROUP BY ALL) e USING (grp)""")
+def _(s, d):
+    rows = table(s, d, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("grp"), F.col("s_suppkey").alias("row"), F.col("s_acctbal").cast("double").alias("x"))
+    found = resampling.bootstrap(rows, ["grp"], "row", "x", replicates=200, seed=7)
+    return found.select("grp", r("estimate"), r("low"), r("high"))
+
+
+@query("nested_targets", """WITH k AS (SELECT p_name AS target, row_number() OVER (ORDER BY sha256('3:' || p_name), p_name) AS nth FROM (SELECT DISTINCT p_name FROM part))
+  SELECT size, target FROM k, (VALUES (16), (64), (256)) t(size) WHERE nth <= size""")
+def _(s, d):
+    return resampling.nested(table(s, d, "part").select(F.col("p_name").alias("target")), "target", [16, 64, 256], seed=3)
+
+
 FLAGSHIP_SQL = W + """ SELECT target_group, CAST(count(*) AS BIGINT) AS n_cells, round(sum(w), 6) AS total_weight, round(sum(w) FILTER (WHERE grp = target_group), 6) AS target_weight,
   round(sum(w) * sum(w) / sum(w * w), 6) AS effective_sample_size FROM w GROUP BY target_group"""
 

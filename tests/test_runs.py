@@ -60,6 +60,14 @@ def test_inference_publishes_all_artifacts(spark, four):
     net = [x.split(",") for x in (out / "network.csv").read_text().splitlines()]
     assert net[0] == sinks.NETWORK and net[1:] == sorted(net[1:], key=lambda r: (r[5], r[1], r[0])) and all(r[0] != r[1] for r in net)
     assert len(lines(out / "model_diagnostics.tsv.gz")[0]) == 31
+    shown = lines(out / "cell_embedding.tsv.gz")
+    assert shown[0] == ["cell", "group", "AuxiliaryPC1", "AuxiliaryPC2"] and len(shown) == 5
+    page = (out / "report.html").read_text()
+    data = json.loads(page.split('id="data">')[1].split("</script>")[0])
+    points = np.array([p[2:] for p in data["centroids"]])
+    cells = np.array([[float(v) for v in r[2:]] for r in shown[1:]])
+    want = [np.average(cells[:2], axis=0, weights=FOUR_WEIGHTS[:2]), np.average(cells[2:], axis=0, weights=FOUR_WEIGHTS[2:])]
+    assert points == pytest.approx(np.array(want)) and len(data["cells"]) == 4  # centroids are projected by the cells' own loadings
     assert phases[0] == "load" and phases[-1] == "publish" and not list(four.glob(".run*"))
     assert json.loads((out / "run_metadata.json").read_text())["summary"]["total_models"] == 8
     with pytest.raises(FileExistsError):
@@ -227,7 +235,9 @@ def test_text_sinks(spark, tmp_path):
 
 
 def test_report_escapes():
-    assert "</script>" not in report.script_json({"x": "</script><b>& "}) and json.loads(report.script_json({"x": "</script>"}))["x"] == "</script>"
+    value = {"x": "</script><b>& \u2028\u2029"}
+    text_ = report.embedded(value)
+    assert "</script>" not in text_ and "\u2028" not in text_ and "\u2029" not in text_ and json.loads(text_) == value
 
 
 def test_one_group_in_a_centred_space(spark, four):
