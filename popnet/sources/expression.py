@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from popnet.functions.columns import finite, identifier_fault
 from popnet.operators.checks import InputError, duplicate_keys, require_none
+from popnet.operators.ordering import numbered
 from popnet.storage import released, written
 
 #: First headers that name another kind of table.
@@ -79,6 +80,20 @@ class Expression:
         require_none(duplicate_keys(rows.where("first = 0"), "gene"), "gene", "Duplicate genes")
         return cls(rows, tuple(cells), len(genes))
 
+    @classmethod
+    def of_rows(cls, values: DataFrame) -> Expression:
+        """A complete matrix as (gene, cell, x), genes and cells in the order of their names; an action.  Names of cells reach the driver, values don't."""
+        values = written(values.select(F.col("gene").cast("string").alias("gene"), F.col("cell").cast("string").alias("cell"), F.col("x").cast("double").alias("x")), "values")
+        genes = written(numbered(values.select("gene").distinct(), ["gene"], into="gene_ord"), "genes")
+        cells = written(numbered(values.select("cell").distinct(), ["cell"], into="cell_ord"), "cells")
+        found = values.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf"))).alias("bad")).first()
+        names, n_genes = [r["cell"] for r in cells.orderBy("cell_ord").select("cell").toLocalIterator()], genes.count()
+        if not found["n"] or found["bad"] or found["n"] != n_genes * len(names):
+            raise InputError(f"A complete matrix has a finite value for each gene and cell: {found['n']} values, {found['bad']} not finite, {n_genes} genes, {len(names)} cells")
+        placed = values.join(cells, "cell").join(genes, "gene").withColumn("first", (F.col("cell_ord") - F.col("cell_ord") % PIECE).cast("int"))
+        y = F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "x"))), lambda s: s["x"])
+        return cls(written(placed.groupBy("gene", "gene_ord", "first").agg(y.alias("y")), "expression"), tuple(names), n_genes)
+
     def cells(self) -> DataFrame:
         """(cell, cell_ord)."""
         listed = F.split(F.lit("\n".join(self.names)), "\n")  # no name has a line end

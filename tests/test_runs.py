@@ -369,3 +369,13 @@ def test_arrays_give_what_files_give(spark, four):
         prepare_inference(spark, np.ones((1, 4)), ["G"], cells, list("AABB"), ["TF1"], **SMALL)
     with pytest.raises(InputError, match="finite"):
         prepare_inference(spark, np.full((1, 4), np.nan), ["G"], cells, list("AABB"), ["G"], **SMALL)
+
+
+def test_matrix_of_rows(spark):
+    rows = [(f"g{i}", f"c{j:02d}", i + j / 10) for i in range(3) for j in range(12)]
+    got = expression.Expression.of_rows(spark.createDataFrame(rows, "gene string, cell string, x double").repartition(4))
+    assert got.n_genes == 3 and got.names == tuple(f"c{j:02d}" for j in range(12))
+    assert {r["gene"]: r["y"] for r in got.vectors().collect()} == {f"g{i}": [i + j / 10 for j in range(12)] for i in range(3)}
+    assert sorted((r["gene"], r["cell"], r["x"]) for r in got.long().collect()) == sorted(rows)
+    with pytest.raises(InputError, match="35 values"):
+        expression.Expression.of_rows(spark.createDataFrame(rows[1:], "gene string, cell string, x double"))
