@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
+from popnet.config import InferConfig, PrepareConfig
 from popnet.operators import distance
 from popnet.operators.ordering import numbered
-from popnet.plans.queries import W, anchored, cells, entries, query, r
+from popnet.plans.infer import infer
+from popnet.plans.prepare import prepare
+from popnet.plans.queries import EMBEDDING_TFS, GROUPS, C, W, anchored, cells, entries, query, r, tfs, unit_cells
 from popnet.sinks import CELL_WEIGHTS, dense, write_lines, write_text
 from popnet.sources import counts, expression
 from popnet.storage import shared_dir, written
@@ -73,3 +76,49 @@ def _triplets(s: SparkSession, d: str) -> str:
 def _(s, d):
     m = counts.from_mex(s, _triplets(s, d), ".gz").checked()
     return m.counts.join(m.features, "feature_idx").join(m.barcodes, "barcode_idx").select(F.col("name").alias("gene"), "cell", "x")
+
+
+@query("prepared_units", f"""WITH {C}, l AS (SELECT cell, sum(x) AS y FROM c GROUP BY cell), p AS (SELECT analysis_unit, gene, cell, x * (10000.0e0 / y) AS x FROM u JOIN l USING (cell)),
+  k AS (SELECT analysis_unit, gene FROM p GROUP BY ALL HAVING count(*) >= 3), z AS (SELECT analysis_unit FROM ua GROUP BY ALL HAVING count(*) >= 5)
+  SELECT analysis_unit, gene, CAST(cell AS VARCHAR) AS cell, round(ln(1 + x), 6) AS x FROM p JOIN k USING (analysis_unit, gene) JOIN z USING (analysis_unit)""")
+def _(s, d):
+    """A whole preparation: triplets, annotations and a list as files, published units read back."""
+    folder = _folder(s, "prepare")
+    write_text(unit_cells(s, d), f"{folder}/annotations.tsv", ["cell", "analysis_unit", "cluster"], ["cell"])
+    write_lines(tfs(s).repartitionByRange(1, "ord").sortWithinPartitions("ord").select(F.col("gene").alias("value")), f"{folder}/tf_list.txt")
+    config = PrepareConfig(counts=_triplets(s, d), annotations=f"{folder}/annotations.tsv", tf_list=f"{folder}/tf_list.txt", output_dir=f"{folder}/out", min_cells=5, min_gene_cells=3)
+    done = prepare(s, config)
+    out = None
+    for unit, path in zip(done.prepared_analysis_units, done.analysis_unit_directories, strict=True):
+        one = expression.read(s, f"{path}/expression.tsv").long().where("x <> 0").select(F.lit(unit).alias("analysis_unit"), "gene", "cell", r("x"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("run_artifacts", W + GROUPS + """, k AS (SELECT count(DISTINCT label) AS g, count(*) AS n FROM embeddings)
+  SELECT 'cell_weights.tsv.gz' AS artifact, CAST(count(*) AS BIGINT) AS n_rows, round(sum(w), 4) AS total FROM w UNION ALL SELECT 'weight_diagnostics.tsv', CAST(any_value(g * g) AS BIGINT), round(sum(w), 4) FROM w, k
+  UNION ALL SELECT 'centroids.tsv', CAST(count(*) AS BIGINT), round(sum(mu), 4) FROM mu UNION ALL SELECT 'group_distances.tsv', CAST(count(*) AS BIGINT), round(sum(d), 4) FROM gd
+  UNION ALL SELECT 'centroid_weights.tsv.gz', CAST(n AS BIGINT), CAST(g AS DOUBLE) FROM k
+  UNION ALL SELECT 'model_diagnostics.tsv.gz', CAST(any_value(g) * 64 AS BIGINT), CAST(64 * count(*) FILTER (WHERE w > 0) AS DOUBLE) FROM w, k""")
+def _(s, d):
+    """A whole inference over files: rows and a total of each published table that doesn't depend on the trees."""
+    folder = _folder(s, "run")
+    groups = cells(s, d).select("cell", F.col("grp").alias("cluster"))
+    write_text(groups, f"{folder}/groups.tsv", ["cell", "cluster"], ["cell"])
+    listed = s.createDataFrame([(f"d{int(t[1:]):02d}", i) for i, t in enumerate(EMBEDDING_TFS)], "value string, ord int")
+    write_lines(listed.repartitionByRange(1, "ord").sortWithinPartitions("ord").select("value"), f"{folder}/tf_list.txt")
+    config = InferConfig(
+        expression=expression_file(s, d), tf_list=f"{folder}/tf_list.txt", groups=f"{folder}/groups.tsv", output_dir=f"{folder}/out", distance_space="expression", n_estimators=2,
+        group_size_correction="cap-to-target", report=False,
+    )
+    infer(s, config, checkpoint=False)
+    totals = {
+        "cell_weights.tsv.gz": "final_weight", "weight_diagnostics.tsv": "source_weight", "centroids.tsv": "centroid", "group_distances.tsv": "centroid_distance",
+        "centroid_weights.tsv.gz": "normalized_centroid_weight", "model_diagnostics.tsv.gz": "n_positive_weight_samples",
+    }
+    out = None
+    for name, column in totals.items():
+        rows = s.read.option("sep", "\t").option("header", True).csv(f"{folder}/out/{name}")
+        one = rows.agg(F.count("*").alias("n_rows"), F.round(F.sum(F.col(column).cast("double")), 4).alias("total")).select(F.lit(name).alias("artifact"), "n_rows", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
