@@ -14,7 +14,8 @@ string (``<|`` of this template; ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<
 Turns are ordered by turn (nulls first), ties by role and content, and repeated rows stay
 as turns.  A conversation becomes one row, so its turns meet in one task; that row is the
 operator's result.  Null text and null parts are empty; a null role is the empty role; a
-null conversation id is a conversation of its own; an empty table gives an empty table.
+null conversation id is a conversation of its own; an empty table gives an empty table;
+texts of any length are formatted whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

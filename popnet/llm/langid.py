@@ -13,8 +13,9 @@ the n-grams' number.  The predicted language has the largest proportion, which i
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to
 the language first by code point; no labelled document at all makes every prediction
-``und``; repeated rows count again; an empty table gives an empty table; further columns
-are ignored, and only text and lang of the training rows are read for learning.
+``und``; repeated rows count again; an empty table gives an empty table; a text of any
+length is read whole, its n-grams summed up in parts; further columns are ignored, whatever
+their names, and only text and lang of the training rows are read for learning.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Hamming distance is returned instead of all pairs, which loses no connection.
 Defined cases: null text is an empty text; a text without words has fingerprint zero and
 links like any other; rows with a null doc_id get a fingerprint and the component of
 their fingerprint's links, null if no linked row has a doc_id; repeated rows stay; an empty
-table gives an empty table; further columns are ignored.
+table gives an empty table; a text of any length is read whole, ``COUNTED`` shingles at a
+time; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
