@@ -143,8 +143,8 @@ def fit_model(group: str, target: str, y: np.ndarray, shared: Shared, params: Fo
     w = shared.weights[group]
     some = w > 0
     own = task_seed(seed, group, target)
-    x = shared.x[some]
-    low, high = (x.min(axis=0), x.max(axis=0)) if some.any() else (np.zeros(len(shared.tfs)),) * 2
+    x = shared.x.T[:, some]  # a factor a row, as it is stored
+    low, high = (x.min(axis=1), x.max(axis=1)) if some.any() else (np.zeros(len(shared.tfs)),) * 2
     others = np.array([t != target for t in shared.tfs], bool)
     usable = np.flatnonzero(others & (low != high))
     constant = [shared.tfs[i] for i in np.flatnonzero(others & (low == high))]
@@ -164,7 +164,7 @@ def fit_model(group: str, target: str, y: np.ndarray, shared: Shared, params: Fo
     out = []
     began = time.perf_counter()
     try:
-        for count, forest in zip(counts, prefixes(x[:, usable], y[some], w[some], params, own, counts), strict=True):
+        for count, forest in zip(counts, prefixes(x[usable].T, y[some], w[some], params, own, counts), strict=True):
             r = _record(group, target, "trained", own, w, len(shared.tfs), len(usable), discarded, constant, "", count)
             imp = forest.importances
             r |= {"fit_seconds": time.perf_counter() - began, "n_estimators_fitted": count} | shape_summary(forest.shapes)

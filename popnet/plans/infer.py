@@ -146,7 +146,8 @@ def models(state: State) -> DataFrame:
 
 def fit(vectors: DataFrame, shared: forest.SharedFiles, wanted: DataFrame, settings: ForestParams, seed: int, counts: tuple[int, ...] | None = None) -> DataFrame:
     """Results of the ``wanted`` models (target_group, target), with responses from ``vectors`` (gene, y)."""
-    rows = forest.by_target(wanted, vectors).repartition(max(1, vectors.sparkSession.sparkContext.defaultParallelism * 4), "target")
+    # ranges, not hashes: with few targets a hash puts several of them into one task while others have none
+    rows = forest.by_target(wanted, vectors).repartitionByRange(max(1, vectors.sparkSession.sparkContext.defaultParallelism * 8), "target")
     return forest.fit_models(rows, shared, settings, seed, counts)
 
 

@@ -147,3 +147,28 @@ def test_components_of_many_cells_and_genes(spark, monkeypatch):
     b = principal_components(cells, 4)
     va, vb = (np.array([r["v"] for r in f.cells.orderBy("cell").collect()]) for f in (a, b))
     assert np.allclose(va, vb, atol=1e-3) and b.ratios == pytest.approx(a.ratios, abs=1e-8)
+
+
+def test_forests_sort_each_feature_once(two_programs, monkeypatch):
+    import popnet.operators.trees as trees
+
+    x, g = two_programs
+    calls = []
+    plain = np.argsort
+    monkeypatch.setattr(trees.np, "argsort", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    fit(x, g, np.ones(120), ForestParams("random-forest", n_estimators=12), 5)
+    assert len(calls) == x.shape[1]
+
+
+def test_best_midpoint_is_that_of_all_splits():
+    rng = np.random.default_rng(3)
+    x, y, w = np.round(rng.normal(size=(60, 3)), 1).astype(np.float32), rng.normal(size=60), rng.random(60) + 0.1
+    p = ForestParams("random-forest", max_features=1.0, max_depth=1, min_weight_fraction_leaf=0.2)
+    found = grow(x, y, w, p, np.random.default_rng(1)).importances
+    best = (0.0, -1)
+    for f in range(3):
+        for t in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= t
+            if min(w[left].sum(), w[~left].sum()) >= 0.2 * w.sum() and min(left.sum(), (~left).sum()) >= 2:
+                best = max(best, (sum((w * (y - np.average(y, weights=w)))[s].sum() ** 2 / w[s].sum() for s in (left, ~left)), f))
+    assert np.flatnonzero(found).tolist() == [best[1]]
