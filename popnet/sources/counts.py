@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from popnet.operators.checks import InputError, duplicate_keys, require_none
 from popnet.operators.prepare import invalid_counts
+from popnet.storage import written
 
 COUNTS = "feature_idx int, barcode_idx int, x double"
 
@@ -43,16 +44,21 @@ def from_parquet(spark: SparkSession, path: str) -> CountMatrix:
 
 
 def from_mex(spark: SparkSession, path: str, suffix: str = "") -> CountMatrix:
-    """``path`` with matrix.mtx, features.tsv and barcodes.tsv (``suffix`` such as ``.gz``): triplets from 1."""
+    """``path`` with matrix.mtx, features.tsv and barcodes.tsv (``suffix`` such as ``.gz``): triplets from 1; an action.
+
+    A compressed file is one task's, so each one is parsed once and stored; checks and all that follows read the stored tables.
+    """
     lines = spark.read.text(f"{path}/matrix.mtx{suffix}").where(~F.col("value").startswith("%"))
     parts = lines.select(F.split(F.trim("value"), r"\s+").alias("p"))
     shape = next(iter(parts.limit(1).collect()), None)
     if shape is None:
         raise InputError("The matrix has no size line")
     rows = parts.withColumn("at", F.monotonically_increasing_id()).where("at > 0")
-    counts = rows.select((F.get("p", F.lit(0)).cast("int") - 1).alias("feature_idx"), (F.get("p", F.lit(1)).cast("int") - 1).alias("barcode_idx"), F.get("p", F.lit(2)).cast("double").alias("x"))
+    counts = written(rows.select((F.get("p", F.lit(0)).cast("int") - 1).alias("feature_idx"), (F.get("p", F.lit(1)).cast("int") - 1).alias("barcode_idx"), F.get("p", F.lit(2)).cast("double").alias("x")), "triplets")
+
     def numbered(name: str) -> DataFrame:
-        return spark.read.text(f"{path}/{name}.tsv{suffix}").coalesce(1).select(F.monotonically_increasing_id().cast("int").alias("at"), F.split("value", "\t").alias("f"))
+        lines = spark.read.text(f"{path}/{name}.tsv{suffix}").coalesce(1)
+        return written(lines.select(F.monotonically_increasing_id().cast("int").alias("at"), F.split("value", "\t").alias("f")), name)
 
     feature = numbered("features")
     features = feature.select(F.col("at").alias("feature_idx"), F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(0)).alias("id"), F.coalesce(F.get("f", F.lit(2)), F.lit("Gene Expression")).alias("feature_type"))
