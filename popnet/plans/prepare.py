@@ -44,12 +44,12 @@ class Units:
 def units(matrix: count_sources.CountMatrix, annotations: DataFrame, tfs: DataFrame, config: PrepareConfig) -> Units:
     """Normalise all annotated cells, then split and filter by unit."""
     genes, entries = ops.collapse_genes(ops.canonical(matrix.counts), matrix.features, config.gene_identifier, config.duplicate_gene_policy)
-    cells = ops.annotated(matrix.barcodes, annotations).select("analysis_unit", "cluster", "cell", "barcode_idx")
+    cells = written(ops.annotated(matrix.barcodes, annotations).select("analysis_unit", "cluster", "cell", "barcode_idx"), "unit-cells")  # read for every unit, as are genes and factors
     placed = written(entries.join(cells, "barcode_idx").select("analysis_unit", "cluster", "cell", "gene", "x"), "entries")
     libraries = ops.library_sizes(placed)
     require_none(ops.empty_libraries(cells.select("cell"), libraries), "cell", "Annotated cells without counts")
-    kept = ops.unit_genes(placed, config.min_gene_cells).join(genes, "gene")
-    listed = kept.join(tfs, "gene").select("analysis_unit", "gene", "ord")
+    kept = written(ops.unit_genes(placed, config.min_gene_cells).join(genes, "gene"), "unit-genes")
+    listed = written(kept.join(tfs, "gene").select("analysis_unit", "gene", "ord"), "unit-tfs")
     eligibility = ops.unit_eligibility(annotations, kept, tfs, config.min_cells)
     return Units(ops.normalised(placed, config.target_sum), cells, kept, listed, eligibility, libraries)
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +96,15 @@ class Expression:
         y = F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "x"))), lambda s: s["x"])
         return cls(written(placed.groupBy("gene", "gene_ord", "first").agg(y.alias("y")), "expression"), tuple(names), n_genes)
 
+    @cached_property
+    def named(self) -> DataFrame:
+        """(first, names): the cells' names by pieces, as a table; an action.  In a plan they would be planned, folded and printed with every query."""
+        pieces = [(at, list(self.names[at : at + PIECE])) for at in range(0, len(self.names), PIECE)]
+        return written(self.rows.sparkSession.createDataFrame(pieces, "first int, names array<string>"), "cell-names")
+
     def cells(self) -> DataFrame:
         """(cell, cell_ord)."""
-        listed = F.split(F.lit("\n".join(self.names)), "\n")  # no name has a line end
-        return self.rows.sparkSession.range(1).select(F.posexplode(listed).alias("cell_ord", "cell")).select("cell", "cell_ord")
+        return self.named.select("first", F.posexplode("names").alias("at", "cell")).select("cell", (F.col("first") + F.col("at")).alias("cell_ord"))
 
     def genes(self) -> DataFrame:
         """(gene, gene_ord)."""
@@ -105,10 +112,9 @@ class Expression:
 
     def long(self) -> DataFrame:
         """(gene, cell, x, gene_ord, cell_ord), a row a value."""
-        listed = F.split(F.lit("\n".join(self.names)), "\n")
-        each = self.rows.select("gene", "gene_ord", "first", F.posexplode("y").alias("at", "x"))
-        at = F.col("first") + F.col("at")
-        return each.select("gene", F.get(listed, at).alias("cell"), "x", "gene_ord", at.alias("cell_ord"))
+        pieces = self.rows.join(self.named, "first")
+        each = pieces.select("gene", "gene_ord", "first", F.posexplode(F.arrays_zip(F.col("names").alias("cell"), F.col("y").alias("x"))).alias("at", "v"))
+        return each.select("gene", F.col("v.cell").alias("cell"), F.col("v.x").alias("x"), "gene_ord", (F.col("first") + F.col("at")).alias("cell_ord"))
 
     def vectors(self) -> DataFrame:
         """(gene, y): a gene's values over all cells, in order."""
@@ -167,12 +173,22 @@ def _fault(n: int) -> Column:
     )
 
 
-def _said(names: list[str]) -> Column:
-    """The text of a line's fault in an error: its gene, for a number the cell and the text too."""
+def _said() -> Column:
+    """What an error says of a line's fault: its gene, and for a number the cell's place and the text too."""
     at = F.array_position(F.transform("y", lambda x: x.isNull()), True).cast("int")
-    gene = F.substr(F.get("f", F.lit(0)), F.lit(1), F.lit(80))
-    number = F.concat_ws("/", gene, F.get(F.split(F.lit("\n".join(names[1:])), "\n"), at - 1), F.get("f", at))
-    return F.when(F.col("fault") == "number", number).when(F.col("fault") == "bytes", "?").otherwise(F.coalesce(gene, F.lit("")))
+    gene = F.when(F.col("fault") == "bytes", "?").otherwise(F.coalesce(F.substr(F.get("f", F.lit(0)), F.lit(1), F.lit(80)), F.lit("")))
+    return F.struct(gene.alias("gene"), at.alias("at"), F.get("f", at).alias("text"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gene, gene_ord, y) to ROWS, a line at a time: its pieces are views of it."""
+    for batch in batches:
+        for gene, at, y in zip(*batch.columns, strict=True):
+            values = y.values
+            first = np.arange(0, len(values), PIECE)
+            pieces = pa.ListArray.from_arrays(pa.array([*first, len(values)], pa.int32()), values)
+            same = lambda v, kind: pa.array([v.as_py()] * len(first), kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same(gene, pa.string()), same(at, pa.int64()), pa.array(first, pa.int32()), pieces], names=["gene", "gene_ord", "first", "y"])
 
 
 def read(spark: SparkSession, path: str) -> Expression:
@@ -185,18 +201,19 @@ def read(spark: SparkSession, path: str) -> Expression:
     seen = Observation("expression")
     marked = _parsed(spark, path, n).withColumn("fault", _fault(n))
     bad = F.col("fault").isNotNull()
-    first = F.min(F.when(bad, F.struct("at", "fault", _said(names).alias("said"))))
+    first = F.min(F.when(bad, F.struct("at", "fault", _said().alias("said"))))
     marked = marked.observe(seen, F.count("*").alias("genes"), F.count_if(bad).alias("faulty"), first.alias("first"), *[F.count_if(F.col("fault") == k).alias(k) for k in FAULTS])
     # a faulty line is stored as nothing: the error comes when the scan is over
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 2), F.lit(PIECE)), lambda c: F.struct(c.alias("first"), F.slice("y", c + 1, F.lit(PIECE)).alias("y")))
-    stored = marked.where(~bad).select(F.get("f", F.lit(0)).alias("gene"), F.col("at").alias("gene_ord"), F.inline(pieces))
+    stored = marked.where(~bad).select(F.get("f", F.lit(0)).alias("gene"), F.col("at").alias("gene_ord"), "y").mapInArrow(_cut, ROWS)
     rows = written(stored, "expression")
     try:
         got = seen.get
         if got["faulty"]:
             what = got["first"]["fault"]
             more = f" and {got[what] - 1} more lines" if got[what] > 1 else ""
-            raise InputError(f"{FAULTS[what].format(n=n)}: {got['first']['said']!r}{more}")
+            said = got["first"]["said"]
+            text = "/".join([said["gene"], names[said["at"]], said["text"]]) if what == "number" else said["gene"]
+            raise InputError(f"{FAULTS[what].format(n=n)}: {text!r}{more}")
         if not got["genes"]:
             raise InputError("The expression matrix has a header but no gene rows")
         require_none(duplicate_keys(rows.where("first = 0"), "gene"), "gene", "Duplicate genes")
