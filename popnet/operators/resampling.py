@@ -38,8 +38,12 @@ def bootstrap(rows: DataFrame, keys: list[str], row: str, value: str, replicates
     """
     if not 0 < level < 1 or replicates < 1:
         raise ValueError("the level must lie between zero and one, and there must be replicates")
-    each = rows.select(*keys, F.col(value).alias("x"), F.col(row).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    counted = each.withColumn("times", drawn(uniform(F.lit(seed), F.col("row"), F.col("replicate")))).where("times > 0")
+    # a small file is one task's, but its rows times the replicates are not
+    spread = rows.select(*keys, F.col(value).alias("x"), F.col(row).alias("row")).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    each = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    u = uniform(F.lit(seed), F.col("row"), F.col("replicate"))
+    # rows that are drawn at all are told by the first step alone: a condition on the sum would be pushed down and hash a row once a step
+    counted = each.where(u >= math.exp(-1.0)).withColumn("times", drawn(u))
     found = exact_quantiles(counted, [*keys, "replicate"], "x", {"q": quantile}, "times")
     tail = (1 - level) / 2
     interval = exact_quantiles(found, keys, "q", {"low": tail, "high": 1 - tail})

@@ -6,6 +6,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from popnet.operators.resampling import HEX, MOST, bootstrap, nested
 
 
@@ -36,3 +38,16 @@ def test_subsets_lie_inside_each_other(spark):
     assert by(5) == {5: got[5]} != by(5, seed=2)
     with pytest.raises(ValueError, match="positive"):
         nested(names, "target", [0])
+
+
+def test_a_row_is_hashed_twice_at_most_and_by_several_tasks(spark, monkeypatch):
+    from popnet.operators import resampling
+
+    seen = []
+    monkeypatch.setattr(resampling, "exact_quantiles", lambda df, keys, *a: seen.append(df) or df.select(*keys, F.lit(0.0).alias("q")))
+    rows = spark.range(50).select(F.lit(1).alias("g"), F.col("id").alias("row"), F.col("id").cast("double").alias("x")).coalesce(1)
+    bootstrap(rows, ["g"], "row", "x", replicates=5)
+    counted = seen[0]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("sha2(") for line in plan.splitlines() if "Filter" in line and "sha2(" in line] == [1]
+    assert counted.rdd.getNumPartitions() > 1
