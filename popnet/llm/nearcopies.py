@@ -5,15 +5,20 @@ of all words if it has fewer), each a 64-bit hash.  Two texts are near copies if
 Jaccard similarity of their sets is ``SIMILARITY`` or more; groups are the components.
 
 Distinct sets only enter, so exact copies are one entry; every link is verified on the sets
-themselves.  Links are sought in two rounds:
-
-1. Sets that share one of ``BANDS`` keys of ``ROWS`` minimum hashes each are a bucket (a pair at
+themselves.  Links are sought by SimHash, and in two rounds for what it leaves apart:
+
+0. Each set has a SimHash fingerprint of its shingles; the pigeonhole blocks of ``simhash``
+   give a spanning forest of the fingerprints within ``simhash.DISTANCE`` bits, sets of equal
+   fingerprints meet their least.  The next round tries no
+   pair inside one of its components.
+1. At similarity 0.8 fingerprints differ in 9.7 of 64 bits on average, beyond what blocks can
+   find, so other keys follow.  Sets that share one of ``BANDS`` keys of ``ROWS`` minimum hashes each are a bucket (a pair at
    similarity 0.8 shares none with probability (1 - 0.8^5)^32 = 3e-6, one above it with less).
    A bucket is cut into parts of about ``PART`` sets before it is gathered.  In a part, pairs
    are tried along a tree, and each set whose pair there is not a sure one with those of
    the nearest sketches (a byte of each minimum hash): at most 1 + ``NEAREST`` pairs a set
    and bucket, whatever the bucket's size.
-2. Sets of buckets that hold several components then meet by their rare shingles, which is
+2. Sets of buckets that hold several components of verified links then meet by their rare shingles, which is
    exact among them.  Shingles that only one component has come first, the others by the number
    of sets that have them; two sets as similar as wanted share one of the first few (prefix
    filter: a ninth of the smaller set's, a fifth of the larger one's), at places that leave
@@ -40,6 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from popnet.llm import simhash
 from popnet.llm.graph import components
 from popnet.llm.shared import bounded, released, tidied, written
 
@@ -112,6 +118,15 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return _mixed(total)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set, unsigned: a bit is 1 where over half the hashes have it; zero for no hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), simhash.COUNTED):
+        part = found[at : at + simhash.COUNTED].astype(">u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(found)).tobytes(), "big")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -122,7 +137,7 @@ def _name(found: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, 1):
-        names, sizes, keys, bits = [], [], [], []
+        names, sizes, keys, bits, prints = [], [], [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             found = shingles(text or b"")
             least = minima(found)
@@ -130,9 +145,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(found))
             keys.append(band_keys(least))
             bits.append((least >> np.uint64(20)).astype(np.uint8).tobytes())
+            prints.append(_signed(fingerprint(found)))
         flat = pa.array(np.concatenate(keys).view(np.int64), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "th", "fp", "size", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary()), pa.array(prints, pa.int64())], names=["doc_id", "th", "fp", "size", "keys", "sketch", "simhash"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,26 +194,28 @@ def nearest(sketches: np.ndarray, roots: np.ndarray, rows: np.ndarray) -> tuple[
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Round 1: parts of buckets (least: the bucket's least name, m: fp, sketch) to pairs."""
+    """Round 1: parts of buckets (least: the bucket's least name, its root, m: fp, root, sketch) to pairs of different roots."""
     for batch in batches:
-        heads, lists = batch.column(0).to_pylist(), batch.column(1)
+        heads, tops, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
         flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         all_names = flat.field("fp").to_numpy(zero_copy_only=False)
+        all_roots = flat.field("root").to_numpy(zero_copy_only=False)
         all_sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
         found = []
-        for n, head in enumerate(heads):
+        for n, (head, top) in enumerate(zip(heads, tops, strict=True)):
             own = slice(at[n], at[n + 1])
             order = np.argsort(all_names[own].view(np.uint64))
-            names, sketches = all_names[own][order], all_sketches[own][order]
-            if names[0] != head and head not in names:
+            names, roots, sketches = all_names[own][order], all_roots[own][order], all_sketches[own][order]
+            if top != roots[0] and head not in names:
                 found.append((names[:1], np.array([head])))  # parts of one bucket meet its least set
             i, j = tree(names.view(np.uint64))
             far = np.count_nonzero(sketches[i] != sketches[j], axis=1)
-            found.append((names[i[far <= FAR]], names[j[far <= FAR]]))
+            tried = (far <= FAR) & (roots[i] != roots[j])
+            found.append((names[i[tried]], names[j[tried]]))
             unsure = np.ones(len(names), bool)  # a set's own pair along the tree hardly fails
             unsure[i[far <= SURE]] = False
             if len(names) > 1:
-                a, b = nearest(sketches, names, np.flatnonzero(unsure))
+                a, b = nearest(sketches, roots, np.flatnonzero(unsure))
                 found.append((names[a], names[b]))
         yield _pairs(found)
 
@@ -315,17 +333,19 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, size, keys, sketch) of each row: the text's hash, its set's name and size, its band keys and its sketch."""
+    """(doc_id, th, fp, size, keys, sketch, simhash) of each row: the text's hash, its set's name and size, its band keys, its sketch and its SimHash."""
     some = _keyed(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__dup_th").alias("th"))
-    return written(some.mapInArrow(lambda it: tidied(_signatures(it)), "doc_id long, th long, fp long, size long, keys array<long>, sketch binary"), "minima")
+    return written(some.mapInArrow(lambda it: tidied(_signatures(it)), "doc_id long, th long, fp long, size long, keys array<long>, sketch binary, simhash long"), "minima")
 
 
 def groups(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     """(fp, best, root) of each distinct set of ``hashed`` (the ``signatures`` of ``docs``); ``best`` names its least row, ``root`` its group."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")).alias("best")
     # copies of one set have one list of keys: any of them will do
-    classes = written(hashed.groupBy("fp").agg(best, F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    tried, members = first_pairs(classes)
+    classes = written(hashed.groupBy("fp").agg(best, F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("simhash").alias("simhash")), "classes")
+    close, roots = simhash_pairs(classes)
+    others, members = first_pairs(classes, roots)
+    tried = close.unionByName(others)
     sets = _sets_of(docs, classes, tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
     links = _verify(tried, sets)
     released(sets)
@@ -337,19 +357,42 @@ def groups(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     rare = rare_pairs(open_.join(sets, "fp"))
     more = _verify(rare, sets)
     out = _rooted(classes, links.unionByName(more))
-    released(classes, members, tried, links, rooted, now, open_, sets, rare, more)
+    released(classes, close, roots, members, others, links, rooted, now, open_, sets, rare, more)
     return out
 
 
-def first_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of the first round, and the members (key, fp) of buckets of several sets, from ``classes`` (fp, keys, sketch)."""
+def simhash_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets within ``simhash.DISTANCE`` bits, a spanning forest, from ``classes`` (fp, simhash); and (fp, root), the component of each set that has a pair."""
+    prints = written(classes.groupBy("simhash").agg(F.min("fp").alias("least")), "fingerprints")
+    blocks = simhash.links(prints.select(F.col("simhash").alias("fp"))).distinct()
+    left, right = (prints.select(F.col("simhash").alias(x), F.col("least").alias(f"least_{x}")) for x in ("a", "b"))
+    met = blocks.join(left, "a").join(right, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    equal = classes.select("fp", "simhash").join(prints, "simhash").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    close = written(met.unionByName(equal), "simhash-pairs")
+    roots = written(components(close.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("fp", "root"), "simhash-roots")
+    released(prints)
+    return close, roots
+
+
+def first_pairs(classes: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of the first round, and the members (key, fp) of buckets of several sets, from ``classes`` (fp, keys, sketch).
+
+    Sets of equal ``roots`` (fp, root) are not tried with each other; one without a root is its own.
+    """
     each = classes.select("fp", F.explode("keys").alias("key"))
-    busy = written(each.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1"), "buckets")
-    members = written(each.join(busy, "key").select("key", "fp", "least", F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / PART)).alias("part")), "members")
-    parts = members.join(classes.select("fp", "sketch"), "fp").groupBy("key", "part", "least").agg(F.collect_list(F.struct("fp", "sketch")).alias("m"))
-    tried = parts.select("least", "m").mapInArrow(lambda it: tidied(_near(it)), "a long, b long")
+    busy = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = each.join(busy, "key").select("key", "fp", F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / PART)).alias("part"))
+    members = rooted = written(members, "members")
+    root = F.col("fp")
+    if roots is not None:
+        rooted, root = members.join(roots, "fp", "left"), F.coalesce("root", "fp")
+    rooted = written(rooted.select("key", "fp", "part", root.alias("root")), "members-by-root")
+    least = F.min(F.struct("fp", "root")).alias("least")
+    open_ = rooted.groupBy("key").agg(least, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "least")
+    parts = rooted.join(open_, "key").join(classes.select("fp", "sketch"), "fp").groupBy("key", "part", "least").agg(F.collect_list(F.struct("fp", "root", "sketch")).alias("m"))
+    tried = parts.select("least.fp", "least.root", "m").mapInArrow(lambda it: tidied(_near(it)), "a long, b long")
     tried = written(tried.where("a <> b").distinct(), "candidates")
-    released(busy)
+    released(busy, rooted)
     return tried, members.select("key", "fp")
 
 
