@@ -34,6 +34,8 @@ def gene_expression(features: DataFrame) -> DataFrame:
 def collapse_genes(counts: DataFrame, features: DataFrame, identifier: str = "name", policy: str = "sum") -> tuple[DataFrame, DataFrame]:
     """(genes, entries): genes (gene, gene_ord) in first-seen order, and entries (gene, barcode_idx, x) with repeated genes summed.
 
+    Coordinates of ``counts`` may repeat: they are summed in the same pass, so a task holds one
+    table of sums, where ``canonical`` before it makes a task hold two.
     ``policy`` ``error`` raises on repeated identifiers.
     """
     if policy not in ("sum", "error"):

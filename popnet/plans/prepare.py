@@ -43,7 +43,7 @@ class Units:
 
 def units(matrix: count_sources.CountMatrix, annotations: DataFrame, tfs: DataFrame, config: PrepareConfig) -> Units:
     """Normalise all annotated cells, then split and filter by unit."""
-    genes, entries = ops.collapse_genes(ops.canonical(matrix.counts), matrix.features, config.gene_identifier, config.duplicate_gene_policy)
+    genes, entries = ops.collapse_genes(matrix.counts, matrix.features, config.gene_identifier, config.duplicate_gene_policy)
     cells = written(ops.annotated(matrix.barcodes, annotations).select("analysis_unit", "cluster", "cell", "barcode_idx"), "unit-cells")  # read for every unit, as are genes and factors
     placed = written(entries.join(cells, "barcode_idx").select("analysis_unit", "cluster", "cell", "gene", "x"), "entries")
     libraries = ops.library_sizes(placed)

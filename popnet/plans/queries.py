@@ -348,7 +348,7 @@ def _(s, d):
 def _(s, d):
     q = table(s, d, "lineitem").select(F.col("l_partkey").alias("feature_idx"), F.col("l_orderkey").alias("barcode_idx"), F.col("l_quantity").alias("x"))
     f = table(s, d, "part").select(F.col("p_partkey").alias("feature_idx"), F.col("p_brand").alias("name"), F.lit(prepare.GENE_EXPRESSION).alias("feature_type"))
-    genes, rows = prepare.collapse_genes(prepare.canonical(q), f)
+    genes, rows = prepare.collapse_genes(q, f)
     return rows.join(F.broadcast(genes), "gene").select("gene", "gene_ord", "barcode_idx", r("x"))
 
 
