@@ -24,6 +24,7 @@ CHOICES = {
     "tree_method": ("extra-trees", "random-forest"),
     "gene_identifier": ("name", "id"),
     "duplicate_gene_policy": ("sum", "error"),
+    "uncounted_cells": ("error", "exclude"),
     "normalization": ("library-size-log1p",),
 }
 
@@ -124,7 +125,11 @@ class _Checked:
 
 @dataclass(frozen=True, kw_only=True)
 class PrepareConfig(_Checked):
-    """Settings of a preparation.  ``counts`` is a folder of Parquet or matrix-market tables, or an HDF5 file."""
+    """Settings of a preparation.  ``counts`` is a folder of Parquet or matrix-market tables, or an HDF5 file.
+
+    Annotated cells that the matrix lacks, or without counts there, are an error, or (``uncounted_cells`` ``exclude``) have
+    no column in their unit; they count for ``min_cells`` all the same, which is a rule on annotations.
+    """
 
     counts: str = setting(path)
     annotations: str = setting(path)
@@ -133,6 +138,7 @@ class PrepareConfig(_Checked):
     centroid_weights: str | None = setting(either(None, path), None)
     gene_identifier: str = setting(choice, "name")
     duplicate_gene_policy: str = setting(choice, "sum")
+    uncounted_cells: str = setting(choice, "error")
     min_cells: int = setting(whole(1), 300)
     min_gene_cells: int = setting(whole(1), 1)
     normalization: str = setting(choice, "library-size-log1p")

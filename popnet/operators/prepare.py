@@ -107,12 +107,21 @@ def unit_eligibility(annotations: DataFrame, genes: DataFrame, tfs: DataFrame, m
     return all_.withColumn("exclusion_reason", reason)
 
 
-def annotated(barcodes: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Barcodes with an annotation; annotations without a barcode are an error."""
-    require_none(missing_from(annotations, barcodes, "cell"), "cell", "Annotated cells are not in the matrix")
+def annotated(barcodes: DataFrame, annotations: DataFrame, uncounted: str = "error") -> DataFrame:
+    """Barcodes with an annotation; annotations without a barcode are an error, or (``exclude``) left out."""
+    if uncounted == "error":
+        require_none(missing_from(annotations, barcodes, "cell"), "cell", "Annotated cells are not in the matrix")
     return barcodes.join(annotations, "cell")
 
 
+def counted(cells: DataFrame, sizes: DataFrame, uncounted: str = "error", cell: str = "cell") -> DataFrame:
+    """``cells`` with a count; others are an error, or (``exclude``) left out."""
+    if uncounted == "error":
+        require_none(empty_libraries(cells.select(cell), sizes, cell), cell, "Annotated cells without counts")
+        return cells
+    return cells.join(sizes.where("library > 0").select(cell), cell, "left_semi")
+
+
 def require_units(eligibility: DataFrame) -> None:
     """Raise if no unit is left, with the tally of the reasons."""
     tally = eligibility.groupBy("exclusion_reason").agg(F.count("*").alias("n")).orderBy("exclusion_reason").collect()

@@ -86,7 +86,10 @@ def _(s, d):
     folder = _folder(s, "prepare")
     write_text(unit_cells(s, d), f"{folder}/annotations.tsv", ["cell", "analysis_unit", "cluster"], ["cell"])
     write_lines(tfs(s).repartitionByRange(1, "ord").sortWithinPartitions("ord").select(F.col("gene").alias("value")), f"{folder}/tf_list.txt")
-    config = PrepareConfig(counts=_triplets(s, d), annotations=f"{folder}/annotations.tsv", tf_list=f"{folder}/tf_list.txt", output_dir=f"{folder}/out", min_cells=5, min_gene_cells=3)
+    config = PrepareConfig(
+        counts=_triplets(s, d), annotations=f"{folder}/annotations.tsv", tf_list=f"{folder}/tf_list.txt", output_dir=f"{folder}/out", min_cells=5, min_gene_cells=3,
+        uncounted_cells="exclude",  # customers whose orders have no lines: a unit's customers, but without counts
+    )
     done = prepare(s, config)
     out = None
     for unit, path in zip(done.prepared_analysis_units, done.analysis_unit_directories, strict=True):

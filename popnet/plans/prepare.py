@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popnet.config import PrepareConfig
 from popnet.operators import prepare as ops
-from popnet.operators.checks import InputError, missing_from, require_none
+from popnet.operators.checks import InputError, missing_from
 from popnet.operators.quantiles import exact_quantiles
 from popnet.sinks import absolute, published, unit_directory, wide_lines, write_json, write_lines, write_text
 from popnet.sources import counts as count_sources, text
@@ -44,10 +44,12 @@ class Units:
 def units(matrix: count_sources.CountMatrix, annotations: DataFrame, tfs: DataFrame, config: PrepareConfig) -> Units:
     """Normalise all annotated cells, then split and filter by unit."""
     genes, entries = ops.collapse_genes(matrix.counts, matrix.features, config.gene_identifier, config.duplicate_gene_policy)
-    cells = written(ops.annotated(matrix.barcodes, annotations).select("analysis_unit", "cluster", "cell", "barcode_idx"), "unit-cells")  # read for every unit, as are genes and factors
+    policy = config.uncounted_cells
+    cells = written(ops.annotated(matrix.barcodes, annotations, policy).select("analysis_unit", "cluster", "cell", "barcode_idx"), "unit-cells")  # read for every unit, as are genes and factors
     placed = written(entries.join(cells, "barcode_idx").select("analysis_unit", "cluster", "cell", "gene", "x"), "entries")
     libraries = ops.library_sizes(placed)
-    require_none(ops.empty_libraries(cells.select("cell"), libraries), "cell", "Annotated cells without counts")
+    counted = ops.counted(cells, libraries, policy)
+    cells = cells if counted is cells else written(counted, "counted-cells")
     kept = written(ops.unit_genes(placed, config.min_gene_cells).join(genes, "gene"), "unit-genes")
     listed = written(kept.join(tfs, "gene").select("analysis_unit", "gene", "ord"), "unit-tfs")
     eligibility = ops.unit_eligibility(annotations, kept, tfs, config.min_cells)
@@ -87,14 +89,15 @@ def prepare(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
             write_unit(f"{out}/{directory}", found, entries, name, weights)
             directories.append(directory)
             kept.append(name)
-        input_cells, annotated_cells = matrix.barcodes.count(), annotations.count()
+        input_cells, n_annotations = matrix.barcodes.count(), annotations.count()
+        annotated_cells = matrix.barcodes.join(annotations, "cell", "left_semi").count()
         ends = found.libraries.agg(F.min("library"), F.max("library")).first()
         missing = [r[0] for r in missing_from(tfs, matrix.features.select(F.col(config.gene_identifier).alias("gene")), "gene").orderBy("ord").select("gene").collect()]
         manifest = {
             "schema_version": 1, "parameters": {k: v for k, v in config.to_dict().items() if k not in ("counts", "annotations", "tf_list", "output_dir", "centroid_weights")},
             "matrix": {
                 "input_features": matrix.features.count(), "input_cells": input_cells, "gene_expression_features": ops.gene_expression(matrix.features).count(),
-                "annotated_cells": annotated_cells, "excluded_unannotated_cells": input_cells - annotated_cells,
+                "annotated_cells": annotated_cells, "excluded_unannotated_cells": input_cells - annotated_cells, "excluded_uncounted_cells": n_annotations - found.cells.count(),
                 "library_size_before_normalization": {"minimum": ends[0], "median": exact_quantiles(found.libraries, [], "library", {"m": 0.5}).first()[0], "maximum": ends[1]},
             },
             "transcription_factors": {"supplied": tfs.count(), "absent": missing}, "summary": {"prepared_analysis_units": len(kept), "excluded_analysis_units": len(excluded)},

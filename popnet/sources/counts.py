@@ -46,7 +46,8 @@ def from_parquet(spark: SparkSession, path: str) -> CountMatrix:
 def from_mex(spark: SparkSession, path: str, suffix: str = "") -> CountMatrix:
     """``path`` with matrix.mtx, features.tsv and barcodes.tsv (``suffix`` such as ``.gz``): triplets from 1; an action.
 
-    A compressed file is one task's, so each one is parsed once and stored; checks and all that follows read the stored tables.
+    A compressed file is one task's, so each one is parsed once and stored, the entries spread by their columns: checks and all that follows
+    read the stored tables, and no later task is the matrix's only one.
     """
     lines = spark.read.text(f"{path}/matrix.mtx{suffix}").where(~F.col("value").startswith("%"))
     parts = lines.select(F.split(F.trim("value"), r"\s+").alias("p"))
@@ -54,7 +55,8 @@ def from_mex(spark: SparkSession, path: str, suffix: str = "") -> CountMatrix:
     if shape is None:
         raise InputError("The matrix has no size line")
     rows = parts.withColumn("at", F.monotonically_increasing_id()).where("at > 0")
-    counts = written(rows.select((F.get("p", F.lit(0)).cast("int") - 1).alias("feature_idx"), (F.get("p", F.lit(1)).cast("int") - 1).alias("barcode_idx"), F.get("p", F.lit(2)).cast("double").alias("x")), "triplets")
+    entries = rows.select((F.get("p", F.lit(0)).cast("int") - 1).alias("feature_idx"), (F.get("p", F.lit(1)).cast("int") - 1).alias("barcode_idx"), F.get("p", F.lit(2)).cast("double").alias("x"))
+    counts = written(entries.repartition("barcode_idx"), "triplets")
 
     def numbered(name: str) -> DataFrame:
         lines = spark.read.text(f"{path}/{name}.tsv{suffix}").coalesce(1)
